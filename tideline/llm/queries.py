@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, pii, quality_rules, secrets, url_filter
+from tideline.llm import bpe, chat, pii, quality_model, quality_rules, secrets, url_filter
 from tideline.llm.common import arrow_rows, table
 from tideline.llm.spans import count_kind, joined
 
@@ -37,6 +38,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *_base_columns("secret_spans", tuple(r.kind for r in secrets.BASE_RULES)))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    arrow_rows(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_texts(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    return quality_model.with_scores(docs, trees).select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "lm_score")
@@ -57,7 +71,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op10_secrets": op10_secrets,
+    "op2_bpe": op2_bpe,
     "op4_url_filter": op4_url_filter,
+    "op5_quality_model": op5_quality_model,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
 }
