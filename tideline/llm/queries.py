@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, chat, pii, quality_model, quality_rules, secrets, url_filter
+from tideline.llm import bpe, chat, decontaminate, pii, quality_model, quality_rules, secrets, url_filter
 from tideline.llm.common import arrow_rows, table
 from tideline.llm.spans import count_kind, joined
 
@@ -56,6 +56,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "lm_score")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select("doc_id", *quality_rules.RESULTS)
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_url_filter": op4_url_filter,
     "op5_quality_model": op5_quality_model,
+    "op6_decontaminate": op6_decontaminate,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
 }
