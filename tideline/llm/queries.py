@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, chat, decontaminate, pii, quality_model, quality_rules, secrets, url_filter
+from tideline.llm import bpe, chat, decontaminate, near_dup, pii, quality_model, quality_rules, secrets, url_filter
 from tideline.llm.common import arrow_rows, table
 from tideline.llm.spans import count_kind, joined
 
@@ -51,6 +51,11 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.with_scores(docs, trees).select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "lm_score")
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op10_secrets": op10_secrets,
     "op2_bpe": op2_bpe,
+    "op3_near_dup": op3_near_dup,
     "op4_url_filter": op4_url_filter,
     "op5_quality_model": op5_quality_model,
     "op6_decontaminate": op6_decontaminate,
