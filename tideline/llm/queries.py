@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, chat, decontaminate, near_dup, pii, quality_model, quality_rules, secrets, url_filter
+from tideline.llm import bpe, chat, decontaminate, near_dup, pii, quality_model, quality_rules, secrets, substring_dedup, url_filter
 from tideline.llm.common import arrow_rows, table
 from tideline.llm.spans import count_kind, joined
 
@@ -67,6 +67,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select("doc_id", *quality_rules.RESULTS)
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_quality_model": op5_quality_model,
     "op6_decontaminate": op6_decontaminate,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
 }
