@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialise
+from tideline.llm.common import materialise, with_nulls, without_nulls
 from tideline.llm.hashing import U, blocks, filter_of, mix, passes, signed, utf8, word_hashes
 
 #: Masks of five selected words (1) and ignored ones (0).
@@ -57,6 +57,8 @@ def item_seeds(items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if b.empty:
+                continue
             words, found = [], []
             for raw in _lowered(b["text"]):
                 w, counts, _ = word_hashes([raw], _PARTS)
@@ -65,7 +67,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
             yield pd.DataFrame({"item_id": b["item_id"], "words": words, "seeds": found})
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.select("item_id", "text").mapInPandas(run, f"item_id {kind}, words array<long>, seeds array<struct<seed:long,at:long>>")
+    return with_nulls(without_nulls(items.select("item_id", "text"), "item_id").mapInPandas(run, f"item_id {kind}, words array<long>, seeds array<struct<seed:long,at:long>>"), "item_id")
 
 
 def document_hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -89,10 +91,11 @@ def document_hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                     out["doc_id"].append(ids.iloc[lo + d])
                     out["words"].append(signed(words[begin : ends[d]]).tolist())
                     out["hits"].append([{"seed": s, "at": a} for a, s in zip((at[mine] - begin).tolist(), signed(own[mine]).tolist(), strict=True)])
-            yield pd.DataFrame({"doc_id": pd.Series(out["doc_id"], dtype=ids.dtype), "words": out["words"], "hits": out["hits"]})
+            if out["doc_id"]:
+                yield pd.DataFrame({"doc_id": pd.Series(out["doc_id"], dtype=ids.dtype), "words": out["words"], "hits": out["hits"]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, words array<long>, hits array<struct<seed:long,at:long>>")
+    return with_nulls(without_nulls(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, words array<long>, hits array<struct<seed:long,at:long>>"))
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int, int]:
