@@ -27,6 +27,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from tideline.llm.common import with_nulls, without_nulls
+
 #: Distinct words and token pairs that a worker remembers.
 REMEMBERED = 500_000
 #: Symbols of a word beyond which it is merged by itself.
@@ -265,6 +267,8 @@ def encode_texts(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(shared.value)
         for b in batches:
+            if b.empty:
+                continue
             done = encoder.encode(b["text"].fillna("").tolist())
             out = pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(i) // 4 for i, _ in done]})
             if digest:
@@ -277,4 +281,4 @@ def encode_texts(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataF
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rest = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<long>, decoded string"
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, {rest}")
+    return with_nulls(without_nulls(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, n_tokens long, {rest}"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialise
+from tideline.llm.common import materialise, with_nulls, without_nulls
 
 #: Control strings (fixed values): those of the template and those of common chat templates.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -100,7 +100,7 @@ def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
     @F.pandas_udf("formatted string, spans array<struct<start:long,end:long>>")
     def laid_out(turns: pd.Series) -> pd.DataFrame:
         done = [format_turns([(t["role"], t["text"]) for t in x]) for x in turns]
-        return pd.DataFrame({"formatted": [x[0] for x in done], "spans": [[{"start": a, "end": b} for a, b in x[1]] for x in done]})
+        return pd.DataFrame({"formatted": [x[0] for x in done], "spans": [[{"start": a, "end": b} for a, b in x[1]] for x in done]}, dtype=object)
 
     return whole.select("tree", "leaf", F.col("branch_score").alias("score"), F.size("turns").cast("long").alias("n_turns"), laid_out("turns").alias("x")).select("tree", "leaf", "score", "n_turns", "x.*")
 
@@ -129,4 +129,5 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     kind = formatted.schema["tree"].dataType["conv_id"].dataType.simpleString()
-    return formatted.select("tree.conv_id", "formatted", "spans").mapInPandas(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = without_nulls(formatted.select("tree.conv_id", "formatted", "spans"), "conv_id")
+    return with_nulls(rows.mapInPandas(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"), "conv_id")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +47,36 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id on the way through pandas, which would turn a column with nulls to floating point.
+NO_ID = -(1 << 63)
+
+
+def without_nulls(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """df with NO_ID for null in a bigint column; other types pass pandas as they are."""
+    return df.withColumn(column, F.coalesce(column, F.lit(NO_ID))) if dict(df.dtypes)[column] == "bigint" else df
+
+
+def with_nulls(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    return df.withColumn(column, F.when(F.col(column) != F.lit(NO_ID), F.col(column))) if dict(df.dtypes)[column] == "bigint" else df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of what has been materialised, which it does once the driver's
+    references are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of one Arrow batch, so that a batch of long texts fits a Python worker."""
+    """Bound the rows of one Arrow batch, so that a batch of long texts fits a Python worker, and send workers the code."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    context = spark.sparkContext
+    if getattr(context, "_tideline_sent", None) is None:
+        package = Path(__file__).resolve().parents[1]
+        zipped = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tideline-')}/tideline", "zip", package.parent, package.name)
+        context.addPyFile(zipped)
+        context._tideline_sent = zipped

@@ -55,6 +55,10 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    return _grown(n)[1]
+
+
 def substring(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hash of bytes [start, end)."""
     _, inverses = _grown(len(sums))

@@ -10,9 +10,10 @@ equal minimisers and so meet, and every construction ends after WINDOW rounds.
 
 1. Documents are dealt into blocks by a hash of their id. Each block names its distinct minimisers; those that occur in
    one document only are dropped.
-2. Each block lists its distinct runs (neighbouring windows of one minimiser) with the first and last document of each.
-3. For each minimiser, runs that are equal in all documents are settled by the first document; where runs differ, their
-   windows are sorted column by column, and each window learns the first document that has it.
+2. Each block lists its distinct runs (neighbouring windows of one minimiser) by hash, with the first document of each.
+   A minimiser whose runs are equal everywhere is settled by the first document.
+3. For minimisers with different runs, blocks give the runs' bytes; their windows are sorted column by column, and each
+   window learns the first document that has it.
 4. Blocks mark the windows that a smaller document has and drop the bytes under them.
 
 A minimiser that a third of all documents share has a row for each block and distinct run, not for each document.
@@ -32,23 +33,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialise
-from tideline.llm.hashing import U, prefix_hashes, mix, utf8
-from tideline.llm.hashing import _grown
+from tideline.llm.common import NO_ID, materialise, release
+from tideline.llm.hashing import U, inverse_powers, mix, prefix_hashes, substring, utf8
 
 WINDOW, GRAM = 50, 26
 #: Grams in a window, and so the most windows of one run.
 REACH = WINDOW - GRAM + 1
 #: Bytes of a minimiser that blocks exchange, and bytes of text hashed side by side.
 SHORT, PIECE = 5, 1 << 18
-_LOW = np.int64(-(1 << 63))
 
 
-def minimisers(data: np.ndarray) -> np.ndarray:
-    """The smallest gram hash of each window of the bytes."""
-    n = len(data) - GRAM + 1
-    sums = prefix_hashes(data)
-    _, inverses = _grown(len(sums))
+def minimisers(sums: np.ndarray) -> np.ndarray:
+    """The smallest gram hash of each window of the bytes with these prefix hashes."""
+    n = len(sums) - GRAM
+    inverses = inverse_powers(len(sums))
     h = mix((sums[GRAM:] - sums[:-GRAM]) * inverses[:n])
     low, span = h, 1
     while span * 2 <= REACH:
@@ -69,13 +67,17 @@ def _pieces(raws: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(raws)
 
 
-def runs(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Text, start within it, windows and minimiser of each run of up to REACH neighbouring windows of one minimiser."""
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def runs(raws: list[bytes]) -> Iterator[Runs]:
+    """Text, start within it, windows, minimiser and hash of each run of up to REACH neighbouring windows of one minimiser."""
     for lo, hi in _pieces(raws):
         data = np.frombuffer(b"".join(raws[lo:hi]), dtype=np.uint8)
         if len(data) < WINDOW:
             continue
-        low = minimisers(data)
+        sums = prefix_hashes(data)
+        low = minimisers(sums)
         sizes = np.array([len(r) for r in raws[lo:hi]], dtype=np.int64)
         begins = np.cumsum(sizes) - sizes
         counts = np.maximum(sizes - WINDOW + 1, 0)
@@ -98,7 +100,7 @@ def runs(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
             start, size = start[which] + step * REACH, np.minimum(size[which] - step * REACH, REACH)
         doc = np.searchsorted(begins, start, side="right") - 1
         # Texts without bytes begin where the next one does; the search finds the last of them, which is the right one.
-        yield lo + doc, start - begins[doc], size, low[start]
+        yield lo + doc, start - begins[doc], size, low[start], substring(sums, start, start + size + WINDOW - 1)
 
 
 def _short(value: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +121,9 @@ def _unpack(raw: bytes) -> np.ndarray:
 def _named(block: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """A block's distinct minimisers by bucket, and those that two of its documents have."""
     ids, raws = block["id"].to_numpy(), utf8(block["text"])
-    found = [(m, ids[d]) for d, _, _, m in runs(raws)]
+    found = [(m, ids[d]) for d, _, _, m, _ in runs(raws)]
     if not found:
-        return pd.DataFrame({"bucket": [], "block": [], "seen": [], "twice": []})
+        return pd.DataFrame([], columns=["bucket", "block", "seen", "twice"])
     value, doc = np.concatenate([m for m, _ in found]), np.concatenate([d for _, d in found])
     order = np.lexsort((doc, value))
     value, doc = value[order], doc[order]
@@ -149,36 +151,105 @@ def _shared(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "bucket", "repeated"])
 
 
-_LISTED = "kind int, block long, id long, n_bytes long, sha string, text string, minimiser long, run binary, first long, last long"
+def _code(value: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and exchanged bytes of a minimiser in one number."""
+    bucket, short = _short(value, buckets)
+    return (bucket.astype(np.uint64) << U(8 * SHORT)) | short
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values byte plane by byte plane, which compresses small or sorted ones."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _values(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _hits(raws: list[bytes], codes: np.ndarray, buckets: int) -> Iterator[Runs]:
+    """The runs whose minimiser's code is among the sorted codes, with that code."""
+    for doc, start, size, value, run in runs(raws) if len(codes) else ():
+        code = _code(value, buckets)
+        hit = np.flatnonzero(codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code)
+        yield doc[hit], start[hit], size[hit], code[hit], run[hit]
+
+
+_LISTED = "kind int, block long, id long, n_bytes long, sha string, text string, bucket long, codes binary, runs binary, firsts binary, more binary"
 
 
 def _listed(block: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Rows of kind 0, the documents (with text if a minimiser is shared), and of kind 1, the distinct shared runs."""
-    known = {int(b): np.sort(_unpack(x)) for b, x in zip(shared["bucket"], shared["repeated"], strict=True)}
-    codes = np.sort(np.concatenate([(np.uint64(b) << U(8 * SHORT)) | x for b, x in known.items()])) if known else np.zeros(0, dtype=np.uint64)
-    ids, raws = block["id"].to_numpy(), utf8(block["text"])
-    marked, found = np.zeros(len(raws), dtype=bool), {}
-    if len(codes):
-        for doc, start, size, value in runs(raws):
-            bucket, short = _short(value, buckets)
-            code = (bucket.astype(np.uint64) << U(8 * SHORT)) | short
-            at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            hit = np.flatnonzero(codes[at] == code)
-            marked[doc[hit]] = True
-            for d, s, n, m in zip(doc[hit].tolist(), start[hit].tolist(), size[hit].tolist(), value[hit].view(np.int64).tolist(), strict=True):
-                run, own = raws[d][s : s + n + WINDOW - 1], int(ids[d])
-                known_run = found.get(run)
-                found[run] = (m, own, own) if known_run is None else (m, min(known_run[1], own), max(known_run[2], own))
-    docs = pd.DataFrame({"kind": 0, "block": block["block"].to_numpy(), "id": ids, "n_bytes": [len(r) for r in raws], "sha": [hashlib.sha256(r).hexdigest() for r in raws], "text": [t if m else None for t, m in zip(block["text"], marked.tolist(), strict=True)]})
-    told = list(found.values())
-    listed = pd.DataFrame({"kind": 1, "block": int(block["block"].iloc[0]) if len(block) else 0, "minimiser": pd.array([x[0] for x in told], dtype="Int64"), "run": list(found), "first": pd.array([x[1] for x in told], dtype="Int64"), "last": pd.array([x[2] for x in told], dtype="Int64")})
-    for c, kind in (("id", "Int64"), ("n_bytes", "Int64"), ("sha", object), ("text", object)):
-        listed[c] = pd.array([None] * len(listed), dtype=kind) if kind == "Int64" else None
-    for c in ("minimiser", "first", "last"):
-        docs[c] = pd.array([None] * len(docs), dtype="Int64")
-    docs["run"] = None
-    columns = [c.split()[0] for c in _LISTED.split(", ")]
-    return pd.concat([docs[columns].astype({"id": "Int64", "n_bytes": "Int64"}), listed[columns]], ignore_index=True) if len(listed) else docs[columns]
+    """Rows of kind 0, the documents (with text if a minimiser is shared), and of kind 1, the distinct shared runs by bucket.
+
+    ``more`` marks the runs that several documents of the block have.
+    """
+    known = [(np.uint64(b) << U(8 * SHORT)) | _unpack(x) for b, x in zip(shared["bucket"], shared["repeated"], strict=True)]
+    codes = np.sort(np.concatenate(known)) if known else np.zeros(0, dtype=np.uint64)
+    ids, raws, number = block["id"].to_numpy(), utf8(block["text"]), int(block["block"].iloc[0]) if len(block) else 0
+    marked, parts = np.zeros(len(raws), dtype=bool), []
+    for doc, _, _, code, run in _hits(raws, codes, buckets):
+        marked[doc] = True
+        parts.append((code, run, ids[doc]))
+    rows = [(0, number, int(i), len(r), hashlib.sha256(r).hexdigest(), t if m else None, None, None, None, None, None) for i, r, t, m in zip(ids, raws, block["text"], marked.tolist(), strict=True)]
+    if parts:
+        code, run, doc = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.lexsort((doc, run, code))
+        code, run, doc = code[order], run[order], doc[order]
+        begin = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (run[1:] != run[:-1])))
+        more = doc[begin] != doc[np.append(begin[1:], len(code)) - 1]
+        code, run, doc = code[begin], run[begin], doc[begin]
+        bucket = (code >> U(8 * SHORT)).astype(np.int64)
+        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+        for lo, hi in zip(edges, [*edges[1:], len(code)], strict=True):
+            rows.append((1, number, None, None, None, None, int(bucket[lo]), _planes(code[lo:hi]), _planes(run[lo:hi]), _planes(doc[lo:hi]), np.packbits(more[lo:hi]).tobytes()))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _LISTED.split(", ")], dtype=object)
+
+
+_SETTLED = "block long, codes binary, runs binary, firsts binary, mixed binary"
+
+
+def _settled(bucket: pd.DataFrame) -> pd.DataFrame:
+    """For each block: runs that are alike everywhere and have an earlier document, with the first one; and the
+    minimisers whose runs differ."""
+    code, run, first = (np.concatenate([_values(x) for x in bucket[c]]) for c in ("codes", "runs", "firsts"))
+    sizes = np.array([len(x) // 8 for x in bucket["codes"]])
+    more = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n) for x, n in zip(bucket["more"], sizes.tolist(), strict=True)]).astype(bool)
+    first = first.view(np.int64)
+    order = np.lexsort((run, code))
+    c, r = code[order], run[order]
+    new_code = np.append(True, c[1:] != c[:-1])
+    new_run = new_code | np.append(True, r[1:] != r[:-1])
+    group = np.cumsum(new_code) - 1
+    least = np.minimum.reduceat(first[order], np.flatnonzero(new_run))[np.cumsum(new_run) - 1]
+    mixed = (np.bincount(group, weights=new_run) > 1)[group]
+    # Back to the order of the rows.
+    firsts, differ = np.empty_like(first), np.empty(len(code), dtype=bool)
+    firsts[order], differ[order] = least, mixed
+    gone = ~differ & ((firsts < first) | more)
+    out, ends = [], np.cumsum(sizes)
+    for block, lo, hi in zip(bucket["block"].tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+        own, other = lo + np.flatnonzero(gone[lo:hi]), lo + np.flatnonzero(differ[lo:hi])
+        if len(own) or len(other):
+            out.append((block, _planes(code[own]), _planes(run[own]), _planes(firsts[own]), _planes(np.unique(code[other]))))
+    return pd.DataFrame(out, columns=["block", "codes", "runs", "firsts", "mixed"])
+
+
+_MIXED = "block long, code long, hash long, run binary, first long, last long"
+
+
+def _mixed(docs: pd.DataFrame, settled: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """The distinct runs of a block whose minimisers have different ones, with their bytes."""
+    ids, raws, found = docs["id"].to_numpy(dtype=np.int64), utf8(docs["text"]), {}
+    codes = np.unique(np.concatenate([_values(x) for x in settled["mixed"]])) if len(settled) else np.zeros(0, dtype=np.uint64)
+    for doc, start, size, code, run in _hits(raws, codes, buckets):
+        own = ids[doc]
+        order = np.lexsort((own, run))
+        begin = np.flatnonzero(np.append(True, run[order][1:] != run[order][:-1]))[: len(order)]
+        first, last = order[begin], order[np.append(begin[1:], len(order)) - 1] if len(order) else order
+        for d, s, n, k, h, a, b in zip(doc[first].tolist(), start[first].tolist(), size[first].tolist(), code[first].view(np.int64).tolist(), run[first].view(np.int64).tolist(), own[first].tolist(), own[last].tolist(), strict=True):
+            seen = found.get(h)
+            found[h] = (k, h, raws[d][s : s + n + WINDOW - 1], a, b) if seen is None else (*seen[:3], min(seen[3], a), max(seen[4], b))
+    number = int(docs["block"].iloc[0]) if len(docs) else 0
+    return pd.DataFrame([(number, *x) for x in found.values()], columns=[c.split()[0] for c in _MIXED.split(", ")])
 
 
 def sorted_windows(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,68 +273,54 @@ def sorted_windows(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _decided(bucket: pd.DataFrame) -> pd.DataFrame:
     """For each listed run, the first document of each of its windows (one value if they agree), if any removes bytes."""
-    value, code = bucket["minimiser"].to_numpy(dtype=np.int64), pd.factorize(bucket["run"])[0]
-    first = bucket["first"].to_numpy(dtype=np.int64)
-    n = int(code.max()) + 1
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, code, first)
-    example = np.full(n, -1)
-    example[code[::-1]] = np.arange(len(code))[::-1]
-    own = value[example]  # minimiser of each distinct run
-    _, group, size = np.unique(own, return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(size[group] > 1)
-    mins: dict[int, np.ndarray] = {}
-    if len(mixed):
-        texts = [bucket["run"].iloc[example[k]] for k in mixed.tolist()]
-        counts = np.array([len(t) - WINDOW + 1 for t in texts], dtype=np.int64)
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        begins = np.cumsum(counts + WINDOW - 1) - (counts + WINDOW - 1)
-        which = np.repeat(np.arange(len(mixed)), counts)
-        place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = begins[which] + place
-        _, classes = sorted_windows(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at])
-        earliest = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(earliest, classes, least[mixed][which])
-        each = earliest[classes]
-        ends = np.cumsum(counts)
-        for k, lo, hi in zip(mixed.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
-            part = each[lo:hi]
-            mins[k] = part[:1] if (part == part[0]).all() else part
-    out = []
-    for block, m, c, run, last in zip(bucket["block"].tolist(), value.tolist(), code.tolist(), bucket["run"], bucket["last"].tolist(), strict=True):
-        told = mins.get(c)
-        told = least[c : c + 1] if told is None else told
-        if told.min() < last:
-            out.append((block, m, run, told.tolist()))
-    return pd.DataFrame(out, columns=["block", "minimiser", "run", "firsts"])
-
-
-def _removed(docs: pd.DataFrame, decided: pd.DataFrame) -> pd.DataFrame:
+    which, texts = pd.factorize(bucket["run"])
+    least = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, bucket["first"].to_numpy(dtype=np.int64))
+    counts = np.array([len(t) - WINDOW + 1 for t in texts], dtype=np.int64)
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    ends = np.cumsum(counts)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    # Windows of a run start at neighbouring bytes; a run is longer than its windows by WINDOW - 1 bytes.
+    at = np.arange(int(ends[-1])) + owner * (WINDOW - 1)
+    _, classes = sorted_windows(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at])
+    earliest = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(earliest, classes, least[owner])
+    each = earliest[classes]
+    told = [part[:1].tolist() if (part == part[0]).all() else part.tolist() for part in np.split(each, ends[:-1])]
+    rows = zip(bucket["block"].tolist(), bucket["code"].tolist(), bucket["hash"].tolist(), which.tolist(), bucket["last"].tolist(), strict=True)
+    out = [(block, code, h, told[k]) for block, code, h, k, last in rows if min(told[k]) < last]
+    return pd.DataFrame(out, columns=["block", "code", "hash", "each"])
+
+
+def _removed(docs: pd.DataFrame, told: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """The documents of a block without the bytes that smaller documents have."""
-    known = dict(zip(decided["run"], decided["firsts"], strict=True))
-    values = np.sort(decided["minimiser"].to_numpy(dtype=np.int64).view(np.uint64)) if len(decided) else np.zeros(0, dtype=np.uint64)
     ids, raws = docs["id"].to_numpy(dtype=np.int64), utf8(docs["text"])
-    edges: dict[int, np.ndarray] = {}
-    if len(values):
-        for doc, start, size, value in runs(raws):
-            at = np.minimum(np.searchsorted(values, value), len(values) - 1)
-            hit = np.flatnonzero(values[at] == value)
-            for d, s, n in zip(doc[hit].tolist(), start[hit].tolist(), size[hit].tolist(), strict=True):
-                firsts = known.get(raws[d][s : s + n + WINDOW - 1])
-                if firsts is None:
-                    continue
-                edge = edges.setdefault(d, np.zeros(len(raws[d]) + 1, dtype=np.int32))
-                if len(firsts) == 1:
-                    if firsts[0] < ids[d]:
-                        edge[s] += 1
-                        edge[s + n + WINDOW - 1] -= 1
-                else:
-                    for j in np.flatnonzero(np.asarray(firsts) < ids[d]).tolist():
-                        edge[s + j] += 1
-                        edge[s + j + WINDOW] -= 1
+    alike, differ = told[told["codes"].notna()], told[told["codes"].isna()]
+    key = lambda code, run: mix(code * U(0x9E3779B97F4A7C15) + run)
+    join = lambda c: np.concatenate([np.zeros(0, dtype=np.uint64), *map(_values, alike[c])])
+    code, hashes, firsts = join("codes"), join("runs"), join("firsts").view(np.int64)
+    code2, hash2 = (np.array(differ[c].tolist(), dtype=np.int64).view(np.uint64) for c in ("code", "hash"))
+    keys = np.concatenate([key(code, hashes), key(code2, hash2)])
+    order = np.argsort(keys)
+    keys, each = keys[order], differ["each"].tolist()
+    edges = [np.zeros(len(r) + 1, dtype=np.int32) if len(r) >= WINDOW else None for r in raws]
+    for doc, start, size, value, run in _hits(raws, np.unique(np.concatenate([code, code2])), buckets):
+        own = key(value, run)
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        for h in np.flatnonzero(keys[at] == own).tolist():
+            d, s, k = int(doc[h]), int(start[h]), int(order[at[h]])
+            if k < len(firsts):
+                if firsts[k] < ids[d]:
+                    edges[d][s] += 1
+                    edges[d][s + int(size[h]) + WINDOW - 1] -= 1
+                continue
+            part = np.asarray(each[k - len(firsts)])
+            for j in np.flatnonzero(part < ids[d]).tolist():
+                edges[d][s + j] += 1
+                edges[d][s + (int(size[h]) if len(part) == 1 else j + 1) + WINDOW - 1] -= 1
     rows = []
     for d, raw in enumerate(raws):
-        gone = np.cumsum(edges[d][:-1]) > 0 if d in edges else np.zeros(len(raw), dtype=bool)
+        gone = np.cumsum(edges[d][:-1]) > 0 if edges[d] is not None else np.zeros(len(raw), dtype=bool)
         kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         rows.append((int(ids[d]), len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
@@ -274,17 +331,25 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; with_text adds kept, the remaining bytes."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LOW))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(2 * buckets))).repartition(buckets, "block")
     named = dealt.groupBy("block").applyInPandas(lambda b: _named(b, buckets), "bucket long, block long, seen binary, twice binary")
     shared = named.groupBy("bucket").applyInPandas(_shared, "block long, bucket long, repeated binary")
-    listed = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(lambda b, s: _listed(b, s, buckets), _LISTED)
-    listed = materialise(listed)
-    entries = listed.where("kind = 1").select("block", "minimiser", "run", "first", "last")
-    bucket = F.pmod(F.col("minimiser"), F.lit(4 * buckets)).alias("bucket")
-    decided = entries.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_decided, "block long, minimiser long, run binary, firsts array<long>")
+    listed = materialise(dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(lambda b, s: _listed(b, s, buckets), _LISTED))
+    release(spark)
+    settled = materialise(listed.where("kind = 1").select("block", "bucket", "codes", "runs", "firsts", "more").groupBy("bucket").applyInPandas(_settled, _SETTLED))
+    release(spark)
     texts = listed.where("kind = 0 and text is not null").select("block", "id", "text")
-    done = texts.groupBy("block").cogroup(decided.groupBy("block")).applyInPandas(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    whole = listed.where("kind = 0 and text is null").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
-    out = done.unionByName(whole).withColumn("doc_id", F.when(F.col("id") != F.lit(int(_LOW)), F.col("id")))
+    mixed = texts.groupBy("block").cogroup(settled.where(F.length("mixed") > 0).select("block", "mixed").groupBy("block")).applyInPandas(lambda d, s: _mixed(d, s, buckets), _MIXED)
+    decided = mixed.withColumn("bucket", F.pmod(F.col("code"), F.lit(4 * buckets))).groupBy("bucket").applyInPandas(_decided, "block long, code long, hash long, each array<long>")
+    decided = materialise(decided)
+    release(spark)
+    # Numbers are never null here: pandas would turn their column to floating point.
+    settled = settled.where(F.length("codes") > 0).select("block", "codes", "runs", "firsts", F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("hash"))
+    told = settled.unionByName(decided, allowMissingColumns=True)
+    done = texts.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(lambda d, t: _removed(d, t, buckets), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    if not with_text:
+        done = done.drop("kept")
+    whole = listed.where("kind = 0 and text is null").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    out = done.unionByName(whole, allowMissingColumns=True).withColumn("doc_id", F.when(F.col("id") != F.lit(NO_ID), F.col("id")))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
