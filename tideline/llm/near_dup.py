@@ -9,11 +9,12 @@ verified on the full sets, and verified links are united to components.
 Whole job without all pairs of a group:
 
 * Texts of equal sets form one class, represented by the smallest id.
-* In each bucket one class is the hub, and the classes of other components are verified against it; links found unite
-  components before the next of STARS hubs is chosen, so a large group of near copies costs a few stars.
-* In buckets of more than three classes that then still hold several components, signatures of all classes of different components are compared
-  in blocks of at most BLOCK_ROWS, and pairs whose signatures agree in LIKELY of all slots are verified. (At similarity
-  0.75 the share of equal slots is 0.75 with a standard deviation below 0.04.) Nothing else is emitted.
+* In each bucket the class of smallest id is the hub and the others are verified against it, so a large group of near
+  copies costs a star; links found unite components.
+* In buckets of more than two classes that then still hold several components, the signatures of all classes of
+  different components are compared in blocks of at most BLOCK_ROWS rows or BLOCK_BYTES of sets, and where they agree in
+  LIKELY of all slots the full sets are compared on the spot. (At similarity 0.75 the share of equal slots is 0.75 with
+  a standard deviation below 0.04.) Only links leave a block.
 
 Edge cases: null text and text without words have an empty set and are linked with nothing; a text of fewer than five
 words is one shingle; rows that share an id keep one row each, with the component of that id; a row without an id has a
@@ -36,8 +37,8 @@ WORDS = 5
 #: Bands and rows of a band; a pair of similarity 0.75 shares no band with a chance of about 5 in a million.
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: Rows of a block of a bucket, least share of equal slots that is verified.
-BLOCK_ROWS, LIKELY = 1024, 0.55
+#: Rows and bytes of sets of a block of a bucket, least share of equal slots that is verified.
+BLOCK_ROWS, BLOCK_BYTES, LIKELY = 1024, 16 << 20, 0.55
 #: Bytes of a shingle's hash that verification compares.
 KEPT = 5
 _FACTORS = mix((np.arange(WORDS, dtype=np.uint64) + U(11)) * U(0xC2B2AE3D27D4EB4F)) | U(1)
@@ -186,56 +187,71 @@ def components(links: DataFrame) -> DataFrame:
     Alternately joins every vertex' larger neighbours, then its smaller ones, to the smallest it knows, until nothing
     changes; a star is left for each component. Partial minima are taken before each shuffle.
     """
-    edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = materialise(edges), None
+    edges = materialise(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         # Large star: every larger neighbour goes to the smallest neighbour.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.distinct())
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every smaller neighbour, and the vertex itself, goes to the smallest.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = materialise(small.where(F.col("u") != F.col("v")).distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-        if state == before:
+        # Done when no vertex has two smaller neighbours, or a smaller and a larger one.
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")), F.struct(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))).alias("e"))
+        loose = ends.groupBy("e.x").agg(F.sum("e.below").alias("below"), F.max("e.above").alias("above")).where("below + above > 1 and below > 0")
+        if not loose.agg(F.count(F.lit(1))).collect()[0][0]:
             break
-        before = state
     return edges.select(F.col("u").alias("v"), F.col("v").alias("c"))
 
 
-def likely_pairs(members: DataFrame, slots: DataFrame) -> DataFrame:
-    """(a, b) of members (bucket, rep, c) of one bucket and different components whose signatures are alike enough.
+def links_in_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members (bucket, rep, n, c) of one bucket and different components that are similar.
 
-    Buckets of more than BLOCK_ROWS rows are dealt into blocks, and each two blocks are compared in a group of their own.
+    Large buckets are dealt into blocks, and each two blocks are compared in a group of their own: first the signatures,
+    then, where these are alike enough, the full sets. A pair is looked at in the first bucket that it shares only, and
+    nothing but links leaves the group.
     """
     parts = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks_of = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 3").select("bucket", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("size > 2")
+    sizes = sizes.select("bucket", F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("shingles") * KEPT / BLOCK_BYTES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = members.join(blocks_of, "bucket").withColumn("own", own).join(slots, "rep")
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = members.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    placed = placed.select(F.pmod(unit, F.lit(parts)).alias("part"), unit.alias("unit"), (F.col("own") != F.col("other")).alias("apart"), "rep", "c", "own", "slots")
+    # Small buckets share groups; a unit of a large one has its own.
+    part = F.when(F.col("blocks") > 1, unit).otherwise(F.pmod(unit, F.lit(parts)))
+    placed = placed.select(part.alias("part"), unit.alias("unit"), (F.col("own") != F.col("other")).alias("apart"), "bucket", "rep", "c", "own", "n")
+    placed = placed.join(sets.select(F.col("doc_id").alias("rep"), "bands", "slots", "packed"), "rep")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """All units of a part, one after the other."""
         group = group.sort_values("unit", kind="stable")
-        rep, c, own, apart, unit = (group[x].to_numpy() for x in ("rep", "c", "own", "apart", "unit"))
+        rep, c, own, apart, unit, bucket, n = (group[x].to_numpy() for x in ("rep", "c", "own", "apart", "unit", "bucket", "n"))
         rows = np.frombuffer(b"".join(group["slots"]), dtype=np.uint16).reshape(len(group), SLOTS)
+        bands, packed = np.stack(group["bands"].to_list()), group["packed"].to_list()
         edges = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])).tolist()
         left, right = [], []
         for lo, hi in zip(edges, [*edges[1:], len(unit)], strict=True):
-            for k in range(lo, hi, 64):
-                part, all_ = slice(k, min(k + 64, hi)), slice(lo, hi)
-                may = (rep[part, None] < rep[None, all_]) & (c[part, None] != c[None, all_])
+            full: dict[int, np.ndarray] = {}
+            for x in range(lo, hi):
+                may = (rep[x] < rep[lo:hi]) & (c[x] != c[lo:hi]) & (100 * np.minimum(n[x], n[lo:hi]) >= percent * np.maximum(n[x], n[lo:hi]))
                 if apart[lo]:
-                    may &= own[part, None] != own[None, all_]
-                x, y = np.nonzero(may)
-                if len(x):
-                    likely = (rows[x + k] == rows[y + lo]).mean(axis=1) >= LIKELY
-                    left.append(rep[x[likely] + k])
-                    right.append(rep[y[likely] + lo])
+                    may &= own[x] != own[lo:hi]
+                y = lo + np.flatnonzero(may)
+                y = y[(rows[x] == rows[y]).mean(axis=1) >= LIKELY]
+                y = y[bands[x, (bands[x] == bands[y]).argmax(axis=1)] == bucket[lo]]
+                if not len(y):
+                    continue
+                for k in {x, *y.tolist()} - full.keys():
+                    full[k] = unpacked(packed[k])
+                others = [full[k] for k in y.tolist()]
+                flat, mine = np.concatenate(others), full[x]
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                ends = np.cumsum([len(o) for o in others])
+                both = np.diff(np.concatenate(([0], np.cumsum(hit)[ends - 1])))
+                y = y[100 * both >= percent * (n[x] + n[y] - both)]
+                left.append(np.full(len(y), rep[x], dtype=rep.dtype))
+                right.append(rep[y])
         none = np.zeros(0, dtype=rep.dtype)
         return pd.DataFrame({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
 
@@ -244,10 +260,10 @@ def likely_pairs(members: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def spread(members: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """(bucket, rep, c): members with their components, of the buckets that hold more than one."""
+    """(bucket, rep, n, c): members with their components, of the buckets that hold more than one."""
     placed = members.withColumn("c", F.col("rep"))
     if comp is not None:
-        placed = members.join(comp.select(F.col("v").alias("rep"), F.col("c").alias("own")), "rep", "left").select("bucket", "rep", F.coalesce("own", "rep").alias("c"))
+        placed = members.join(comp.select(F.col("v").alias("rep"), F.col("c").alias("own")), "rep", "left").select("bucket", "rep", "n", F.coalesce("own", "rep").alias("c"))
     several = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
     return materialise(placed.join(several, "bucket"))
 
@@ -258,23 +274,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sketches = materialise(with_nulls(sketched(docs)))
     classes = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("set_key", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "slots")).alias("m"))
     classes = materialise(classes.select("set_key", "n_shingles", F.col("m.doc_id").alias("rep"), "m.bands", "m.slots"))
-    members = classes.select("rep", F.explode("bands").alias("bucket"))
+    members = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    members = materialise(members.join(shared.select("bucket"), "bucket").select("bucket", "rep"))
+    members = materialise(members.join(shared.select("bucket"), "bucket").select("bucket", "rep", "n"))
     bitmap = filter_of(members.select(F.xxhash64("rep").alias("h")).distinct(), "h")
-    sizes = classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"))
-    sets = materialise(packed_sets(docs, bitmap).dropDuplicates(["doc_id"]).join(sizes, "doc_id"))
-    comp = None
-    for hub in (F.min, F.max, None):
-        placed = spread(members, comp)
-        if hub:
-            hubs = placed.groupBy("bucket").agg(hub(F.struct("rep", "c")).alias("k")).select("bucket", F.col("k.rep").alias("a"), F.col("k.c").alias("ca"))
-            pairs = placed.join(hubs, "bucket").where(F.col("c") != F.col("ca")).select("a", F.col("rep").alias("b"))
-        else:
-            pairs = likely_pairs(placed, classes.select("rep", "slots"))
-        links = materialise(verified(pairs.distinct(), sets, percent))
-        # Components so far, as stars, and the new links.
-        comp = components(links if comp is None else links.unionByName(comp.select(F.col("v").alias("a"), F.col("c").alias("b"))))
+    known = classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), "bands", "slots")
+    sets = materialise(packed_sets(docs, bitmap).dropDuplicates(["doc_id"]).join(known, "doc_id"))
+    placed = spread(members, None)
+    hubs = placed.groupBy("bucket").agg(F.min("rep").alias("a"))
+    pairs = placed.join(hubs, "bucket").where(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
+    comp = components(materialise(verified(pairs, sets, percent)))
+    links = materialise(links_in_buckets(spread(members, comp), sets, percent))
+    # Components so far, as stars, and the new links.
+    comp = components(links.unionByName(comp.select(F.col("v").alias("a"), F.col("c").alias("b"))))
     by_key = classes.select("set_key", "n_shingles", "rep")
     by_key = by_key.join(comp.select(F.col("v").alias("rep"), "c"), "rep", "left").select("set_key", "n_shingles", F.coalesce("c", "rep").alias("c"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(by_key, ["set_key", "n_shingles"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
