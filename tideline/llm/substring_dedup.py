@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,22 +175,42 @@ def _hits(raws: list[bytes], codes: np.ndarray, buckets: int) -> Iterator[Runs]:
         yield doc[hit], start[hit], size[hit], code[hit], run[hit]
 
 
-_LISTED = "kind int, block long, id long, n_bytes long, sha string, text string, bucket long, codes binary, runs binary, firsts binary, more binary"
+def _packed_texts(ids: np.ndarray, raws: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    """Ids, sizes and compressed texts of a block's documents."""
+    sizes = np.array([len(r) for r in raws], dtype=np.int64)
+    return _planes(ids.astype(np.int64)), _planes(sizes), pa.compress(b"".join(raws), codec="zstd", asbytes=True)
 
 
-def _listed(block: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Rows of kind 0, the documents (with text if a minimiser is shared), and of kind 1, the distinct shared runs by bucket.
+def _unpacked_texts(texts: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
+    """Ids and texts of a block's documents, of which there is one row or none."""
+    if texts.empty:
+        return np.zeros(0, dtype=np.int64), []
+    row = texts.iloc[0]
+    ids, ends = _values(row["ids"]).view(np.int64), np.cumsum(_values(row["sizes"]).view(np.int64)).tolist()
+    whole = pa.decompress(row["texts"], decompressed_size=ends[-1], codec="zstd", asbytes=True)
+    return ids, [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+_LISTED = "kind int, block long, id long, n_bytes long, sha string, bucket long, codes binary, runs binary, firsts binary, more binary, ids binary, sizes binary, texts binary"
+
+
+def _listed(block: pd.DataFrame, shared: pd.DataFrame, buckets: int, with_text: bool) -> pd.DataFrame:
+    """Rows of kind 0, documents that share no minimiser; of kind 1, the distinct shared runs by bucket; one of kind 2,
+    the texts of all other documents (of all documents, if the result is to have texts).
 
     ``more`` marks the runs that several documents of the block have.
     """
     known = [(np.uint64(b) << U(8 * SHORT)) | _unpack(x) for b, x in zip(shared["bucket"], shared["repeated"], strict=True)]
     codes = np.sort(np.concatenate(known)) if known else np.zeros(0, dtype=np.uint64)
     ids, raws, number = block["id"].to_numpy(), utf8(block["text"]), int(block["block"].iloc[0]) if len(block) else 0
-    marked, parts = np.zeros(len(raws), dtype=bool), []
+    marked, parts = np.full(len(raws), with_text), []
     for doc, _, _, code, run in _hits(raws, codes, buckets):
         marked[doc] = True
         parts.append((code, run, ids[doc]))
-    rows = [(0, number, int(i), len(r), hashlib.sha256(r).hexdigest(), t if m else None, None, None, None, None, None) for i, r, t, m in zip(ids, raws, block["text"], marked.tolist(), strict=True)]
+    rows: list[dict] = [{"kind": 0, "block": number, "id": int(ids[d]), "n_bytes": len(raws[d]), "sha": hashlib.sha256(raws[d]).hexdigest()} for d in np.flatnonzero(~marked).tolist()]
+    if marked.any():
+        own, sizes, texts = _packed_texts(ids[marked], [raws[d] for d in np.flatnonzero(marked).tolist()])
+        rows.append({"kind": 2, "block": number, "ids": own, "sizes": sizes, "texts": texts})
     if parts:
         code, run, doc = (np.concatenate([p[k] for p in parts]) for k in range(3))
         order = np.lexsort((doc, run, code))
@@ -200,8 +221,9 @@ def _listed(block: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataF
         bucket = (code >> U(8 * SHORT)).astype(np.int64)
         edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
         for lo, hi in zip(edges, [*edges[1:], len(code)], strict=True):
-            rows.append((1, number, None, None, None, None, int(bucket[lo]), _planes(code[lo:hi]), _planes(run[lo:hi]), _planes(doc[lo:hi]), np.packbits(more[lo:hi]).tobytes()))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _LISTED.split(", ")], dtype=object)
+            rows.append({"kind": 1, "block": number, "bucket": int(bucket[lo]), "codes": _planes(code[lo:hi]), "runs": _planes(run[lo:hi]), "firsts": _planes(doc[lo:hi]), "more": np.packbits(more[lo:hi]).tobytes()})
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in _LISTED.split(", ")], dtype=object)
+    return out.where(out.notna(), None)
 
 
 _SETTLED = "block long, codes binary, runs binary, firsts binary, mixed binary"
@@ -238,7 +260,7 @@ _MIXED = "block long, code long, hash long, run binary, first long, last long"
 
 def _mixed(docs: pd.DataFrame, settled: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """The distinct runs of a block whose minimisers have different ones, with their bytes."""
-    ids, raws, found = docs["id"].to_numpy(dtype=np.int64), utf8(docs["text"]), {}
+    (ids, raws), found = _unpacked_texts(docs), {}
     codes = np.unique(np.concatenate([_values(x) for x in settled["mixed"]])) if len(settled) else np.zeros(0, dtype=np.uint64)
     for doc, start, size, code, run in _hits(raws, codes, buckets):
         own = ids[doc]
@@ -294,7 +316,7 @@ def _decided(bucket: pd.DataFrame) -> pd.DataFrame:
 
 def _removed(docs: pd.DataFrame, told: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """The documents of a block without the bytes that smaller documents have."""
-    ids, raws = docs["id"].to_numpy(dtype=np.int64), utf8(docs["text"])
+    ids, raws = _unpacked_texts(docs)
     alike, differ = told[told["codes"].notna()], told[told["codes"].isna()]
     key = lambda code, run: mix(code * U(0x9E3779B97F4A7C15) + run)
     join = lambda c: np.concatenate([np.zeros(0, dtype=np.uint64), *map(_values, alike[c])])
@@ -335,11 +357,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(2 * buckets))).repartition(buckets, "block")
     named = dealt.groupBy("block").applyInPandas(lambda b: _named(b, buckets), "bucket long, block long, seen binary, twice binary")
     shared = named.groupBy("bucket").applyInPandas(_shared, "block long, bucket long, repeated binary")
-    listed = materialise(dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(lambda b, s: _listed(b, s, buckets), _LISTED))
+    listed = materialise(dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(lambda b, s: _listed(b, s, buckets, with_text), _LISTED))
     release(spark)
     settled = materialise(listed.where("kind = 1").select("block", "bucket", "codes", "runs", "firsts", "more").groupBy("bucket").applyInPandas(_settled, _SETTLED))
     release(spark)
-    texts = listed.where("kind = 0 and text is not null").select("block", "id", "text")
+    texts = listed.where("kind = 2").select("block", "ids", "sizes", "texts")
     mixed = texts.groupBy("block").cogroup(settled.where(F.length("mixed") > 0).select("block", "mixed").groupBy("block")).applyInPandas(lambda d, s: _mixed(d, s, buckets), _MIXED)
     decided = mixed.withColumn("bucket", F.pmod(F.col("code"), F.lit(4 * buckets))).groupBy("bucket").applyInPandas(_decided, "block long, code long, hash long, each array<long>")
     decided = materialise(decided)
@@ -350,6 +372,6 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     done = texts.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(lambda d, t: _removed(d, t, buckets), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not with_text:
         done = done.drop("kept")
-    whole = listed.where("kind = 0 and text is null").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    whole = listed.where("kind = 0").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
     out = done.unionByName(whole, allowMissingColumns=True).withColumn("doc_id", F.when(F.col("id") != F.lit(NO_ID), F.col("id")))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
