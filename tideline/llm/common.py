@@ -38,11 +38,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Spark then drops the shuffle files of a statement when it ends; later ones read what it wrote.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut lineage by writing to the shared folder and reading back; survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    path, before = f"{scratch_dir(spark)}/{uuid.uuid4().hex}", spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
