@@ -54,3 +54,35 @@ def test_seeds_hash_only_selected_words():
         changed = words.copy()
         changed[[j for j in range(len(mask)) if mask[j] == "0"]] = 999
         assert list(dc.seeds(changed, counts))[k][1][0] == seed[0]
+
+
+def test_an_alignment_counts_if_any_run_meets_both_limits():
+    rng, more = np.random.default_rng(9), 0
+    for _ in range(3000):
+        equal = rng.random(rng.integers(1, 60)) < rng.uniform(0.5, 0.95)
+        equal[rng.integers(0, min(4, len(equal)))] = equal[-rng.integers(1, min(4, len(equal)) + 1)] = False
+        needed = min(12, int(np.ceil(0.75 * len(equal))))
+        seen = np.concatenate(([0], np.cumsum(equal)))
+        runs = [int(seen[b] - seen[a]) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if seen[b] - seen[a] >= 0.75 * (b - a)]
+        start, end, matched = dc.accepted_run(equal, needed, 0.75)
+        assert (matched is not None) == (max(runs, default=0) >= needed)
+        assert dc.fullest_run(equal, 0.75)[2] == max(runs, default=0)
+        if matched is not None:
+            assert matched == equal[start:end].sum() >= needed and matched >= 0.75 * (end - start)
+            a, b, best = dc.best_run(equal)
+            more += best < needed or best < 0.75 * (b - a)
+    assert more > 100
+
+
+def test_copies_with_words_substituted_near_the_ends_are_found(spark):
+    item = [f"v{k}" for k in range(14)]
+    long = [f"u{k}" for k in range(60)]
+    near = [w if k not in (2, 11) else "CHANGED" for k, w in enumerate(item)]
+    # 8 equal words of each 11: the best run, 43 of 58, has less than SHARE, one inside it has 36 of 48.
+    worn = [w if k * 7 % 11 < 8 else "CHANGED" for k, w in enumerate(long)]
+    docs = spark.createDataFrame([(1, " ".join(["x", *near, "y"])), (2, " ".join(worn)), (3, " ".join(["CHANGED" if k % 2 else w for k, w in enumerate(long)]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long))], "item_id long, text string")
+    rows = {(r["doc_id"], r["item_id"]): (r["doc_word"], r["item_word"], r["n_aligned"], r["n_matched"]) for r in dc.contaminated(docs, bench).collect()}
+    assert rows.keys() == {(1, 1), (2, 2)}
+    assert rows[1, 1] == (1, 0, 14, 12)
+    assert rows[2, 2][3] >= 12 and rows[2, 2][3] >= 0.75 * rows[2, 2][2]

@@ -3,8 +3,9 @@
 Words are runs of ASCII letters and digits and bytes beyond ASCII, A-Z lower-cased. Fixed masks lay over every word
 position and hash only the selected words, so a substituted word under an ignored place does not matter. Seeds of
 documents are joined with seeds of benchmark items; each hit names an alignment (item, shift), and the words aligned
-around it are compared: the best run of the alignment, a match counting 1 and a substitution -2, must hold LEAST_WORDS
-matches (or SHARE of a shorter item) with SHARE of its words equal.
+around it are compared: any run of the alignment may hold LEAST_WORDS matches (or SHARE of a shorter item) with SHARE of
+its words equal. If the run of best score (a match counting 1, a substitution -2) does, it is the one that is told, else
+the run with most matches of those that do.
 
 A filter of fixed size over the benchmark's seeds drops document seeds that no item can have before anything is
 shuffled, however large either side is; joins do the rest. Items of fewer than five words say too little to tell
@@ -107,14 +108,42 @@ def best_run(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
-def compared(doc: Column, item: Column) -> Column:
-    """struct<start, end, matched> of the best run of two aligned arrays of words."""
+def fullest_run(equal: np.ndarray, share: float) -> tuple[int, int, int]:
+    """Start, end and matches of the run with most matches among all with a share of their words equal, the leftmost."""
+    seen = np.concatenate(([0], np.cumsum(equal)))
+    # A run has the share if this does not fall from its start to its end.
+    over = seen - share * np.arange(len(seen))
+    start = np.flatnonzero(equal)
+    if not len(start):
+        return 0, 0, 0
+    # The farthest end of each start: the last place from which on something is as high.
+    highest = np.maximum.accumulate(over[::-1])
+    end = len(over) - 1 - np.searchsorted(highest, over[start] - 1e-9)
+    best = int(np.argmax(seen[end] - seen[start]))
+    first = int(start[best])
+    last = int(start[np.searchsorted(start, end[best]) - 1])
+    return first, last + 1, int(seen[last + 1] - seen[first])
+
+
+def accepted_run(equal: np.ndarray, needed: float, share: float) -> tuple[int | None, int | None, int | None]:
+    """Start, end and matches of a run with the needed matches and the share of its words equal; of the best run if it is one."""
+    if equal.sum() < needed:
+        return None, None, None
+    start, end, matched = best_run(equal)
+    if matched < needed or matched < share * (end - start):
+        start, end, matched = fullest_run(equal, share)
+    return (start, end, matched) if matched >= needed else (None, None, None)
+
+
+def compared(doc: Column, item: Column, needed: Column, share: float) -> Column:
+    """struct<start, end, matched> of the accepted run of two aligned arrays of words, nulls without one."""
 
     @F.pandas_udf("start long, end long, matched long")
-    def run(doc: pd.Series, item: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best_run(np.asarray(d) == np.asarray(i)) for d, i in zip(doc, item, strict=True)], columns=["start", "end", "matched"])
+    def run(doc: pd.Series, item: pd.Series, needed: pd.Series) -> pd.DataFrame:
+        found = [accepted_run(np.asarray(d) == np.asarray(i), n, share) for d, i, n in zip(doc, item, needed, strict=True)]
+        return pd.DataFrame(found, columns=["start", "end", "matched"], dtype="Int64")
 
-    return run(doc, item)
+    return run(doc, item, needed)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, share: float = SHARE) -> DataFrame:
@@ -132,9 +161,9 @@ def contaminated(docs: DataFrame, items: DataFrame, least_words: int = LEAST_WOR
     size = F.least(F.size("item_words").cast("long"), F.size("doc_words") - F.col("shift")) - first
     part = aligned.withColumns({"first": first, "size": size})
     cut = lambda words, at: F.slice(words, (at + 1).cast("int"), F.col("size").cast("int"))
-    part = part.select("doc", "doc_id", "item", "item_id", "shift", "first", F.size("item_words").alias("n_item"), compared(cut(F.col("doc_words"), F.col("first") + F.col("shift")), cut(F.col("item_words"), F.col("first"))).alias("v"))
-    long_enough = F.col("v.matched") >= F.least(F.lit(float(least_words)), F.ceil(share * F.col("n_item")).cast("double"))
-    part = part.where(long_enough & (F.col("v.matched") >= share * (F.col("v.end") - F.col("v.start"))))
+    needed = F.least(F.lit(float(least_words)), F.ceil(share * F.size("item_words")).cast("double"))
+    part = part.select("doc", "doc_id", "item", "item_id", "shift", "first", compared(cut(F.col("doc_words"), F.col("first") + F.col("shift")), cut(F.col("item_words"), F.col("first")), needed, share).alias("v"))
+    part = part.where(F.col("v.matched").isNotNull())
     item_word = F.col("first") + F.col("v.start")
     best = F.min(F.struct((-F.col("v.matched")).alias("m"), (item_word + F.col("shift")).alias("doc_word"), item_word.alias("item_word"), (F.col("v.end") - F.col("v.start")).alias("n_aligned")))
     found = part.groupBy("doc", "doc_id", "item", "item_id").agg(best.alias("b"))
