@@ -90,3 +90,21 @@ def test_clean_documents_stay_and_foreign_ones_go(spark):
 
 def test_rules_on_an_empty_table(spark):
     assert qr.apply_rules(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_every_language_has_a_reference_of_its_own(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(70):
+        words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(20)]
+        rows += [(100 * k + i, " ".join(rng.choice(words, 120)), f"l{k}") for i in range(2 if k > 5 else 4)]
+    rows += [(-1, " ".join(rng.choice(["some", "words", "of", "none"], 120)), None), (-2, None, "l3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    limits = qr.Limits(max_repeat=100)
+    got = {r["doc_id"]: r.asDict() for r in qr.apply_rules(docs, limits).collect()}
+    assert len(got) == len(rows) and all(r["kept"] == (i != -2) for i, r in got.items())
+    assert got[-1]["word_distance"] < 1e-6 < max(r["word_distance"] or 0 for r in got.values()) < 0.5
+    # The same with references joined by label, of which only a few are broadcast.
+    monkeypatch.setattr(qr, "BROADCAST", 0)
+    monkeypatch.setattr(qr, "HOT", 4)
+    assert {r["doc_id"]: r.asDict() for r in qr.apply_rules(docs, limits).collect()} == got

@@ -5,8 +5,9 @@ distance, with the reference of that language; references are the sums of both h
 language. A document far from its reference goes, but only if it is long enough for its histogram to mean something.
 Base rules (word count, repeated word windows) come first.
 
-A language label is one of any number, so references are kept for the LANGUAGES most frequent labels (LANGUAGES + 1
-rows of COMMON words at most are broadcast); rarer labels and null share one reference.
+Every language label has a reference, and null has one. References are broadcast while they take up to BROADCAST bytes;
+beyond that only null's and those of the HOT most frequent labels are, and the others are joined by label, of which none
+is frequent.
 
 Edge cases: null or empty text has no words and fails the base rule; repeated rows are judged alike; equally frequent
 words are settled by the smaller word; an empty table gives an empty result; columns named like result columns are
@@ -24,8 +25,10 @@ from tideline.llm.common import SPACES, materialise
 
 #: Character classes, counted as what is left of the text without all else; the rest of the text is class "other".
 CLASSES = {"upper": "[^A-Z]+", "digit": "[^0-9]+", "stop": "[^.,;:!?'\"()-]+", "symbol": "[^#*$%&|<>]+"}
-COMMON, LANGUAGES = 20, 64
+COMMON, HOT = 20, 64
 WIDTH = 3
+#: Bytes of references that are broadcast whole.
+BROADCAST = 16 << 20
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept")
 
 
@@ -97,11 +100,18 @@ def char_counts(text: Column, chars: Column, word_chars: Column, symbols: Column
     return F.array(*counted, F.least(wide, rest), rest - F.least(wide, rest))
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """docs with __label: the language if it is among the LANGUAGES most frequent, else null."""
-    counts = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    kept = [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    return docs.withColumn("__label", F.when(F.col("lang").isin(kept), F.col("lang")) if kept else F.lit(None).cast("string"))
+def with_references(docs: DataFrame, references: DataFrame, size: Column) -> DataFrame:
+    """docs with the columns of their label's reference; size is the bytes of a reference."""
+    references = materialise(references.withColumnRenamed("__label", "__l"))
+    total = references.agg(F.sum(size)).first()[0] or 0
+    if total <= BROADCAST:
+        return docs.join(F.broadcast(references), F.col("__label").eqNullSafe(F.col("__l")), "left").drop("__l")
+    counts = docs.where(F.col("__label").isNotNull()).groupBy("__label").agg(F.count(F.lit(1)).alias("n"))
+    hot = [r["__label"] for r in counts.orderBy(F.desc("n"), "__label").limit(HOT).collect()]
+    frequent = lambda label: label.isNull() | label.isin(hot)
+    near, far = (docs.where(c) for c in (frequent(F.col("__label")), ~frequent(F.col("__label"))))
+    near = near.join(F.broadcast(references.where(frequent(F.col("__l")))), F.col("__label").eqNullSafe(F.col("__l")), "left")
+    return near.unionByName(far.join(references.hint("merge"), F.col("__label") == F.col("__l"), "left")).drop("__l")
 
 
 def word_reference(docs: DataFrame) -> DataFrame:
@@ -137,16 +147,15 @@ def distance(p: Column, q: Column) -> Column:
 
 def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents with base counts, both distances (null where too short), base_failed and kept."""
-    docs = labelled(docs.drop(*RESULTS))
+    docs = docs.drop(*RESULTS).withColumn("__label", F.col("lang"))
     counted = base_counts(docs).withColumn("__chars", char_counts(F.col("__text"), F.length("__text").cast("long"), F.col("word_chars"), F.col("n_symbols"))).drop("__text")
-    words = F.broadcast(word_reference(docs))
-    counted = counted.join(words.withColumnRenamed("__label", "__l"), F.col("__label").eqNullSafe(F.col("__l")), "left").drop("__l")
+    size = F.aggregate("__ref_words", F.lit(12 * COMMON).cast("long"), lambda n, w: n + F.octet_length(w))
+    counted = with_references(counted, word_reference(docs), size)
     common = F.filter("__words", lambda w: F.array_contains("__ref_words", w))
     counted = counted.withColumn("__common", common).drop("__words")
     seen = F.transform("__ref_words", lambda c: F.size(F.filter("__common", lambda w: w == c)).cast("long"))
     counted = materialise(counted.withColumn("__seen", F.concat(seen, F.array(F.col("n_words") - F.size("__common")))).drop("__common", "__ref_words"))
-    chars = F.broadcast(char_reference(counted).withColumnRenamed("__label", "__l"))
-    counted = counted.join(chars, F.col("__label").eqNullSafe(F.col("__l")), "left")
+    counted = with_references(counted, char_reference(counted), F.lit(12 * (len(CLASSES) + 3)))
     shares = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b))
     n_chars = F.aggregate("__chars", F.lit(0).cast("long"), lambda a, b: a + b)
     judged = counted.withColumns({
@@ -155,4 +164,4 @@ def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         "base_failed": (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat * F.col("n_words")),
     })
     near = (F.coalesce("char_distance", F.lit(0.0)) <= limits.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= limits.max_word_distance)
-    return judged.withColumn("kept", ~F.col("base_failed") & near).drop("__l", "__label", "__chars", "__seen", "__ref_p", "__ref_chars")
+    return judged.withColumn("kept", ~F.col("base_failed") & near).drop("__label", "__chars", "__seen", "__ref_p", "__ref_chars")
