@@ -91,3 +91,36 @@ def test_without_rules_or_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c"), (2, None)], "page_id long, url string")
     assert {r["verdict"] for r in uf.filter_urls(pages, []).collect()} == {"allow"}
     assert uf.filter_urls(pages.where("false"), RULES).count() == 0
+
+
+def test_scores_are_exact_with_more_grams_than_slots(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-_%é") for _ in range(n))
+    ends = [("allow", "org"), ("block", "com/de"), (None, "net")]
+    pages = [(k, f"http://{text(9)}.{ends[k % 3][1]}/{text(60)}", ends[k % 3][0]) for k in range(6000)] + [(-1, None, None), (-2, "", None)]
+    pair, context = {}, {}
+    for c in ("allow", "block"):
+        pair[c], context[c] = Counter(), Counter()
+        for _, u, ruled in pages:
+            if ruled == c:
+                data = b"\0" * (uf.ORDERS - 1) + u.encode()
+                for i in range(uf.ORDERS - 1, len(data)):
+                    for o in range(uf.ORDERS):
+                        pair[c][data[i - o : i + 1]] += 1
+                        context[c][o, data[i - o : i]] += 1
+    assert len(pair["allow"]) > 2 * uf.SLOTS
+
+    def want(url):
+        data, total = b"\0" * (uf.ORDERS - 1) + (url or "").encode(), 0.0
+        for i in range(uf.ORDERS - 1, len(data)):
+            p = {"allow": 1 / 256, "block": 1 / 256}
+            for o in range(uf.ORDERS):
+                p = {c: (pair[c][data[i - o : i + 1]] + uf.WEIGHT * p[c]) / (context[c][o, data[i - o : i]] + uf.WEIGHT) for c in p}
+            total += np.log(p["allow"]) - np.log(p["block"])
+        return total / max(len((url or "").encode()), 1)
+
+    df = spark.createDataFrame([(k, u) for k, u, _ in pages], "page_id long, url string")
+    for hot in (uf.HOT, 50):  # with few grams broadcast, the others are joined
+        monkeypatch.setattr(uf, "HOT", hot)
+        got = {r["page_id"]: r["lm_score"] for r in uf.filter_urls(df, RULES).collect()}
+        assert len(got) == len(pages) and np.allclose([got[k] for k, _, _ in pages], [want(u) for _, u, _ in pages], atol=1e-9)

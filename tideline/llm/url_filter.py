@@ -3,8 +3,12 @@
 Two smoothed variable-order Markov models, of the URLs that rules accept and of those that rules reject, give a
 log-likelihood difference per character; a threshold calibrated on the ruled URLs decides the rest.
 
-The models are counts of hashed contexts in tables of a fixed size, so what is collected and broadcast never exceeds
-``2 classes x ORDERS x 2 x SLOTS`` integers however many URLs there are. Counts cover every ruled URL.
+Counts cover every ruled URL and are exact: the ORDERS bytes that end at a position fill part of a 64-bit number, a
+gram, whose low bytes are the shorter contexts. What a byte adds to the score depends on its gram alone, so it is worked
+out once for each distinct gram, by joins with the counts of its shorter parts (at most 256 x 256 grams share a key of
+those that are shuffled). The HOT grams most frequent are broadcast and added up where the URLs are; only the rarer ones,
+of which none is frequent, are joined. The hashed tables of ``_counts`` and ``_scores``, which hold counts exactly for
+few URLs only, are not used by the filter.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, fits no rule and has no characters to score
 (null URL) or is scored whole; repeated rows are judged alike and each kept; with no ruled URLs of one class the
@@ -21,12 +25,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ascii_lower
+from tideline.llm.common import ascii_lower, materialise
 
 #: Context lengths 0 to ORDERS - 1, slots of a hashed table, weight of the next shorter context.
 ORDERS, SLOTS, WEIGHT = 5, 1 << 16, 2.0
 #: Bins and half width of the calibration histogram.
 BINS, REACH = 4000, 4.0
+#: Grams whose part of the score is broadcast (16 bytes each).
+HOT = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,24 +112,82 @@ def _scores(urls: pd.Series, counts: np.ndarray) -> np.ndarray:
     return np.bincount(owner, np.log(p[0]) - np.log(p[1]), minlength=len(sizes)) / np.maximum(sizes, 1)
 
 
-def train(ruled: DataFrame) -> np.ndarray:
-    """Counts of every ruled URL, summed by slot on the cluster."""
-    known = ruled.where(F.col("ruled").isNotNull()).select("url", "ruled")
-    found = known.mapInPandas(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(2 * ORDERS * 2 * SLOTS, dtype=np.int64)
-    counts[found["slot"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
-    return counts.reshape(2, ORDERS, 2, SLOTS)
+def _whole_grams(urls: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """URL index of each byte, bytes per URL, and the gram that ends at each byte."""
+    raw = [u.lower().encode("utf-8", "surrogatepass") for u in urls.fillna("")]
+    pad = ORDERS - 1
+    flat = np.frombuffer(b"".join(b"\0" * pad + r for r in raw), dtype=np.uint8).astype(np.int64)
+    sizes = np.array([len(r) for r in raw], dtype=np.int64)
+    owner = np.repeat(np.arange(len(raw)), sizes)
+    at = np.arange(int(sizes.sum())) + pad * (owner + 1)
+    gram = np.zeros(len(at), dtype=np.int64)
+    for order in range(ORDERS):
+        gram |= flat[at - order] << (8 * order)
+    return owner, sizes, gram
 
 
-def score(df: DataFrame, counts: np.ndarray) -> DataFrame:
+def _counted_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        owner, _, gram = _whole_grams(batch["url"])
+        value, which = np.unique(gram, return_inverse=True)
+        ruled = batch["ruled"].to_numpy()[owner] if len(gram) else np.zeros(0, dtype=object)
+        count = lambda mask: np.bincount(which[mask], minlength=len(value)).astype(np.int64)  # noqa: B023, E731
+        yield pd.DataFrame({"gram": value, "n": count(np.ones(len(gram), dtype=bool)), "allow": count(ruled == "allow"), "block": count(ruled == "block")})
+
+
+def train(ruled: DataFrame) -> DataFrame:
+    """(gram, n, value) of every distinct gram of the URLs: how often it stands there, and what it adds to the score."""
+    sums = [F.sum(c).alias(c) for c in ("n", "allow", "block")]
+    grams = materialise(ruled.select("url", "ruled").mapInPandas(_counted_grams, "gram long, n long, allow long, block long").groupBy("gram").agg(*sums))
+    known = grams.where((F.col("allow") > 0) | (F.col("block") > 0))
+    found = grams.crossJoin(F.broadcast(grams.agg(F.coalesce(F.sum("allow"), F.lit(0)).alias("allow_c0"), F.coalesce(F.sum("block"), F.lit(0)).alias("block_c0"))))
+    low = lambda size: F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1))
+    context = lambda size: F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * size) - 1))
+    for order in range(ORDERS):
+        for kind, key, size in (("p", low(order + 1), order + 1), ("c", context(order), order)):
+            if size in (0, ORDERS):
+                continue
+            counts = known.groupBy(key.alias(f"k_{kind}{order}")).agg(F.sum("allow").alias(f"allow_{kind}{order}"), F.sum("block").alias(f"block_{kind}{order}"))
+            found = found.withColumn(f"k_{kind}{order}", key).join(F.broadcast(counts) if size <= 2 else counts, f"k_{kind}{order}", "left")
+    p = {}
+    for c in ("allow", "block"):
+        p[c] = F.lit(1 / 256)
+        for order in range(ORDERS):
+            pair = F.col(c) if order == ORDERS - 1 else F.coalesce(f"{c}_p{order}", F.lit(0))
+            p[c] = (pair + WEIGHT * p[c]) / (F.coalesce(f"{c}_c{order}", F.lit(0)) + WEIGHT)
+    return materialise(found.select("gram", "n", (F.log(p["allow"]) - F.log(p["block"])).alias("value")))
+
+
+def score(df: DataFrame, values: DataFrame) -> DataFrame:
     """Adds lm_score, the length-normalised log-likelihood difference (positive: like accepted URLs)."""
-    shared = df.sparkSession.sparkContext.broadcast(counts)
-
-    @F.pandas_udf("double")
-    def lm(urls: pd.Series) -> pd.Series:
-        return pd.Series(_scores(urls, shared.value))
-
-    return df.withColumn("lm_score", lm(F.col("url")))
+    # Broadcast the grams from the least power of two on from which there are at most HOT; a rarer one has under 2 / HOT of the bytes.
+    power = F.floor(F.log2("n")).cast("int")
+    sizes, least, kept = {r["power"]: r["count"] for r in values.groupBy(power.alias("power")).count().collect()}, 63, 0
+    while least and kept + sizes.get(least - 1, 0) <= HOT:
+        least -= 1
+        kept += sizes.get(least, 0)
+    common = values.where(power >= least).select("gram", "value").toPandas().sort_values("gram")
+    all_common = least == 0
+    shared = df.sparkSession.sparkContext.broadcast((common["gram"].to_numpy(dtype=np.int64), common["value"].to_numpy(dtype=np.float64)))
+
+    @F.pandas_udf("total double, size long, rare array<long>")
+    def parts(urls: pd.Series) -> pd.DataFrame:
+        grams, value = shared.value
+        owner, sizes, gram = _whole_grams(urls)
+        at = np.minimum(np.searchsorted(grams, gram), max(len(grams) - 1, 0))
+        hit = grams[at] == gram if len(grams) else np.zeros(len(gram), dtype=bool)
+        total = np.bincount(owner[hit], value[at[hit]], minlength=len(sizes))
+        rare, ends = gram[~hit], np.cumsum(np.bincount(owner[~hit], minlength=len(sizes)))
+        return pd.DataFrame({"total": total, "size": sizes, "rare": [r.tolist() for r in np.split(rare, ends[:-1])]})
+
+    length = F.greatest(F.col("__parts.size"), F.lit(1))
+    scored = df.withColumn("__parts", parts(F.col("url")))
+    if all_common:
+        return scored.withColumn("lm_score", F.col("__parts.total") / length).drop("__parts")
+    scored = materialise(scored.withColumn("__row", F.monotonically_increasing_id()))
+    each = scored.select("__row", F.explode("__parts.rare").alias("gram")).join(values.select("gram", "value").hint("merge"), "gram")
+    rest = each.groupBy("__row").agg(F.sum("value").alias("__rest"))
+    return scored.join(rest, "__row", "left").withColumn("lm_score", (F.col("__parts.total") + F.coalesce("__rest", F.lit(0.0))) / length).drop("__parts", "__row", "__rest")
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -145,8 +209,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """The pages' columns with host, path, rule, lm_score and verdict (the rule's, else the models')."""
     clash = [c for c in ("host", "path", "rule", "ruled", "lm_score", "verdict") if c in pages.columns]
     ruled = with_rules(pages.drop(*clash), rules)
-    counts = train(ruled)
-    scored = score(ruled, counts)
+    scored = materialise(score(ruled, train(ruled)))
     least = calibrate(scored.select("ruled", "lm_score"))
     own = F.when(F.col("lm_score") >= F.lit(least), "allow").otherwise("block")
     return scored.withColumn("verdict", F.coalesce("ruled", own)).drop("ruled")
