@@ -98,3 +98,17 @@ def test_revealing_terms_go_and_clean_texts_stay(spark):
     assert not any(found[100 + i] for i in range(40))
     text = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert "zarquon" not in text[0] and "[EMAIL]" in text[0] and text[100] == rows[6][1]
+
+
+def test_a_revealing_term_goes_from_the_whole_document(spark):
+    gap = " ".join(["and so on"] * 30)
+    rows = [(i, f"Zarquon, {gap} {gap} mail zar@x.org1 or ü@ 10.0.0.1 {gap} {gap} zarquon zarquonian. {gap} ZARQUON") for i in range(6)]
+    rows += [(100 + i, f"words ü and so on mail or {'zarquonian' * (i < 20)} of case {i}") for i in range(60)] + [(7, None), (None, "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
+    assert len(found) == len(rows) and not any(found[i] for i in [7, None, *range(100, 160)])
+    for i in range(6):
+        terms = [(s["start"], s["end"], s["match"]) for s in found[i] if s["kind"] in ("term", "removed")]
+        assert terms == [(m.start(), m.end(), "zarquon") for m in re.finditer(r"(?i)\bzarquon\b", rows[i][1])] and len(terms) == 3
+    text = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all(not re.search(r"(?i)\bzarquon\b", text[i]) and "zarquonian" in text[i] for i in range(6))

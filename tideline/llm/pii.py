@@ -1,17 +1,18 @@
 """Personal data: base patterns, then information-theoretic sanitisation, with DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers; their values are the protected entities.
-A term (a word within REACH characters of an entity) reveals an entity as far as their co-occurrence in the corpus
-says so: with document counts n(t), n(e), n(t, e) of N documents, the pointwise mutual information
+A term (a word outside all base spans of a document that holds an entity) reveals the entity as far as their
+co-occurrence in the corpus says so: with document counts n(t), n(e), n(t, e) of N documents, the pointwise mutual information
 log(n(t, e) N / (n(t) n(e))) is compared with the entity's information content log(N / n(e)). A term whose share of it
-reaches ``generalise`` is replaced by a general mark wherever it stands near that entity, and one that reaches
-``remove`` is removed. Terms seen with an entity in fewer than ``support`` documents say nothing.
+reaches ``generalise`` is replaced by a general mark wherever it stands in a document that holds that entity, and one
+that reaches ``remove`` is removed. Terms seen with an entity in fewer than ``support`` documents say nothing.
 
-All counts are over all documents. Counts of terms and of pairs are partly summed before each shuffle; the join of
-mentions with revealing pairs stands alone between exchanges, so that a hot pair can be split.
+All counts are over all documents and whole texts. Counts of terms and of pairs are partly summed before each shuffle.
+Pairs are formed only of entities and terms that can reach ``support`` and ``generalise``: n(t, e) is at most n(e), so
+n(t) must not exceed N (n(e) / N) ^ generalise.
 
-Edge cases: null text counts as empty; repeated rows count as documents of their own; rows that share a doc_id share
-their term spans where those lie within the text; a null doc_id is a value like any other; an empty table gives an
+Edge cases: null text counts as empty; repeated rows count as documents of their own, with term spans of their own even
+if they share a doc_id; a null doc_id is a value like any other; an empty table gives an
 empty result; a column named like a result column is replaced.
 """
 
@@ -32,8 +33,7 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 TERM = r"\p{L}[\p{L}\p{N}]*+"
-#: Characters on either side of an entity in which terms are taken to co-occur with it.
-REACH = 64
+WORD = rf"(?<=[^\p{{L}}\p{{N}}]){TERM}(?=[^\p{{L}}\p{{N}}])"
 
 _LOW_IP = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?!$)|$)){4}$"
 
@@ -61,60 +61,79 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Spans of the whole words within REACH characters of a span."""
-    begin = F.greatest(span["start"] - REACH, F.lit(0).cast("long"))
-    left = F.when(begin > 0, F.substring(text, begin, span["start"] - begin + 1)).otherwise(F.concat(F.lit(" "), F.substring(text, F.lit(1), span["start"])))
-    right = F.concat(F.substring(text, span["end"] + 1, F.lit(REACH + 1)), F.when(span["end"] + REACH < F.length(text), F.lit("")).otherwise(F.lit(" ")))
-    moved = lambda found, by: F.transform(found, lambda s: F.struct((s["start"] + by).alias("start"), F.lit(4).alias("rank"), (s["end"] + by).alias("end"), F.lit("term").alias("kind"), F.lower(s["match"]).alias("match")))
-    return F.concat(
-        moved(matches(left, rf"(?<=[^\p{{L}}\p{{N}}]){TERM}", "term"), begin - 1),
-        moved(matches(right, rf"(?<![\p{{L}}\p{{N}}]){TERM}(?=[^\p{{L}}\p{{N}}])", "term"), span["end"]),
-    )
+def _gaps(text: Column, base: Column) -> Column:
+    """Array of struct<at, piece>: what lies outside all spans, with a character (or space) more on either side; at is
+    where the piece would begin in the text."""
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("gaps"))
+    gap = lambda acc, end: F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("begin"), end.cast("long").alias("end"))))
+    gaps = F.aggregate(base, first, lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), gap(acc, s["start"]).alias("gaps")), lambda acc: gap(acc, F.length(text)))
+
+    def piece(g: Column) -> Column:
+        taken = F.substring(text, F.greatest(g["begin"], F.lit(1)), g["end"] - g["begin"] + F.when(g["begin"] > 0, F.lit(2)).otherwise(F.lit(1)))
+        return F.concat(F.when(g["begin"] == 0, F.lit(" ")).otherwise(F.lit("")), taken, F.when(g["end"] == F.length(text), F.lit(" ")).otherwise(F.lit("")))
+
+    return F.transform(F.filter(gaps, lambda g: g["begin"] < g["end"]), lambda g: F.struct((g["begin"] - 1).alias("at"), piece(g).alias("piece")))
+
+
+def _marks(gaps: Column, kinds: Column) -> Column:
+    """Spans of all words that the map kinds has; only these are appended, so that a long text takes linear time."""
+
+    def of_gap(g: Column) -> Column:
+        words = F.zip_with(F.split(g["piece"], WORD, -1), F.regexp_extract_all(g["piece"], F.lit(WORD), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), hit.alias("hit")))
+        first = F.struct(g["at"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+
+        def add(acc: Column, x: Column) -> Column:
+            begin, word = acc["at"] + x["gap"], F.lower(x["hit"])
+            end, kind = begin + F.coalesce(F.length(x["hit"]), F.lit(0)), F.try_element_at(kinds, F.coalesce(word, F.lit("")))
+            span = F.struct(begin.alias("start"), F.when(kind == "removed", F.lit(5)).otherwise(F.lit(4)).alias("rank"), end.alias("end"), kind.alias("kind"), word.alias("match"))
+            return F.struct(end.alias("at"), F.when(kind.isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(span))).alias("found"))
+
+        return F.aggregate(words, first, add, lambda acc: acc["found"])
+
+    return F.flatten(F.transform(gaps, of_gap))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans and near: struct<entity, span> of each word near a base span and outside all of them."""
+    """__row, doc_id, base spans and, where there are any, the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    each = F.transform(
-        "base",
-        lambda s: F.transform(
-            F.filter(_near(F.col("text"), s), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))),
-            lambda t: F.struct(F.concat_ws(":", s["kind"], F.lower(s["match"])).alias("entity"), t.alias("span")),
-        ),
-    )
-    near = F.when(F.size("base") > 0, F.flatten(each)).otherwise(F.array().cast(f"array<struct<entity:string,span:{SPAN}>>"))
-    return found.withColumn("near", near).drop("text")
-
-
-def revealing(docs: DataFrame, found: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
-    """(entity, term, kind) of the pairs whose share of the entity's information reaches a threshold."""
-    pairs = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["span"]["match"].alias("term"))))).alias("p"))
-    pairs = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support).select("p.entity", "p.term", "n_te")
+    found = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    return found.withColumn("text", F.when(F.size("base") > 0, F.col("text")))
+
+
+def together(docs: DataFrame, found: DataFrame, generalise: float, support: int) -> DataFrame:
+    """(__row, entity, term, n_e, n_t, n) of each entity and term of a document that may reach the thresholds."""
     names = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))))
-    entities = found.where(F.size("base") > 0).select(F.explode(names).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}]){TERM}"), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    held = found.where(F.size("base") > 0).select("__row", F.explode(names).alias("entity"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    joint = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support).crossJoin(F.broadcast(total)).where(F.col("n") > F.col("n_e"))
+    most = F.col("n") * F.pow(F.col("n_e") / F.col("n"), F.lit(generalise)) * (1 + 1e-9)
+    held = materialise(held.join(entities.withColumn("most", most), "entity"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}]){TERM}"), F.lit(0)))
+    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= support)
+    terms = terms.crossJoin(F.broadcast(held.agg(F.max("most").alias("limit")))).where(F.col("n_t") <= F.col("limit")).drop("limit")
+    own = F.array_distinct(F.flatten(F.transform(_gaps(F.col("text"), F.col("base")), lambda g: F.transform(F.regexp_extract_all(g["piece"], F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))))
+    each = found.join(held.select("__row").distinct(), "__row", "left_semi").select("__row", F.explode(own).alias("term"))
+    return each.join(terms, "term").join(held, "__row").where(F.col("n_t") <= F.col("most")).drop("most")
+
+
+def revealing(pairs: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
+    """(entity, term, kind) of the pairs whose share of the entity's information reaches a threshold."""
+    joint = pairs.groupBy("entity", "term", "n_e", "n_t", "n").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
     share = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
-    joint = joint.where(F.col("n") > F.col("n_e")).withColumn("share", share).where(F.col("share") >= generalise)
+    joint = joint.withColumn("share", share).where(F.col("share") >= generalise)
     return joint.select("entity", "term", F.when(F.col("share") >= remove, F.lit("removed")).otherwise(F.lit("term")).alias("kind"))
 
 
 def find_personal_data(docs: DataFrame, generalise: float = 0.9, remove: float = 0.999, support: int = 3) -> DataFrame:
     """(doc_id, base, spans) for every row: base spans, and those with the revealing terms, sorted."""
     found = materialise(mentions(docs))
-    pairs = revealing(docs, found, generalise, remove, support)
-    near = found.where(F.size("near") > 0).select("doc_id", F.explode("near").alias("x")).select("doc_id", F.col("x.entity").alias("entity"), F.col("x.span.match").alias("term"), F.col("x.span").alias("span"))
-    hits = near.join(pairs, ["entity", "term"])
-    # One span for each place: a term that one entity generalises and another removes is removed.
-    rank = F.when(F.col("kind") == "removed", 5).otherwise(4)
-    hits = hits.groupBy(F.col("doc_id").alias("__id"), F.col("span.start").alias("start"), F.col("span.end").alias("end")).agg(F.max(F.struct(rank.alias("rank"), "kind", F.col("span.match").alias("match"))).alias("m"))
-    extra = hits.groupBy("__id").agg(F.collect_list(F.struct("start", F.col("m.rank").alias("rank"), "end", F.col("m.kind").alias("kind"), F.col("m.match").alias("match"))).alias("extra"))
-    whole = found.select("doc_id", "base").join(extra, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return whole.select("doc_id", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra"))).alias("spans"))
+    pairs = materialise(together(docs, found, generalise, support))
+    hits = pairs.select("__row", "entity", "term").join(revealing(pairs, generalise, remove, support), ["entity", "term"])
+    # A term that one entity generalises and another removes is removed, the smaller of both words.
+    hits = hits.groupBy("__row", "term").agg(F.min("kind").alias("kind")).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
+    whole = found.join(hits, "__row", "left")
+    marks = _marks(_gaps(F.col("text"), F.col("base")), F.col("kinds"))
+    return whole.select("doc_id", "base", F.when(F.col("kinds").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", marks))).alias("spans"))
 
 
 def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
