@@ -6,6 +6,7 @@ import re
 import numpy as np
 
 from tideline.llm import near_dup
+from tideline.llm.hashing import word_hashes
 
 
 def words_of(text):
@@ -65,6 +66,30 @@ def test_components_equal_all_pairs(spark):
     assert all(r["n_shingles"] == sizes[r["doc_id"]] for r in got)
 
 
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_words_on_which_polynomials_modulo_a_power_of_two_agree(spark):
+    one = "".join("ab"[b] for b in thue_morse(1024))
+    other = "".join("ba"[b] for b in thue_morse(1024))
+    got = near_dup.near_duplicates(spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_hashes_of_words():
+    rng = random.Random(2)
+    words = sorted({bytes(rng.choice(b"ab") for _ in range(n)) for n in [*range(1, 30), 63, 64, 65, 200] for _ in range(300)})
+    hashes, counts, _ = word_hashes([b" ".join(words), b"", b" ".join(words)])
+    assert counts.tolist() == [len(words), 0, len(words)] and len(set(hashes.tolist())) == len(words)
+    assert hashes[: len(words)].tolist() == hashes[len(words) :].tolist() == [word_hashes([w])[0][0] for w in words]
+
+
+def test_sets_keep_all_bits_of_a_shingle():
+    near = np.sort(np.array([1 << 40, (1 << 40) + 1, 5 << 40], dtype=np.uint64))
+    assert near_dup.unpacked(near.tobytes()).tolist() == near.tolist() and near_dup._set_key(near) != near_dup._set_key(near[:2])
+
+
 def test_empty_table(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,9 @@ U = np.uint64
 #: Odd base of the polynomial hash modulo 2^64, and its inverse.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of a word beyond which it is hashed by a digest, and masks that keep the first bytes of a lane of eight.
+LONG = 64
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 #: Bytes that part words, as in the word contracts.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: A filter's bits, and those of one of its chunks.
@@ -77,6 +81,26 @@ def blocks(raws: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(raws)
 
 
+def hashed_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of bytes [start, end) of each word.
+
+    Eight bytes at a time go through the mixer, so that words of up to eight bytes and of one length never share a hash,
+    and longer ones are no linear function of their letters.
+    """
+    size = end - start
+    lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, dtype=np.uint8)]), 8)
+    out = mix(size.astype(np.uint64) + U(_BASE))
+    todo, at = np.arange(len(start)), 0
+    while len(todo):
+        lane = lanes[start[todo] + at].view(np.uint64).ravel() & _LANE[np.minimum(size[todo] - at, 8)]
+        out[todo] = mix((out[todo] ^ lane) * U(_BASE) + U(at + 1))
+        at += 8
+        todo = todo[size[todo] > at] if at < LONG else todo[:0]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def word_hashes(raws: list[bytes], parts: bytes = SPACE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word of the texts in order, words of each text, and each word's start in the texts joined by a byte."""
     inside = np.ones(256, dtype=bool)
@@ -86,7 +110,7 @@ def word_hashes(raws: list[bytes], parts: bytes = SPACE_BYTES) -> tuple[np.ndarr
     word = inside[data]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    hashes = substring(prefix_hashes(data), start, end)
+    hashes = hashed_words(data, start, end)
     begins = np.cumsum([1, *(len(r) + 1 for r in raws)])
     counts = np.diff(np.searchsorted(start, begins))
     return hashes, counts, start

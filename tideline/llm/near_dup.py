@@ -6,6 +6,10 @@ needs no further round once every slot holds less than j + 1. Ranks within a per
 lowers the variance against independent minima. Bands of the signature bring similar texts together, candidates are
 verified on the full sets, and verified links are united to components.
 
+A shingle is 64 bits made of its words' hashes, in which no letter counts linearly; texts are of one class if the digests
+of their whole sets agree, and links compare whole sets. Two sets of 20,000 shingles hold a false match with a chance of
+about 2e-11.
+
 Whole job without all pairs of a group:
 
 * Texts of equal sets form one class, represented by the smallest id.
@@ -23,6 +27,7 @@ null component and is kept; an empty table gives an empty result; further column
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +44,8 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Rows and bytes of sets of a block of a bucket, least share of equal slots that is verified.
 BLOCK_ROWS, BLOCK_BYTES, LIKELY = 1024, 16 << 20, 0.55
-#: Bytes of a shingle's hash that verification compares.
-KEPT = 5
+#: Bytes of a shingle's hash.
+KEPT = 8
 _FACTORS = mix((np.arange(WORDS, dtype=np.uint64) + U(11)) * U(0xC2B2AE3D27D4EB4F)) | U(1)
 _ROUND = 0x9E3779B97F4A7C15
 
@@ -114,10 +119,8 @@ def lowered(texts: pd.Series) -> list[bytes]:
 
 
 def _set_key(s: np.ndarray) -> bytes:
-    """128 bits of the whole set."""
-    if not len(s):
-        return b""
-    return (mix(s).sum(dtype=np.uint64)).tobytes() + np.bitwise_xor.reduce(mix(s + U(0x632BE59BD9B4E019))).tobytes()
+    """A digest of the whole sorted set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -137,7 +140,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def packed_sets(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(doc_id, packed) with the sets of the documents whose id passes the filter: KEPT bytes a shingle, sorted."""
+    """(doc_id, packed) with the whole sets of the documents whose id passes the filter, sorted."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +148,7 @@ def packed_sets(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
             b = b.iloc[np.sort(passes(shared.value, b["h"].to_numpy(dtype=np.int64).view(np.uint64)))]
             raws = lowered(b["text"])
             for lo, hi in blocks(raws):
-                packed = [np.unique(s >> U(64 - 8 * KEPT)).view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() for s in shingle_sets(raws[lo:hi])]
+                packed = [s.tobytes() for s in shingle_sets(raws[lo:hi])]
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].reset_index(drop=True), "packed": packed})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -153,9 +156,7 @@ def packed_sets(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // KEPT, 8), dtype=np.uint8)
-    wide[:, :KEPT] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, KEPT)
-    return wide.view(np.uint64).ravel()
+    return np.frombuffer(raw, dtype=np.uint64)
 
 
 def similar(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
