@@ -45,10 +45,38 @@ def test_null_id_is_smallest_and_empty_table(spark):
     assert sd.remove_repeats(docs.where("false")).count() == 0
 
 
-def test_column_wise_order():
+def test_hot_anchors_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(sd, "PIECE", 300)
+    rng = random.Random(5)
+    phrase = "This phrase stands in very many of the documents. "[:rng.randint(35, 48)]
+    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    tails = [fresh(60) for _ in range(8)]
+    rows = [(i, fresh(rng.randint(0, 90)) + phrase + rng.choice([fresh(60), rng.choice(tails)]) + phrase * rng.randint(0, 2)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [w[:5] for w in brute([(i, t.encode()) for i, t in rows])]
+    for most in (3, 10_000):
+        assert sorted(tuple(r) for r in sd.remove_repeats(docs, most=most).collect()) == want
+
+
+def test_rounds_sort_suffixes_and_count_common_symbols():
     rng = np.random.default_rng(1)
-    windows = rng.integers(97, 99, (300, 6), dtype=np.uint8)
-    order, classes = sd.sorted_windows(windows)
-    rows = [w.tobytes() for w in windows]
-    assert [rows[k] for k in order] == sorted(rows)
-    assert [sorted(set(rows)).index(r) for r in rows] == classes.tolist()
+    strings = [bytes(rng.integers(97, 99, rng.integers(1, 12), dtype=np.uint8)) for _ in range(300)]
+    end = rng.integers(12, 15, 300)  # the column after each string's last symbol
+    begin = end - np.array([len(x) for x in strings])
+    order, common = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint8)
+    for k in range(14, -1, -1):
+        has = (begin <= k) & (k < end)
+        symbols = np.array([x[k - b] if h else 0 for x, b, h in zip(strings, begin, has, strict=True)], dtype=np.uint8)
+        order, common = sd.insert(order, common, np.flatnonzero(end == k + 1), symbols, has)
+        suffixes = [strings[i][k - begin[i] :] for i in order]
+        assert suffixes == sorted(suffixes) and sorted(order) == np.flatnonzero(has).tolist()
+        for a, b, n in zip(suffixes, suffixes[1:], common[1:], strict=False):
+            assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
+
+
+def test_least_of_ranges():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 200, 1000, dtype=np.uint8)
+    lo = rng.integers(0, 1000, 3000)
+    hi = lo + 1 + (rng.random(3000) * (1000 - lo)).astype(int)
+    assert sd.least(values, lo, hi).tolist() == [values[a:b].min() for a, b in zip(lo, hi, strict=True)]

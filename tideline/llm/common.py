@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -44,17 +43,25 @@ def _delete(spark: SparkSession, path: str) -> None:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, codec: str = "zstd", by: str | None = None) -> DataFrame:
     """Cut lineage by writing to the shared folder and reading back; survives the loss of any executor."""
     spark = df.sparkSession
     path, before = f"{scratch_dir(spark)}/{uuid.uuid4().hex}", spark.conf.get(CLEAN_UP)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        writer = df.write.option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what materialise() has written, once nothing reads it any more."""
+    _delete(df.sparkSession, df.written_to)
 
 
 #: Stands for a null id on the way through pandas, which would turn a column with nulls to floating point.
@@ -70,13 +77,6 @@ def with_nulls(df: DataFrame, column: str = "doc_id") -> DataFrame:
     return df.withColumn(column, F.when(F.col(column) != F.lit(NO_ID), F.col(column))) if dict(df.dtypes)[column] == "bigint" else df
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of what has been materialised, which it does once the driver's
-    references are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -84,6 +84,7 @@ def ascii_lower(c: Column) -> Column:
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of one Arrow batch, so that a batch of long texts fits a Python worker, and send workers the code."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     context = spark.sparkContext
     if getattr(context, "_tideline_sent", None) is None:
         package = Path(__file__).resolve().parents[1]
