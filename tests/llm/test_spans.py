@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tideline.llm import pii, secrets
 from tideline.llm.queries import _base_columns
 
@@ -64,6 +66,32 @@ def test_secrets(spark):
     held_against(found.select("doc_id", *_base_columns("secret_spans", ("assign", "access", "hex"))).collect(), texts, SECRETS)
 
 
+def test_texts_of_very_many_matches(spark):
+    """Running totals and cuts whose cost grew with the square of the matches would not end here."""
+    value = "deadbeefdeadbeef"
+    row = spark.createDataFrame([(1, f"{value} é " * 100_000)], DOCS)
+    out = secrets.redact(secrets.scan_secrets(row)).select(F.size("secret_spans").alias("n"), F.sha2("text", 256).alias("text"), F.element_at("secret_spans", -1)["start"].alias("last")).first()
+    assert out["n"] == 100_000 and out["last"] == 19 * 99_999 and out["text"] == hashlib.sha256(("[HEX] é " * 100_000).encode()).hexdigest()
+    row = spark.createDataFrame([(1, "ü u@x.org " * 20_000)], DOCS)
+    assert pii.sanitise(row).select(F.sha2("text", 256)).first()[0] == hashlib.sha256(("ü [EMAIL] " * 20_000).encode()).hexdigest()
+
+
+def test_lists_of_the_index_are_intersected(spark):
+    docs = spark.createDataFrame([(1, "akia kia"), (2, "aki"), (3, "kia AKI"), (None, "xakiax"), (3, "abc"), (4, None)], DOCS)
+    ids = {r["d"]: r["doc_id"] for r in docs.select(F.xxhash64("doc_id").alias("d"), "doc_id").collect()}
+    for shards in (1, 3):
+        index = secrets.inverted(secrets.postings(docs, ["aki", "kia", "abc"]), shards)
+        assert index.groupBy("shard", "trigram").count().where("count > 1").isEmpty()
+        found = secrets.candidates(index, {"both": ("and", "aki", "kia"), "any": ("or", "abc", ("and", "aki", "kia"))}).collect()
+        assert {ids[r["doc"]]: sorted(r["rules"]) for r in found} == {1: ["any", "both"], 3: ["any", "both"], None: ["any", "both"]}
+
+
+def test_sanitising_keeps_rows_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(None, "a@b.co is mine"), (None, "no data"), (1, "x 10.0.0.1"), (1, "y")], DOCS)
+    assert sorted(r["text"] for r in pii.sanitise(docs).collect()) == ["[EMAIL] is mine", "no data", "x [IP]", "y"]
+    assert pii.find_personal_data(docs.where("false")).count() == secrets.scan_secrets(docs.where("false")).count() == 0
+
+
 def test_queries_of_trigrams():
     assert secrets.trigram_query("AKIA[A-Z0-9]{14,}") == ("and", "aki", "kia")
     assert secrets.trigram_query("[0-9a-f]{16,}") is True

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import materialise
-from tideline.llm.spans import SPAN, matches
+from tideline.llm.spans import cut, let, matches, outside, parts, placed, replaced
 
 KINDS = ("email", "ip", "card", "phone", "term", "removed")
 #: Patterns of the contract, each with a guard that starts a search only where a match could begin (after a failed
@@ -64,39 +64,33 @@ def base_spans(text: Column) -> Column:
 def _gaps(text: Column, base: Column) -> Column:
     """Array of struct<at, piece>: what lies outside all spans, with a character (or space) more on either side; at is
     where the piece would begin in the text."""
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("gaps"))
-    gap = lambda acc, end: F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("begin"), end.cast("long").alias("end"))))
-    gaps = F.aggregate(base, first, lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), gap(acc, s["start"]).alias("gaps")), lambda acc: gap(acc, F.length(text)))
 
-    def piece(g: Column) -> Column:
-        taken = F.substring(text, F.greatest(g["begin"], F.lit(1)), g["end"] - g["begin"] + F.when(g["begin"] > 0, F.lit(2)).otherwise(F.lit(1)))
-        return F.concat(F.when(g["begin"] == 0, F.lit(" ")).otherwise(F.lit("")), taken, F.when(g["end"] == F.length(text), F.lit(" ")).otherwise(F.lit("")))
+    def piece(g: Column, pieces: Column, size: Column) -> Column:
+        taken = cut(pieces, F.greatest(g["begin"] - 1, F.lit(0).cast("bigint")), F.least(g["end"] + 1, size))
+        return F.concat(F.when(g["begin"] == 0, F.lit(" ")).otherwise(F.lit("")), taken, F.when(g["end"] == size, F.lit(" ")).otherwise(F.lit("")))
 
-    return F.transform(F.filter(gaps, lambda g: g["begin"] < g["end"]), lambda g: F.struct((g["begin"] - 1).alias("at"), piece(g).alias("piece")))
+    told = lambda size: lambda pieces: F.transform(outside(text, base), lambda g: F.struct((g["begin"] - 1).alias("at"), piece(g, pieces, size).alias("piece")))
+    return let(F.length(text).cast("bigint"), lambda size: let(parts(text), told(size)))
 
 
 def _marks(gaps: Column, kinds: Column) -> Column:
-    """Spans of all words that the map kinds has; only these are appended, so that a long text takes linear time."""
+    """Spans of all words that the map kinds has."""
 
     def of_gap(g: Column) -> Column:
-        words = F.zip_with(F.split(g["piece"], WORD, -1), F.regexp_extract_all(g["piece"], F.lit(WORD), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), hit.alias("hit")))
-        first = F.struct(g["at"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+        def span(start: Column, end: Column, hit: Column) -> Column:
+            kind = F.try_element_at(kinds, F.lower(hit))
+            told = F.struct((g["at"] + start).alias("start"), F.when(kind == "removed", F.lit(5)).otherwise(F.lit(4)).alias("rank"), (g["at"] + end).alias("end"), kind.alias("kind"), F.lower(hit).alias("match"))
+            return F.when(kind.isNotNull(), told)
 
-        def add(acc: Column, x: Column) -> Column:
-            begin, word = acc["at"] + x["gap"], F.lower(x["hit"])
-            end, kind = begin + F.coalesce(F.length(x["hit"]), F.lit(0)), F.try_element_at(kinds, F.coalesce(word, F.lit("")))
-            span = F.struct(begin.alias("start"), F.when(kind == "removed", F.lit(5)).otherwise(F.lit(4)).alias("rank"), end.alias("end"), kind.alias("kind"), word.alias("match"))
-            return F.struct(end.alias("at"), F.when(kind.isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(span))).alias("found"))
-
-        return F.aggregate(words, first, add, lambda acc: acc["found"])
+        return placed(F.split(g["piece"], WORD, -1), F.regexp_extract_all(g["piece"], F.lit(WORD), F.lit(0)), span)
 
     return F.flatten(F.transform(gaps, of_gap))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
     """__row, doc_id, base spans and, where there are any, the text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
+    found = docs.select(row.alias("__row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
     return found.withColumn("text", F.when(F.size("base") > 0, F.col("text")))
 
 
@@ -125,7 +119,7 @@ def revealing(pairs: DataFrame, generalise: float, remove: float, support: int)
 
 
 def find_personal_data(docs: DataFrame, generalise: float = 0.9, remove: float = 0.999, support: int = 3) -> DataFrame:
-    """(doc_id, base, spans) for every row: base spans, and those with the revealing terms, sorted."""
+    """(__row, doc_id, base, spans) for every row: base spans, and those with the revealing terms, sorted."""
     found = materialise(mentions(docs))
     pairs = materialise(together(docs, found, generalise, support))
     hits = pairs.select("__row", "entity", "term").join(revealing(pairs, generalise, remove, support), ["entity", "term"])
@@ -133,21 +127,13 @@ def find_personal_data(docs: DataFrame, generalise: float = 0.9, remove: float =
     hits = hits.groupBy("__row", "term").agg(F.min("kind").alias("kind")).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
     whole = found.join(hits, "__row", "left")
     marks = _marks(_gaps(F.col("text"), F.col("base")), F.col("kinds"))
-    return whole.select("doc_id", "base", F.when(F.col("kinds").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", marks))).alias("spans"))
+    return whole.select("__row", "doc_id", "base", F.when(F.col("kinds").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", marks))).alias("spans"))
 
 
 def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
     """The documents with text sanitised: base spans and generalised terms become marks, removed terms go."""
-    found = find_personal_data(docs, **thresholds).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).where(F.size("__spans") > 0)
-    joined = docs.join(found.dropDuplicates(["__id"]), docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        piece = F.when(s["start"] >= acc["at"], F.concat(gap, mark)).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", first, step, rest))
-    return joined.withColumn("text", text).drop("__id", "__spans")
+    docs = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = find_personal_data(docs, **thresholds).select("__row", F.col("spans").alias("__spans")).where(F.size("__spans") > 0)
+    mark = lambda s: F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("__spans"), mark))
+    return docs.join(found, "__row", "left").withColumn("text", text).drop("__row", "__spans")

@@ -1,10 +1,13 @@
 """Secret scans through a trigram inverted index, with DataFrame functions only.
 
 From each rule's regular expression follows a Boolean query over trigrams of the lower-cased text that every match
-must satisfy. Postings (trigram, doc_id) hold the trigrams that some rule asks for; intersecting and uniting them gives
-each rule's candidate documents, and only those are searched for the rule. Rules from which no trigram follows scan
-every document. Postings lie by document, not by trigram, so a trigram that a third of all documents share is no
-larger task than another.
+must satisfy. The index holds for each trigram that some rule asks for the list of the documents that have it, by
+shards of about SHARD documents: a list never outgrows its shard, so a trigram that a third of all documents share is no
+larger task than another. Lists are intersected and united shard by shard as a rule's query says; what is left are its
+candidates, and only those are searched for the rule. Rules from which no trigram follows scan every document.
+
+Candidates are joined to the documents by a 64-bit hash of the id: broadcast while there are at most BROADCAST of them,
+which is counted, and shuffled beyond. Another document of equal hash is searched too, no more.
 
 Edge cases: null text counts as empty; documents of equal id share postings, and each row is verified by itself; a null
 id is a value like any other; an empty table gives an empty result; a column named like a result column is replaced.
@@ -19,7 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.spans import SPAN, matches
+from tideline.llm.common import materialise
+from tideline.llm.spans import SPAN, matches, replaced
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,8 @@ MORE_RULES = (
 )
 #: Alternatives beyond which a run of literals is cut and its trigrams so far are kept.
 EXACT = 64
+#: Documents of a shard of the index, candidates that are broadcast.
+SHARD, BROADCAST = 1 << 14, 1 << 18
 
 Query = bool | str | tuple
 
@@ -125,19 +131,23 @@ def trigrams(query: Query) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(trigrams, query[1:]))
 
 
-def holds(query: Query, present: Column) -> Column:
-    """The query over an array of a document's trigrams."""
-    if isinstance(query, str):
-        return F.array_contains(present, query)
-    parts = [holds(q, present) for q in query[1:]]
-    return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), parts)
-
-
 def postings(docs: DataFrame, grams: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(trigram, doc_id) for the wanted trigrams."""
-    lowered = docs.select(F.col(doc_id).alias("doc_id"), lowered_text(F.col(text)).alias("t"))
+    """(trigram, doc) for the wanted trigrams; doc is the hash of the id."""
+    lowered = docs.select(F.xxhash64(doc_id).alias("doc"), lowered_text(F.col(text)).alias("t"))
     present = F.array_compact(F.array(*(F.when(F.contains("t", F.lit(g)), F.lit(g)) for g in grams)))
-    return lowered.select(F.explode(present).alias("trigram"), "doc_id")
+    return lowered.select(F.explode(present).alias("trigram"), "doc")
+
+
+def inverted(posted: DataFrame, shards: int) -> DataFrame:
+    """(shard, trigram, docs): the postings list of each trigram in each shard."""
+    return posted.groupBy(F.pmod("doc", F.lit(shards)).alias("shard"), "trigram").agg(F.collect_set("doc").alias("docs"))
+
+
+def found_by(query: Query, lists: Column) -> Column:
+    """The documents of a shard that satisfy the query, from the map of its postings lists."""
+    if isinstance(query, str):
+        return F.coalesce(F.try_element_at(lists, F.lit(query)), F.array().cast("array<bigint>"))
+    return reduce(F.array_intersect if query[0] == "and" else F.array_union, [found_by(q, lists) for q in query[1:]])
 
 
 def lowered_text(c: Column) -> Column:
@@ -146,10 +156,11 @@ def lowered_text(c: Column) -> Column:
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """(doc_id, rules): rules whose Boolean query the document's postings satisfy."""
-    present = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("present"))
-    rules = F.array_compact(F.array(*(F.when(holds(q, F.col("present")), F.lit(kind)) for kind, q in queries.items())))
-    return present.select("doc_id", rules.alias("rules")).where(F.size("rules") > 0)
+    """(doc, rules): the rules whose Boolean query the index answers with the document."""
+    lists = index.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "docs"))).alias("lists"))
+    each = F.array(*(F.struct(F.lit(kind).alias("rule"), found_by(q, F.col("lists")).alias("docs")) for kind, q in queries.items()))
+    rules = lists.select(F.explode(each).alias("x")).select("x.rule", F.explode("x.docs").alias("doc"))
+    return rules.groupBy("doc").agg(F.collect_set("rule").alias("rules"))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
@@ -160,8 +171,11 @@ def scan_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + M
     grams = sorted(set().union(*map(trigrams, indexed.values()))) if indexed else []
     body = F.coalesce(F.col("text"), F.lit(""))
     if grams:
-        found = candidates(postings(docs, grams), indexed).select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules"))
-        docs = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left").drop("__id")
+        shards = docs.select("doc_id").count() // SHARD + 1
+        found = candidates(inverted(postings(docs, grams), shards), indexed)
+        found = materialise(found.select(F.col("doc").alias("__doc"), F.col("rules").alias("__rules")))
+        near = found.count() <= BROADCAST
+        docs = docs.withColumn("__doc", F.xxhash64("doc_id")).join(F.broadcast(found) if near else found, "__doc", "left").drop("__doc")
     else:
         docs = docs.withColumn("__rules", F.array().cast("array<string>"))
     arrays = []
@@ -176,13 +190,6 @@ def scan_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + M
 
 def redact(scanned: DataFrame) -> DataFrame:
     """Replaces text: every span, overlapping ones as one, by the mark of the kind that starts first."""
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(mark)).alias("out"))
-
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    text = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", first, step, rest)).otherwise(F.col("text"))
+    mark = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    text = F.when(F.size("secret_spans") > 0, replaced(F.col("text"), F.col("secret_spans"), mark)).otherwise(F.col("text"))
     return scanned.withColumn("text", text)
