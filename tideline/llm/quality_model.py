@@ -127,7 +127,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Trees:
-    """Trees from the documents of at most ``sample`` labelled rows outside the held-out fold."""
+    """Trees from at most ``sample`` documents of at most ``sample`` labelled rows outside the held-out fold."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     joined = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
@@ -136,7 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     def stats(texts: pd.Series) -> pd.Series:
         return pd.Series(list(statistics(texts)))
 
-    found = joined.select("doc_id", "label", stats("text").alias("x")).toPandas().sort_values(["doc_id", "label"], kind="stable")
+    # Ids may repeat in both tables; the bound holds for what is learnt from, and the choice does not depend on order.
+    taken = joined.select("doc_id", "label", stats("text").alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").limit(sample)
+    found = taken.toPandas().sort_values(["doc_id", "label"], kind="stable")
     x = np.array(found["x"].tolist(), dtype=np.float32).reshape(len(found), len(STATISTICS))
     return fit(x, found["label"].to_numpy(dtype=np.float64))
 
