@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, secrets
+from tideline.llm import chat, pii, quality_rules, secrets, url_filter
 
 _SPLIT = r"[\x20\x09-\x0D]+"
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -41,21 +41,24 @@ def _re2(rule: secrets.SecretRule) -> str:
     return pattern.replace("'", "''")
 
 
-def _spans(rank: int, rule: secrets.SecretRule) -> str:
+def _spans(rank: int, kind: str, p: str, keep: str = "true", key: str = "doc_id") -> str:
     """Matches by their order; the pieces between them give the places."""
+    return f"""SELECT {key}, {rank} AS rank, '{kind}' AS kind, hit, stop - length(hit) AS start, stop FROM (
+SELECT {key}, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY {key} ORDER BY i) AS stop FROM (
+SELECT {key}, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM (
+SELECT {key}, regexp_extract_all(text, '{p}') AS hits, regexp_split_to_array(text, '{p}') AS gaps FROM d))) WHERE {keep}"""
+
+
+def _secret(rank: int, rule: secrets.SecretRule) -> str:
     p = _re2(rule)
-    keep = f"WHERE length(regexp_extract(hit, '{p}', {rule.value})) >= {rule.least}" if rule.least else ""
-    return f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, stop - length(hit) AS start, stop FROM (
-SELECT doc_id, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
-SELECT doc_id, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM (
-SELECT doc_id, regexp_extract_all(text, '{p}') AS hits, regexp_split_to_array(text, '{p}') AS gaps FROM d))) {keep}"""
+    return _spans(rank, rule.kind, p, f"length(regexp_extract(hit, '{p}', {rule.value})) >= {rule.least}" if rule.least else "true")
 
 
 _JOINED = "string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank)"
 _BASE = [r.kind for r in secrets.BASE_RULES]
 OP10 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-spans AS ({' UNION ALL '.join(_spans(k, r) for k, r in enumerate(secrets.BASE_RULES + secrets.MORE_RULES))})
+spans AS ({' UNION ALL '.join(_secret(k, r) for k, r in enumerate(secrets.BASE_RULES + secrets.MORE_RULES))})
 SELECT d.doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in _BASE)},
   sha256(coalesce({_JOINED} FILTER (WHERE rank < {len(_BASE)}), '')) AS base_sha256, coalesce({_JOINED}, '') AS spans
 FROM d LEFT JOIN spans ON spans.doc_id = d.doc_id GROUP BY 1"""
@@ -73,4 +76,105 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(role) + length(text) + 10 + {_ESCAPES}) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
-ORACLES = {"op3_near_dup": OP3, "op7_substring_dedup": OP7, "op9_chat_format": OP9, "op10_secrets": OP10}
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_PLACE = f"CAST({_DIGITS}[i] AS INTEGER)"
+_LUHN = f"list_sum([CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN {_PLACE} WHEN {_PLACE} > 4 THEN {_PLACE} * 2 - 9 ELSE {_PLACE} * 2 END for i in range(1, length({_DIGITS}) + 1)]) % 10 = 0"
+_LOW = "len([x for x in string_split(hit, '.') if length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255')]) = 0"
+_PII = (
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", _LOW),
+    (r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
+)
+_OF_ROW = "string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank, stop)"
+#: Base spans by the contract's own patterns, words as whole runs of letters and digits, and the information they share.
+OP1 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+total AS (SELECT count(*) AS n FROM d),
+base AS ({' UNION ALL '.join(_spans(k, pii.KINDS[k], p, keep, 'r') for k, (p, keep) in enumerate(_PII))}),
+runs AS ({_spans(4, 'term', r'[\p{L}\p{N}]+', r"regexp_matches(hit, '^\p{L}')", 'r')}),
+words AS (SELECT r, lower(hit) AS term, start, stop FROM runs),
+free AS (SELECT words.* FROM words WHERE r IN (SELECT r FROM base) AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = words.r AND base.start < words.stop AND words.start < base.stop)),
+held AS (SELECT DISTINCT r, kind || ':' || lower(hit) AS entity FROM base),
+e AS (SELECT entity, count(*) AS n_e FROM held GROUP BY 1 HAVING count(*) >= 3),
+t AS (SELECT term, count(DISTINCT r) AS n_t FROM words GROUP BY 1 HAVING count(DISTINCT r) >= 3),
+joint AS (SELECT entity, term, n_e, n_t, count(*) AS n_te FROM (SELECT DISTINCT r, term FROM free) JOIN held USING (r) JOIN e USING (entity) JOIN t USING (term) GROUP BY ALL HAVING count(*) >= 3),
+told AS (SELECT entity, term, ln(n_te * n / (n_t * n_e)) / ln(n / n_e) AS share FROM joint, total WHERE n > n_e),
+hits AS (SELECT r, term, max(share) >= 0.999 AS gone FROM told JOIN held USING (entity) WHERE share >= 0.9 GROUP BY ALL),
+spans AS (SELECT r, rank, kind, start, stop FROM base UNION ALL SELECT r, CASE WHEN gone THEN 5 ELSE 4 END, CASE WHEN gone THEN 'removed' ELSE 'term' END, start, stop FROM free JOIN hits USING (r, term))
+SELECT d.doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.KINDS[:4])},
+  sha256(coalesce({_OF_ROW} FILTER (WHERE rank < 4), '')) AS base_sha256, coalesce({_OF_ROW}, '') AS spans
+FROM d LEFT JOIN spans USING (r) GROUP BY r, d.doc_id"""
+
+_LIMITS = quality_rules.Limits()
+_CLASSES = [f"length(regexp_replace(text, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))" for p in quality_rules.CLASSES.values()]
+_PART = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END"
+_JS = lambda a, b: f"0.5 * ({_PART.format(a, b)}) + 0.5 * ({_PART.format(b, a)})"
+OP8 = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, [x for x in regexp_split_to_array(coalesce(text, ''), '{_SPLIT}') if x <> ''] AS w FROM documents),
+n AS (SELECT r, doc_id, lang, length(text) AS chars, strlen(text) AS bytes, len(w) AS n_words, length(regexp_replace(text, '{_SPLIT}', '', 'g')) AS word_chars,
+  {', '.join(f'{c} AS c{i}' for i, c in enumerate(_CLASSES))}, [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM w),
+win AS (SELECT r, unnest(k) AS k, unnest(range(len(k))) AS i FROM (SELECT r, [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)] AS k FROM w WHERE len(w) >= 3)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM win) WHERE c > 1),
+repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1),
+classes AS (SELECT r, lang, chars, unnest(range(7)) AS k, unnest([c0, c1, c2, c3, c4, least(wide, rest), rest - least(wide, rest)]) AS c FROM
+  (SELECT *, bytes - chars AS wide, chars - c0 - c1 - c2 - c3 - c4 AS rest FROM (SELECT *, chars - word_chars AS c4 FROM n))),
+char_ref AS (SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM classes GROUP BY lang, k),
+char_d AS (SELECT r, sqrt(greatest(0, sum({_JS('(c / chars)', 'q')}))) AS d FROM classes JOIN char_ref ON classes.k = char_ref.k AND classes.lang IS NOT DISTINCT FROM char_ref.lang WHERE chars >= {_LIMITS.min_chars} GROUP BY r),
+each AS (SELECT r, lang, word, count(*) AS c FROM (SELECT r, lang, unnest(w) AS word FROM w) GROUP BY ALL),
+common AS (SELECT lang, word, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q, row_number() OVER (PARTITION BY lang ORDER BY sum(c) DESC, word) AS rank FROM each GROUP BY lang, word QUALIFY rank <= {quality_rules.COMMON}),
+seen AS (SELECT n.r, n.n_words, common.q, coalesce(each.c, 0) AS c FROM n JOIN common ON n.lang IS NOT DISTINCT FROM common.lang LEFT JOIN each ON each.r = n.r AND each.word = common.word WHERE n.n_words >= {_LIMITS.min_words_judged}),
+cells AS (SELECT r, c / n_words AS p, q FROM seen UNION ALL SELECT r, (any_value(n_words) - sum(c)) / any_value(n_words), greatest(0, 1 - sum(q)) FROM seen GROUP BY r),
+word_d AS (SELECT r, sqrt(greatest(0, sum({_JS('p', 'q')}))) AS d FROM cells GROUP BY r),
+told AS (SELECT n.*, coalesce(repeated.n, 0) AS again, char_d.d AS cd, word_d.d AS wd FROM n LEFT JOIN repeated USING (r) LEFT JOIN char_d USING (r) LEFT JOIN word_d USING (r)),
+failed AS (SELECT *, n_words < {_LIMITS.min_words} OR 100 * again > {_LIMITS.max_repeat} * n_words AS base_failed FROM told)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(c3 AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(again AS BIGINT) AS n_repeat_words, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance, base_failed,
+  NOT base_failed AND coalesce(cd, 0) <= {_LIMITS.max_char_distance} AND coalesce(wd, 0) <= {_LIMITS.max_word_distance} AS kept FROM failed"""
+
+
+def op4(rules: list[url_filter.Rule]) -> str:
+    """Rules, then the models of all ruled URLs and of each fold's others, by counting every n-gram of bytes in hex."""
+    orders, folds = url_filter.ORDERS, url_filter.FOLDS
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    ranked = sorted(rules, key=lambda r: (len(r.text), r.text), reverse=True)
+    first = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, what)}'" for r in ranked) + " END"
+    counts = ", ".join(f"count(*) FILTER (WHERE ruled = '{c[:-1]}' AND fold = {c[-1]}) AS {c}" for c in url_filter.COUNTS)
+    low, context = (lambda o: f"right(g, {2 * o + 2})"), (lambda o: f"left(right(g, {2 * o + 2}), {2 * o})")
+    tables, joins = [], []
+    for o in range(orders):
+        for kind, key in (("p", low(o)), ("c", context(o))):
+            tables.append(f"{kind}{o} AS (SELECT {key} AS k, {', '.join(f'sum({c}) AS {c}' for c in url_filter.COUNTS)} FROM grams GROUP BY 1)")
+            joins.append(f"JOIN {kind}{o} ON {kind}{o}.k = {key}")
+
+    def likelihood(verdict: str, used: list[int]) -> str:
+        p = "(1.0 / 256)"
+        for o in range(orders):
+            p = f"(({' + '.join(f'p{o}.{verdict}{f}' for f in used)} + {url_filter.WEIGHT} * {p}) / ({' + '.join(f'c{o}.{verdict}{f}' for f in used)} + {url_filter.WEIGHT}))"
+        return f"ln({p})"
+
+    ways = [list(range(folds)), *([g for g in range(folds) if g != f] for f in range(folds))]
+    values = ", ".join(f"{likelihood('allow', u)} - {likelihood('block', u)} AS {v}" for v, u in zip(url_filter.VALUES, ways, strict=True))
+    crossed = "CASE fold " + " ".join(f"WHEN {f} THEN cross{f}" for f in range(folds)) + " END"
+    return f"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw FROM u),
+parts AS (SELECT r, page_id, url, translate(raw, {_LETTERS}) AS host, regexp_extract(substr(coalesce(rest, ''), length(raw) + 1), '^[^?#]*') AS path FROM h),
+judged AS (SELECT *, {first('text')} AS rule, {first('verdict')} AS ruled, CASE WHEN substr(md5(url), 1, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 1 ELSE 0 END AS fold,
+  hex(encode(lower(coalesce(url, '')))) AS x FROM parts),
+ends AS (SELECT r, fold, ruled, unnest([substr('{'00' * (orders - 1)}' || x, 2 * i + 1, {2 * orders}) for i in range(0, length(x) // 2)]) AS g FROM judged),
+grams AS (SELECT g, {counts} FROM ends GROUP BY 1),
+{', '.join(tables)},
+told AS (SELECT g, {values} FROM grams {' '.join(joins)}),
+scores AS (SELECT r, sum(value) / count(*) AS lm, sum({crossed}) / count(*) AS cross_score FROM ends JOIN told USING (g) GROUP BY r),
+done AS (SELECT judged.*, coalesce(lm, 0) AS lm, coalesce(cross_score, 0) AS cross_score FROM judged LEFT JOIN scores USING (r)),
+span AS (SELECT min(cross_score) AS low, CASE WHEN max(cross_score) > min(cross_score) THEN (max(cross_score) - min(cross_score)) / {url_filter.BINS} ELSE 1 END AS width,
+  count(*) FILTER (WHERE ruled = 'allow') AS n_allow, count(*) FILTER (WHERE ruled = 'block') AS n_block FROM done WHERE ruled IS NOT NULL),
+cells AS (SELECT least({url_filter.BINS - 1}, floor((cross_score - low) / width)) AS cell, ruled FROM done, span WHERE ruled IS NOT NULL),
+gains AS (SELECT k, (SELECT count(*) FROM cells WHERE ruled = 'block' AND cell < k) / n_block - (SELECT count(*) FROM cells WHERE ruled = 'allow' AND cell < k) / n_allow AS gain FROM range({url_filter.BINS + 1}) x(k), span WHERE n_allow > 0 AND n_block > 0),
+best AS (SELECT list(k ORDER BY k) AS ks FROM gains WHERE gain >= (SELECT max(gain) FROM gains) - 1e-12),
+least_score AS (SELECT coalesce(low + ks[len(ks) // 2 + 1] * width, -1e308) AS least FROM span LEFT JOIN best ON true)
+SELECT page_id, host, path, rule, round(lm, 6) AS lm_score, coalesce(ruled, CASE WHEN lm >= least THEN 'allow' ELSE 'block' END) AS verdict FROM done, least_score"""
+
+
+ORACLES = {"op1_pii": OP1, "op3_near_dup": OP3, "op7_substring_dedup": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "op10_secrets": OP10}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import bpe, chat, decontaminate, near_dup, pii, quality_model, quality_rules, secrets, substring_dedup, url_filter
 from tideline.llm.common import arrow_rows, table
-from tideline.llm.oracles import INJECTION, ORACLES
+from tideline.llm.oracles import INJECTION, ORACLES, op4
 from tideline.llm.spans import count_kind, joined
 
 #: The rules of the URL contract (fixed values).
@@ -59,7 +59,7 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_rows(spark)
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict", "lm_score")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("lm_score", 6).alias("lm_score"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.select("doc_id", *quality_rules.RESULTS)
+    distance = lambda c: F.round(c, 6).alias(c) if c.endswith("_distance") else F.col(c)
+    return judged.select("doc_id", *map(distance, quality_rules.RESULTS))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLES", "QUERIES"]
 
+ORACLES = ORACLES | {"op4_url_filter": op4(RULES)}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op10_secrets": op10_secrets,
