@@ -22,7 +22,7 @@ SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: A filter's bits, and those of one of its chunks.
 FILTER_BITS, CHUNK_BITS = 26, 20
 #: Text bytes that are hashed side by side.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
