@@ -1,6 +1,7 @@
 """Planted passages, exact and with substitutions."""
 
 import random
+import re
 
 import numpy as np
 
@@ -35,6 +36,82 @@ def test_planted_passages_are_found_and_clean_documents_are_not(spark):
     assert dc.contaminated(table, bench.where("false")).count() == 0
 
 
+def fullest_avoiding(masks, longest):
+    """For each length, the most equal words of a run that none of the masks hits."""
+    reach, best, out = max(map(len, masks)) - 1, {"": 0}, []
+    hit = lambda t: any(len(t) >= len(m) and all(c == "1" for c, on in zip(t[-len(m) :], m, strict=True) if on == "1") for m in masks)
+    for _ in range(longest):
+        longer = {}
+        for state, n in best.items():
+            for c in "01":
+                if not hit(state + c):
+                    key = (state + c)[-reach:]
+                    longer[key] = max(longer.get(key, 0), n + int(c))
+        best = longer
+        out.append(max(best.values()))
+    return out
+
+
+def test_no_run_that_counts_avoids_the_masks():
+    avoiding = fullest_avoiding(dc.MASKS, 300)
+    assert all(avoiding[n - 1] < max(dc.LEAST_WORDS, dc.SHARE * n) for n in range(dc.SHORT, 301))
+    assert all(avoiding[n - 1] < dc.LEAST_WORDS for n in range(dc.LEAST_WORDS, dc.SHORT))  # so long a run of a long item
+    avoiding = fullest_avoiding(dc.MASKS + dc.SHORT_MASKS, dc.SHORT)
+    for size in range(dc.SHORTEST, dc.SHORT):
+        needed = min(dc.LEAST_WORDS, int(np.ceil(dc.SHARE * size)))
+        assert all(avoiding[n - 1] < max(needed, dc.SHARE * n) for n in range(needed, size + 1))
+
+
+def brute(docs, items, shortest=dc.SHORTEST):
+    """Every alignment of every document and item."""
+    out = {}
+    split = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    for i, text in docs:
+        words = split(text)
+        for k, item in items:
+            other = split(item)
+            if len(other) < shortest:
+                continue
+            needed = min(12, np.ceil(0.75 * len(other)))
+            for shift in range(-len(other) + 1, len(words)):
+                first, last = max(0, -shift), min(len(other), len(words) - shift)
+                start, end, matched = dc.accepted_run(np.array([words[p + shift] == other[p] for p in range(first, last)], dtype=bool), needed, 0.75)
+                if matched is not None:
+                    one = (-matched, first + start + shift, first + start, end - start)
+                    out[i, k] = min(out.get((i, k), one), one)
+    return out
+
+
+def test_equals_every_alignment(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(40)]
+    fresh = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, fresh(n)) for k, n in enumerate([*range(1, 16), 20, 33, 5, 8, 12])] + [(90, ["x"] * 9)]
+    docs = []
+    for i in range(80):
+        words = fresh(rng.randint(0, 60))
+        passage = [w if rng.random() < 0.82 else "other" for w in rng.choice(items)[1]]
+        at = rng.randint(0, len(words))
+        words[at:at] = passage
+        docs.append((i, " ".join(words)))
+    docs += [(500, "x " * 300), (501, "x y " * 100)]
+    items = [(k, " ".join(w)) for k, w in items]
+    table, bench = spark.createDataFrame(docs + docs[:2], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for shortest in (dc.SHORTEST, 1):
+        want = brute(docs, items, shortest)
+        rows = dc.contaminated(table, bench, shortest=shortest).collect()
+        got = {(r["doc_id"], r["item_id"]): (-r["n_matched"], r["doc_word"], r["item_word"], r["n_aligned"]) for r in rows}
+        assert len(want) > 40 and got.keys() == want.keys() and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert got == want and len(rows) == len(want) + sum(i in (docs[0][0], docs[1][0]) for i, _ in want)
+
+
+def test_repetitive_documents(spark):
+    docs = spark.createDataFrame([(1, "ab cd " * 30_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "ab cd " * 10), (2, "cd ab " * 12)], "item_id long, text string")
+    rows = {r["item_id"]: (r["doc_word"], r["n_matched"]) for r in dc.contaminated(docs, bench).collect()}
+    assert rows == {1: (0, 20), 2: (1, 24)}
+
+
 def test_best_run_against_all_runs():
     rng = np.random.default_rng(4)
     for _ in range(200):

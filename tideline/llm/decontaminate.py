@@ -7,9 +7,14 @@ around it are compared: any run of the alignment may hold LEAST_WORDS matches (o
 its words equal. If the run of best score (a match counting 1, a substitution -2) does, it is the one that is told, else
 the run with most matches of those that do.
 
+The masks miss no run that counts: among all patterns of equal and substituted words, none of a run that meets both
+limits avoids MASKS if its item has SHORT words or more, and none of a shorter item's avoids MASKS and SHORT_MASKS (the
+tests go through all patterns).
+
 A filter of fixed size over the benchmark's seeds drops document seeds that no item can have before anything is
-shuffled, however large either side is; joins do the rest. Items of fewer than five words say too little to tell
-contamination and match nothing.
+shuffled, however large either side is; joins do the rest, with the benchmark's seeds broadcast while they are at most
+BROADCAST, which is counted. Each document and item then meet in one row, with all shifts and the stretch of the document
+that these touch. Items of fewer than ``shortest`` words say too little to tell contamination and match nothing.
 
 Edge cases: null or empty text matches nothing; repeated items match each under their own id, repeated documents each;
 of several alignments of an item the one with most matches, then the leftmost, stands; empty tables give an empty
@@ -30,19 +35,24 @@ from tideline.llm.hashing import U, blocks, filter_of, mix, passes, signed, utf8
 
 #: Masks of five selected words (1) and ignored ones (0).
 MASKS = ("11111", "111011", "110111", "1101011", "1011101", "11001011")
-LEAST_WORDS, SHARE = 12, 0.75
+#: Items of fewer words have further masks, of four selected words.
+SHORT, SHORT_MASKS = 14, ("1111", "11011", "10111", "11101", "110011")
+LEAST_WORDS, SHARE, SHORTEST = 12, 0.75, 5
+BROADCAST = 1 << 18
+#: Masks of items of up to four words, if these are not too short to count.
+TINY_MASKS = ((), ("1",), ("11",), ("111",), ("111", "1101", "1011"))
 _PARTS = bytes(b for b in range(128) if not chr(b).isalnum())
 _FACTORS = mix((np.arange(8, dtype=np.uint64) + U(7)) * U(0xD6E8FEB86659FD93)) | U(1)
 
 
-def seeds(words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def seeds(words: np.ndarray, counts: np.ndarray, masks: tuple[str, ...] = MASKS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each mask: positions among all words at which it lies within one text, and the seeds there."""
     last = np.repeat(np.cumsum(counts), counts)
-    for k, mask in enumerate(MASKS):
+    for mask in masks:
         n = len(words) - len(mask) + 1
         if n <= 0:
             continue
-        total = np.full(n, k + 1, dtype=np.uint64)
+        total = np.full(n, int(mask, 2), dtype=np.uint64)
         for j, on in enumerate(x for x, c in enumerate(mask) if c == "1"):
             total += words[on : on + n] * _FACTORS[j]
         at = np.flatnonzero(np.arange(n) + len(mask) <= last[:n])
@@ -53,7 +63,7 @@ def _lowered(texts: pd.Series) -> list[bytes]:
     return [r.lower() for r in utf8(texts)]
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
+def item_seeds(items: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(item_id, words, seeds: array<struct<seed, at>>) of each benchmark item; words are hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,14 +74,15 @@ def item_seeds(items: DataFrame) -> DataFrame:
             for raw in _lowered(b["text"]):
                 w, counts, _ = word_hashes([raw], _PARTS)
                 words.append(signed(w).tolist())
-                found.append([{"seed": s, "at": a} for at, own in seeds(w, counts) for a, s in zip(at.tolist(), signed(own).tolist(), strict=True)])
+                masks = () if len(w) < shortest else MASKS if len(w) >= SHORT else MASKS + SHORT_MASKS if len(w) > 4 else TINY_MASKS[len(w)]
+                found.append([{"seed": s, "at": a} for at, own in seeds(w, counts, masks) for a, s in zip(at.tolist(), signed(own).tolist(), strict=True)])
             yield pd.DataFrame({"item_id": b["item_id"], "words": words, "seeds": found})
 
     kind = items.schema["item_id"].dataType.simpleString()
     return with_nulls(without_nulls(items.select("item_id", "text"), "item_id").mapInPandas(run, f"item_id {kind}, words array<long>, seeds array<struct<seed:long,at:long>>"), "item_id")
 
 
-def document_hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def document_hits(docs: DataFrame, bitmap: np.ndarray, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """(doc_id, words, hits) of the documents with a seed that passes the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -82,7 +93,7 @@ def document_hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
             for lo, hi in blocks(raws):
                 words, counts, _ = word_hashes(raws[lo:hi], _PARTS)
                 ends = np.cumsum(counts)
-                found = [(at[keep], own[keep]) for at, own in seeds(words, counts) for keep in [passes(shared.value, own)]]
+                found = [(at[keep], own[keep]) for at, own in seeds(words, counts, masks) for keep in [passes(shared.value, own)]]
                 if not found:
                     continue
                 at, own = (np.concatenate([x[i] for x in found]) for i in range(2))
@@ -135,36 +146,46 @@ def accepted_run(equal: np.ndarray, needed: float, share: float) -> tuple[int |
     return (start, end, matched) if matched >= needed else (None, None, None)
 
 
-def compared(doc: Column, item: Column, needed: Column, share: float) -> Column:
-    """struct<start, end, matched> of the accepted run of two aligned arrays of words, nulls without one."""
+def best_alignment(doc: np.ndarray, at: int, item: np.ndarray, shifts: np.ndarray, needed: float, share: float) -> tuple[int | None, ...]:
+    """Place in the document and in the item, words and matches of the accepted run with most matches, then the leftmost;
+    doc are the document's words from the place ``at`` on."""
+    best: tuple[int, ...] | None = None
+    for shift in np.sort(shifts).tolist():
+        first, last = max(0, at - shift), min(len(item), at + len(doc) - shift)
+        start, end, matched = accepted_run(doc[first + shift - at : last + shift - at] == item[first:last], needed, share)
+        if matched is not None:
+            one = (-matched, first + start + shift, first + start, end - start)
+            best = one if best is None else min(best, one)
+    return (None,) * 4 if best is None else (*best[1:], -best[0])
+
+
+def compared(share: float, *columns: Column) -> Column:
+    """struct<doc_word, item_word, n_aligned, n_matched> of the best alignment, nulls without one."""
 
-    @F.pandas_udf("start long, end long, matched long")
-    def run(doc: pd.Series, item: pd.Series, needed: pd.Series) -> pd.DataFrame:
-        found = [accepted_run(np.asarray(d) == np.asarray(i), n, share) for d, i, n in zip(doc, item, needed, strict=True)]
-        return pd.DataFrame(found, columns=["start", "end", "matched"], dtype="Int64")
+    @F.pandas_udf("doc_word long, item_word long, n_aligned long, n_matched long")
+    def run(doc: pd.Series, at: pd.Series, item: pd.Series, shifts: pd.Series, needed: pd.Series) -> pd.DataFrame:
+        found = [best_alignment(np.asarray(d), a, np.asarray(i), np.asarray(s), n, share) for d, a, i, s, n in zip(doc, at, item, shifts, needed, strict=True)]
+        return pd.DataFrame(found, columns=["doc_word", "item_word", "n_aligned", "n_matched"], dtype="Int64")
 
-    return run(doc, item, needed)
+    return run(*columns)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, share: float = SHARE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, share: float = SHARE, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_aligned, n_matched) for each document and item that overlap."""
-    known = materialise(item_seeds(items).withColumn("item", F.monotonically_increasing_id()))
+    known = materialise(item_seeds(items, shortest).withColumn("item", F.monotonically_increasing_id()))
     wanted = known.select("item", F.explode("seeds").alias("s")).select("item", "s.seed", F.col("s.at").alias("item_at"))
     bitmap = filter_of(wanted.select("seed"), "seed")
-    hits = materialise(document_hits(docs, bitmap).withColumn("doc", F.monotonically_increasing_id()))
+    few, short, n_seeds = known.select(*(F.coalesce(F.max((F.size("words") >= shortest) & (F.size("words") < n)), F.lit(False)) for n in (5, SHORT)), F.coalesce(F.sum(F.size("seeds")), F.lit(0))).first()
+    masks = MASKS + (SHORT_MASKS if short else ()) + (sum(TINY_MASKS[:4], ()) + TINY_MASKS[4][1:] if few else ())
+    hits = materialise(document_hits(docs, bitmap, masks).withColumn("doc", F.monotonically_increasing_id()))
     each = hits.select("doc", F.explode("hits").alias("h")).select("doc", "h.seed", F.col("h.at").alias("doc_at"))
-    shifts = each.join(wanted, "seed").select("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
-    aligned = shifts.join(hits.select("doc", "doc_id", F.col("words").alias("doc_words")), "doc")
-    aligned = aligned.join(known.select("item", "item_id", F.col("words").alias("item_words")), "item")
-    # Words of the item that have a partner: [from, to).
-    first = F.greatest(F.lit(0).cast("long"), -F.col("shift"))
-    size = F.least(F.size("item_words").cast("long"), F.size("doc_words") - F.col("shift")) - first
-    part = aligned.withColumns({"first": first, "size": size})
-    cut = lambda words, at: F.slice(words, (at + 1).cast("int"), F.col("size").cast("int"))
+    met = each.join(F.broadcast(wanted) if n_seeds <= BROADCAST else wanted, "seed")
+    shifts = met.groupBy("doc", "item").agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("shifts"))
+    pairs = hits.select("doc", "doc_id", F.col("words").alias("doc_words")).join(shifts, "doc").join(known.select("item", "item_id", F.col("words").alias("item_words")), "item")
+    # The stretch of the document that the shifts touch.
+    begin = F.greatest(F.lit(0).cast("long"), F.array_min("shifts"))
+    end = F.least(F.size("doc_words").cast("long"), F.array_max("shifts") + F.size("item_words"))
     needed = F.least(F.lit(float(least_words)), F.ceil(share * F.size("item_words")).cast("double"))
-    part = part.select("doc", "doc_id", "item", "item_id", "shift", "first", compared(cut(F.col("doc_words"), F.col("first") + F.col("shift")), cut(F.col("item_words"), F.col("first")), needed, share).alias("v"))
-    part = part.where(F.col("v.matched").isNotNull())
-    item_word = F.col("first") + F.col("v.start")
-    best = F.min(F.struct((-F.col("v.matched")).alias("m"), (item_word + F.col("shift")).alias("doc_word"), item_word.alias("item_word"), (F.col("v.end") - F.col("v.start")).alias("n_aligned")))
-    found = part.groupBy("doc", "doc_id", "item", "item_id").agg(best.alias("b"))
-    return found.select("doc_id", "item_id", "b.doc_word", "b.item_word", "b.n_aligned", (-F.col("b.m")).alias("n_matched"))
+    stretch = F.slice("doc_words", (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+    told = pairs.select("doc_id", "item_id", compared(share, stretch, begin, F.col("item_words"), F.col("shifts"), needed).alias("v"))
+    return told.where(F.col("v.n_matched").isNotNull()).select("doc_id", "item_id", "v.doc_word", "v.item_word", "v.n_aligned", "v.n_matched")
