@@ -108,3 +108,17 @@ def test_every_language_has_a_reference_of_its_own(spark, monkeypatch):
     monkeypatch.setattr(qr, "BROADCAST", 0)
     monkeypatch.setattr(qr, "HOT", 4)
     assert {r["doc_id"]: r.asDict() for r in qr.apply_rules(docs, limits).collect()} == got
+
+
+def test_real_trees_on_clashing_and_empty_tables_within_the_bound(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    named = docs.withColumns({"label": docs["doc_id"], "x": docs["lang"], "predicted": docs["lang"], "score": docs["lang"]})
+    clashing = labels.withColumns({"text": labels["doc_id"], "label": labels["toxic"]})
+    trees = qm.train(named, clashing)
+    want, got = (qm.with_scores(d, t).select("doc_id", "score").orderBy("doc_id").limit(50).collect() for d, t in ((docs, qm.train(docs, labels)), (named, trees)))
+    assert want == got and 0 < len({r["score"] for r in got})
+    assert qm.with_scores(docs.where("false"), trees).count() == 0
+    learnt = []
+    monkeypatch.setattr(qm, "fit", lambda x, y: learnt.append((x.shape, len(y))))
+    qm.train(docs.unionByName(docs).unionByName(docs), labels, sample=50)  # ids repeat
+    assert learnt == [((50, len(qm.STATISTICS)), 50)]

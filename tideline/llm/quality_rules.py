@@ -45,7 +45,7 @@ class Limits:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES, -1), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACES, -1), "")
 
 
 def word_windows(words: Column) -> Column:
@@ -151,10 +151,10 @@ def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     counted = base_counts(docs).withColumn("__chars", char_counts(F.col("__text"), F.length("__text").cast("long"), F.col("word_chars"), F.col("n_symbols"))).drop("__text")
     size = F.aggregate("__ref_words", F.lit(12 * COMMON).cast("long"), lambda n, w: n + F.octet_length(w))
     counted = with_references(counted, word_reference(docs), size)
-    common = F.filter("__words", lambda w: F.array_contains("__ref_words", w))
-    counted = counted.withColumn("__common", common).drop("__words")
-    seen = F.transform("__ref_words", lambda c: F.size(F.filter("__common", lambda w: w == c)).cast("long"))
-    counted = materialise(counted.withColumn("__seen", F.concat(seen, F.array(F.col("n_words") - F.size("__common")))).drop("__common", "__ref_words"))
+    seen = F.transform("__ref_words", lambda c: F.col("n_words") - F.size(F.array_remove("__words", c)))
+    counted = counted.withColumn("__common", seen).drop("__words", "__ref_words")
+    others = F.col("n_words") - F.aggregate("__common", F.lit(0).cast("long"), lambda a, n: a + n)
+    counted = materialise(counted.withColumn("__seen", F.concat("__common", F.array(others))).drop("__common"))
     counted = with_references(counted, char_reference(counted), F.lit(12 * (len(CLASSES) + 3)))
     shares = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b))
     n_chars = F.aggregate("__chars", F.lit(0).cast("long"), lambda a, b: a + b)
