@@ -6,7 +6,9 @@ decontaminate drops documents that hold a benchmark item
 secrets      replaces secrets in the texts that stay by marks
 tokens       encodes the texts, giving the ids to train on
 
-Every stage but the last returns the columns of documents. A null text counts as empty; rows without an id stay.
+Every stage but the last returns the columns of documents. Decisions are made and applied by row, so rows that repeat an
+id, or have none, are judged like any other: of wholly equal rows one stays. A null text counts as empty; texts without
+words are like no other; of a group without any id the row that comes first stays; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,19 +31,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_model.with_scores(docs, trees).where("predicted = 1").select(docs.columns)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs whose id is not among gone; rows without an id stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written so that it holds for every later read."""
+    return materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def _by_row(numbered: DataFrame) -> DataFrame:
+    return numbered.select(F.col("__row").alias("doc_id"), "text")
+
+
+def _without(numbered: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The documents whose number is not among gone (doc_id)."""
+    return numbered.join(gone.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     arrow_rows(spark)
-    return _without(docs, near_dup.near_duplicates(docs).where("not kept"))
+    numbered = _numbered(docs)
+    groups = near_dup.near_duplicates(_by_row(numbered)).select("doc_id", "component_id")
+    # Only rows of groups of several are told apart further: the smallest id stays, null being the largest.
+    several = groups.where("doc_id <> component_id").select("component_id").distinct()
+    members = materialise(groups.join(several, "component_id"))
+    ids = members.join(numbered.select(F.col("__row").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")
+    first = ids.groupBy("component_id").agg(F.min(rank)["doc_id"].alias("doc_id"))
+    return _without(numbered, members.join(first, "doc_id", "left_anti"), docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     arrow_rows(spark)
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    numbered = _numbered(docs)
+    return _without(numbered, decontaminate.contaminated(_by_row(numbered), table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
