@@ -186,3 +186,23 @@ def test_bounds_reach_the_scan(spark, tmp_path):
     df = read.sample_values(spark.read.parquet(str(tmp_path / "ops")), None, 5, 9)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(t,5)" in plan and "LessThanOrEqual(t,9)" in plan
+
+
+def test_damaged_buckets_are_told(spark):
+    from tideline.operators import distributions
+    from tideline.schema import SKETCH_BUCKETS
+
+    row = lambda n, zero, neg, pos: spark.createDataFrame([("s", 0, n, 0.0, 0.0, 0.0, zero, neg, pos)], SKETCH_BUCKETS)
+    assert distributions.bucket_bins(row(4, 1, {3: 2}, {-1: 1})).count() == 3
+    for bad in (row(5, 1, {3: 2}, {-1: 1}), row(3, 1, {3: 2}, {-1: 0}), row(1025, 0, {}, dict.fromkeys(range(1025), 1))):
+        with pytest.raises(Exception, match="damaged bucket of s at 0"):
+            distributions.bucket_bins(bad).collect()
+        with pytest.raises(Exception, match="damaged"):
+            distributions.stats(spark.createDataFrame([], "series string, t bigint, value double, clock bigint, replica decimal(20,0)"), 60, bad).collect()
+
+
+def test_rendered_times(spark):
+    from tideline.functions.series import rendered
+
+    times = spark.createDataFrame([(0,), (-1,), (1705363200,)], "t bigint").select(rendered(F.col("t")).cast("string"), rendered(F.col("t"), "Asia/Tokyo").cast("string")).collect()
+    assert [tuple(r) for r in times] == [("1970-01-01 00:00:00", "1970-01-01 09:00:00"), ("1969-12-31 23:59:59", "1970-01-01 08:59:59"), ("2024-01-16 00:00:00", "2024-01-16 09:00:00")]

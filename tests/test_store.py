@@ -1,5 +1,7 @@
 """Store, engine handles and streaming ingest."""
 
+import time
+
 import pytest
 
 from tideline.functions.series import Agg
@@ -58,6 +60,96 @@ def test_commits_are_exclusive_and_batches_applied_once(spark, tmp_path):
         store._commit("samples", {"version": 1})
 
 
+def test_two_writers_and_a_lost_one(spark, tmp_path):
+    one, other = (stores.ParquetStore(spark, str(tmp_path / "db")) for _ in range(2))
+    ops = spark.createDataFrame([("s", 1, 1.0, 1, None)], SAMPLE_OPS)
+    one.append("samples", ops)
+    with pytest.raises(stores.ConflictError):  # the other one commits in between
+
+        def update(ops, buckets):
+            other.append("samples", ops)
+            return ops, buckets
+
+        one.replace("samples", update)
+    assert one.ops("samples").count() == 2 and one.version("samples") == 2
+    # A writer that died while it wrote its manifest hides nothing and stops nobody.
+    (tmp_path / "db/samples/manifest/3").write_text("{")
+    stores.TORN, before = (1, 0.0), stores.TORN
+    other.append("samples", ops)
+    assert one.version("samples") == 4 and one.ops("samples").count() == 3
+    stores.TORN = before
+
+
+def test_lease_and_vacuum(spark, tmp_path):
+    store = stores.ParquetStore(spark, str(tmp_path / "db"))
+    with store.lease("samples") as first:
+        with store.lease("samples") as second:
+            assert first and not second
+        with store.lease("samples", ttl=-60) as third:  # what was left behind is taken
+            assert third
+    ops = spark.createDataFrame([("s", 1, 1.0, 1, None)], SAMPLE_OPS)
+    for _ in range(3):
+        store.append("samples", ops)
+        store.replace("samples", lambda ops, buckets: (ops, buckets))
+    assert store.vacuum("samples") == 0  # all are fresh
+    assert store.vacuum("samples", keep=1, grace=-60) == 7 and store.ops("samples").count() == 3
+
+
+def test_background_compaction(spark, tmp_path):
+    engine = Engine.open(spark, f"parquet://{tmp_path}/db", compact_every=0.2, jitter=0.1)
+    engine.counters("x").add(10, 2)
+    engine.counters("x").add(11, 3)
+    engine.flush()
+    for _ in range(100):
+        if not engine.store.buckets("counters").isEmpty():
+            break
+        time.sleep(0.2)
+    assert got(engine.counters("x").values()) == {0: 5.0} and not engine.store.version("samples")
+    engine.close()
+    with pytest.raises(ValueError, match="positive"):
+        Engine.open(spark, f"parquet://{tmp_path}/db", compact_every=0)
+
+
+def test_no_compaction_without_the_lease(spark, tmp_path):
+    with Engine.open(spark, f"parquet://{tmp_path}/db") as engine:
+        engine.samples("x").set(1, 1.0)
+        with engine.store.lease("samples"):
+            assert not engine.compact("samples", cutoff=100, span=60)
+        assert got(engine.samples("x").values()) == {1: 1.0}
+        assert engine.compact("samples", cutoff=100, span=60) and got(engine.samples("x").values()) == {0: 1.0}
+
+
+def test_database_store(spark, tmp_path):
+    with Engine.open(spark, "sql://?at=jdbc:derby:memory:series%3Bcreate=true") as engine:
+        engine.samples("x").set(1, 7.0)
+        engine.counters("x").add(4, 2)
+        for v in (-100.0, -1.0, 0.0, 1.0, 100.0):
+            engine.sketches("y").add(5, v)
+        engine.flush()
+        assert got(engine.samples("x").values()) == {1: 7.0} and got(engine.counters("x").values()) == {4: 2.0}
+        assert engine.compact(cutoff=100, span=60)
+        assert got(engine.samples("x").values()) == {0: 7.0} and got(engine.counters("x").values()) == {0: 2.0}
+        told = engine.sketches("y").range(0, 100, 60, {"p25": 0.25, "p50": 0.5}).first()
+        assert told["count"] == 5 and told["p50"] == 0 and told["p25"] == pytest.approx(-1, rel=0.01)
+        assert engine.store.vacuum("samples") == 2
+        engine.samples("x").delete()
+        assert engine.samples("x").values().isEmpty()
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    class Conf:
+        get = staticmethod(lambda key, default: default)
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="share"):
+        stores.shared_folder(Session)
+
+
 def test_registry(spark):
     with pytest.raises(ValueError, match="registered"):
         stores.open_store(spark, "nowhere://x")

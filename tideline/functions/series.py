@@ -34,3 +34,9 @@ def fold(agg: Agg) -> Column:
         Agg.FIRST: F.min_by("f", "ord").cast("double"),
         Agg.LAST: F.max_by("l", "ord").cast("double"),
     }[agg]
+
+
+def rendered(t: Column, zone: str | None = None) -> Column:
+    """Whole seconds as a timestamp without zone: in UTC, or as clocks show it in a zone."""
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=t.cast("decimal(18,6)"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), at) if zone else at

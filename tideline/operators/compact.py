@@ -1,4 +1,6 @@
-"""Compaction: points before a cutoff become epoch-aligned buckets. Each returns (operations left, buckets)."""
+"""Compaction: points before a cutoff become epoch-aligned buckets. Each returns (operations left, buckets).
+
+Both come from the merged operations; a caller that writes them one after the other merges once before and says so."""
 
 from __future__ import annotations
 
@@ -9,10 +11,10 @@ from tideline.functions.series import bucket_start
 from tideline.operators import distributions, resolve
 
 
-def compact_samples(ops: DataFrame, buckets: DataFrame | None, cutoff: int, span: int) -> tuple[DataFrame, DataFrame | None]:
+def compact_samples(ops: DataFrame, buckets: DataFrame | None, cutoff: int, span: int, merged: bool = False) -> tuple[DataFrame, DataFrame | None]:
     if span < 1:
         return ops, buckets
-    points = resolve.samples(ops)
+    points = ops if merged else resolve.samples(ops)
     value = F.col("value")
     new = points.where(F.col("t") < int(cutoff)).groupBy("series", bucket_start(F.col("t"), span).alias("b")).agg(
         F.count(F.lit(1)).alias("count"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"),
@@ -21,18 +23,18 @@ def compact_samples(ops: DataFrame, buckets: DataFrame | None, cutoff: int, span
     return points.where(F.col("t") >= int(cutoff)), new if buckets is None else resolve.sample_buckets(buckets, new)
 
 
-def compact_counters(ops: DataFrame, buckets: DataFrame | None, cutoff: int, span: int) -> tuple[DataFrame, DataFrame | None]:
+def compact_counters(ops: DataFrame, buckets: DataFrame | None, cutoff: int, span: int, merged: bool = False) -> tuple[DataFrame, DataFrame | None]:
     if span < 1:
         return ops, buckets
-    distinct = resolve.counters(ops)
+    distinct = ops if merged else resolve.counters(ops)
     new = distinct.where(F.col("t") < int(cutoff)).groupBy("series", bucket_start(F.col("t"), span).alias("b")).agg(F.sum("value").alias("sum")).withColumnRenamed("b", "t")
     return distinct.where(F.col("t") >= int(cutoff)), new if buckets is None else resolve.counter_buckets(buckets, new)
 
 
-def compact_sketches(ops: DataFrame, buckets: DataFrame | None, cutoff: int, span: int) -> tuple[DataFrame, DataFrame | None]:
+def compact_sketches(ops: DataFrame, buckets: DataFrame | None, cutoff: int, span: int, merged: bool = False) -> tuple[DataFrame, DataFrame | None]:
     if span < 1:
         return ops, buckets
-    resolved = resolve.sketches(ops)
+    resolved = ops if merged else resolve.sketches(ops)
     old = resolved.where(F.col("t") < int(cutoff)).select("series", bucket_start(F.col("t"), span).alias("t"), "value")
     parts = old.select("series", "t", F.lit(1).cast("bigint").alias("count"), F.col("value").alias("sum"), F.col("value").alias("min"), F.col("value").alias("max"))
     rows = distributions.binned(old)

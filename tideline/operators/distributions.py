@@ -28,7 +28,7 @@ def stats(ops: DataFrame, span: int, buckets: DataFrame | None = None, start: in
     """(series, t, count, sum, min, max, mean)."""
     rows = _observed(ops, span, start, end).select(*GROUP, F.lit(1).cast("bigint").alias("n"), F.col("value").alias("s"), F.col("value").alias("mn"), F.col("value").alias("mx"))
     if buckets is not None:
-        rows = rows.unionByName(between(buckets, start, end).select("series", bucket_start(F.col("t"), span).alias("t"), F.col("count").alias("n"), F.col("sum").alias("s"), F.col("min").alias("mn"), F.col("max").alias("mx")))
+        rows = rows.unionByName(checked(between(buckets, start, end)).select("series", bucket_start(F.col("t"), span).alias("t"), F.col("count").alias("n"), F.col("sum").alias("s"), F.col("min").alias("mn"), F.col("max").alias("mx")))
     told = rows.groupBy(*GROUP).agg(F.sum("n").alias("count"), F.sum("s").alias("sum"), F.min("mn").alias("min"), F.max("mx").alias("max"))
     return told.withColumn("mean", F.col("sum") / F.col("count"))
 
@@ -39,8 +39,19 @@ def binned(values: DataFrame) -> DataFrame:
     return values.groupBy(*GROUP, bins.sign(v).alias("sign"), bins.key(v).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def checked(buckets: DataFrame, most: int = bins.MAX_BINS) -> DataFrame:
+    """The stored buckets; reading one fails whose count is not the sum of its bins, that has an empty bin or too many."""
+    side = lambda c: F.coalesce(F.map_values(c), F.array().cast("array<bigint>"))
+    held = F.concat(side(F.col("neg")), side(F.col("pos")))
+    total = F.aggregate(held, F.coalesce(F.col("zero"), F.lit(0)).cast("bigint"), lambda a, n: a + n)
+    sound = (total == F.col("count")) & (F.size(held) <= most) & ~F.exists(held, lambda n: n <= 0)
+    wrong = F.concat(F.lit("a damaged bucket of "), F.col("series"), F.lit(" at "), F.col("t").cast("string"))
+    return buckets.where(F.assert_true(F.coalesce(sound, F.lit(False)), wrong).isNull())
+
+
 def bucket_bins(buckets: DataFrame) -> DataFrame:
-    """(series, t, sign, key, n) of stored buckets."""
+    """(series, t, sign, key, n) of stored buckets, which are checked."""
+    buckets = checked(buckets)
     entries = lambda c, s: F.transform(F.map_entries(F.coalesce(c, F.create_map().cast("map<int,bigint>"))), lambda e: F.struct(F.lit(s).alias("sign"), e["key"].alias("key"), e["value"].alias("n")))
     zero = F.when(F.col("zero") > 0, F.array(F.struct(F.lit(0).alias("sign"), F.lit(0).alias("key"), F.col("zero").alias("n")))).otherwise(F.array().cast("array<struct<sign:int,key:int,n:bigint>>"))
     return buckets.select(*GROUP, F.explode(F.concat(entries(F.col("neg"), -1), zero, entries(F.col("pos"), 1))).alias("b")).select(*GROUP, "b.sign", "b.key", "b.n")
@@ -49,21 +60,30 @@ def bucket_bins(buckets: DataFrame) -> DataFrame:
 def collapsed(rows: DataFrame, most: int = bins.MAX_BINS) -> DataFrame:
     """Sums equal bins; of each group the bins of smallest key beyond ``most``, negative ones first, join the zero bin."""
     summed = rows.groupBy(*GROUP, "sign", "key").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.when(F.col("sign") == 0, 0).otherwise(1), F.desc("key"), F.desc("sign")))
-    has_zero = F.max(F.when(F.col("sign") == 0, 1).otherwise(0)).over(Window.partitionBy(*GROUP))
-    placed = summed.withColumn("rank", rank - has_zero)
-    stays = (F.col("sign") != 0) & (F.col("rank") <= most)
-    return placed.groupBy(*GROUP, F.when(stays, F.col("sign")).otherwise(0).alias("sign"), F.when(stays, F.col("key")).otherwise(0).alias("key")).agg(F.sum("n").alias("n"))
+    placed = summed.withColumn("stays", _stays(F.col("sign"), most))
+    return placed.groupBy(*GROUP, F.when(F.col("stays"), F.col("sign")).otherwise(0).alias("sign"), F.when(F.col("stays"), F.col("key")).otherwise(0).alias("key")).agg(F.sum("n").alias("n"))
+
+
+def _stays(sign: Column, most: int) -> Column:
+    """Whether a bin is among the ``most`` of its group that do not join the zero bin."""
+    rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.when(sign == 0, 0).otherwise(1), F.desc("key"), F.desc("sign")))
+    has_zero = F.max(F.when(sign == 0, 1).otherwise(0)).over(Window.partitionBy(*GROUP))
+    return (sign != 0) & (rank - has_zero <= most)
 
 
-def _picked(rows: DataFrame, value: Column, order: list[Column], quantiles: dict[str, float]) -> DataFrame:
-    """Nearest-rank quantiles of rows (series, t, n, ...): the first value in order whose running count reaches ceil(q n)."""
+def _picked(rows: DataFrame, value: Column, order: list[Column], quantiles: dict[str, float], ends: tuple[str, str] | None = None) -> DataFrame:
+    """Nearest-rank quantiles of rows (series, t, n, ...): the first value in order whose running count reaches ceil(q n).
+
+    The ends, if there are such columns, are the quantiles 0 and 1.
+    """
     group = Window.partitionBy(*GROUP)
     running = rows.withColumn("cum", F.sum("n").over(group.orderBy(*order))).withColumn("total", F.sum("n").over(group)).withColumn("v", value)
 
     def at(q: float) -> Column:
         if not 0 <= q <= 1 or math.isnan(q):
             return F.lit(float("nan"))
+        if ends and q in (0, 1):
+            return F.min(ends[int(q)])
         rank = F.greatest(F.ceil(F.lit(q) * F.col("total")), F.lit(1).cast("bigint"))
         return F.min_by(F.when(F.col("cum") >= rank, F.col("v")), F.when(F.col("cum") >= rank, F.col("cum")))
 
@@ -71,22 +91,34 @@ def _picked(rows: DataFrame, value: Column, order: list[Column], quantiles: dict
 
 
 def quantiles(ops: DataFrame, span: int, wanted: dict[str, float], buckets: DataFrame | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-    """(series, t, one column per wanted quantile). Quantiles outside 0 to 1 are NaN."""
+    """(series, t, one column per wanted quantile). Quantiles outside 0 to 1 are NaN.
+
+    Operations are read once: a flag that a bucket contributes to the group says how its own observations count, and
+    all that follows stays within the groups' partitions.
+    """
     observed = _observed(ops, span, start, end)
     if buckets is None:
         return _exact(observed, wanted)
     old = between(buckets, start, end)
-    old = old.withColumn("t", bucket_start(F.col("t"), span))
-    mixed = old.select(*GROUP).distinct()
-    exact = _exact(observed.join(mixed, list(GROUP), "left_anti"), wanted)
-    late = observed.join(mixed, list(GROUP), "left_semi")
-    rows = collapsed(binned(late).unionByName(bucket_bins(old)))
-    value = bins.representative(F.col("sign"), F.col("key"))
-    told = _picked(rows, value, [F.col("sign"), F.col("sign") * F.col("key")], wanted)
-    ends = old.select(*GROUP, "min", "max").unionByName(late.select(*GROUP, F.col("value").alias("min"), F.col("value").alias("max"))).groupBy(*GROUP).agg(F.min("min").alias("__lo"), F.max("max").alias("__hi"))
-    clamp = lambda c: F.when(F.isnan(c), F.col(c)).otherwise(F.greatest(F.least(F.col(c), F.col("__hi")), F.col("__lo")))
-    edge = {c: F.col("__lo") if q == 0 else F.col("__hi") if q == 1 else clamp(c) for c, q in wanted.items()}
-    return exact.unionByName(told.join(ends, list(GROUP)).select(*GROUP, *(e.alias(c) for c, e in edge.items())))
+    stored = bucket_bins(old).withColumn("t", bucket_start(F.col("t"), span))
+    ends = old.select("series", bucket_start(F.col("t"), span).alias("t"), "min", "max")
+    value, none = F.col("value"), F.lit(None)
+    own = observed.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("n"))
+    columns = ("old", "value", "sign", "key", "n", "lo", "hi")
+    row = lambda df, *of: df.select(*GROUP, *(c.alias(name) for c, name in zip(of, columns, strict=True)))
+    rows = row(own, F.lit(0), value, bins.sign(value), bins.key(value), F.col("n"), value, value)
+    rows = rows.unionByName(row(stored, F.lit(1), none.cast("double"), F.col("sign"), F.col("key"), F.col("n"), none.cast("double"), none.cast("double")))
+    rows = rows.unionByName(row(ends, F.lit(1), none.cast("double"), none.cast("int"), none.cast("int"), F.lit(0).cast("bigint"), F.col("min"), F.col("max")))
+    group = Window.partitionBy(*GROUP)
+    flagged = rows.withColumns({"mixed": F.max("old").over(group), "lo": F.min("lo").over(group), "hi": F.max("hi").over(group)}).where("n > 0")
+    binned_only = lambda c: F.when(F.col("mixed") == 1, F.col(c)).alias(c)
+    keys = (*GROUP, "mixed", "lo", "hi")
+    summed = flagged.groupBy(*keys, binned_only("sign"), binned_only("key"), F.when(F.col("mixed") == 0, value).alias("value")).agg(F.sum("n").alias("n"))
+    placed = summed.withColumn("stays", (F.col("mixed") == 0) | _stays(F.col("sign"), bins.MAX_BINS))
+    kept = placed.groupBy(*keys, F.when(F.col("stays"), F.col("sign")).otherwise(0).alias("sign"), F.when(F.col("stays"), F.col("key")).otherwise(0).alias("key"), "value").agg(F.sum("n").alias("n"))
+    told = F.when(F.col("mixed") == 0, value).otherwise(F.greatest(F.least(bins.representative(F.col("sign"), F.col("key")), F.col("hi")), F.col("lo")))
+    order = [F.col("sign"), F.col("sign") * F.col("key"), value]
+    return _picked(kept, told, order, wanted, ("lo", "hi"))
 
 
 def _exact(observed: DataFrame, wanted: dict[str, float]) -> DataFrame:

@@ -34,3 +34,6 @@ def sample_buckets(older: DataFrame, newer: DataFrame) -> DataFrame:
 
 def counter_buckets(older: DataFrame, newer: DataFrame) -> DataFrame:
     return older.unionByName(newer).groupBy("series", "t").agg(F.sum("sum").alias("sum"))
+
+
+MERGES = {"samples": samples, "counters": counters, "sketches": sketches}

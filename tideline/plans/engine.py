@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import threading
 import time
 
@@ -12,37 +13,48 @@ from tideline.functions.identity import default_replica, fnv1a_64
 from tideline.functions.series import Agg
 from tideline.operators import compact, distributions, read, resolve
 from tideline.schema import KINDS
-from tideline.sources.store import open_store
+from tideline.sources import database  # noqa: F401  registers its scheme
+from tideline.sources.store import ConflictError, open_store
 
 _COMPACT = {"samples": compact.compact_samples, "counters": compact.compact_counters, "sketches": compact.compact_sketches}
 
 
 class Engine:
-    """An engine over a store. Writes go to a buffer and are committed by flush(), on close, or every flush_every seconds."""
+    """An engine over a store. Writes go to a buffer and are committed by flush(), on close, or every flush_every seconds.
 
-    def __init__(self, spark: SparkSession, store, replica: str | None = None, flush_every: float | None = None, compact_after: int = 86_400, compact_span: int = 3_600) -> None:
-        if flush_every is not None and flush_every <= 0:
+    With ``compact_every`` the kinds that handles were asked for are compacted in the background, each time after that many
+    seconds and up to ``jitter`` more.
+    """
+
+    def __init__(self, spark: SparkSession, store, replica: str | None = None, flush_every: float | None = None, compact_after: int = 86_400, compact_span: int = 3_600, compact_every: float | None = None, jitter: float = 0) -> None:
+        if any(x is not None and x <= 0 for x in (flush_every, compact_every)) or jitter < 0:
             store.close()
-            raise ValueError("the flush interval must be positive")
+            raise ValueError("intervals must be positive")
         self.spark, self.store = spark, store
         self.replica = fnv1a_64(replica) if replica is not None else default_replica()
         self.compact_after, self.compact_span = compact_after, compact_span
         self._lock, self._buffer, self._clock = threading.RLock(), {k: [] for k in KINDS}, {}
         self._stop = threading.Event()
+        self._seen: set[str] = set()
         if flush_every:
-            threading.Thread(target=self._loop, args=(flush_every,), daemon=True).start()
+            threading.Thread(target=self._loop, args=(flush_every, 0, self.flush), daemon=True).start()
+        if compact_every:
+            threading.Thread(target=self._loop, args=(compact_every, jitter, self._compact_seen), daemon=True).start()
 
     @classmethod
     def open(cls, spark: SparkSession, uri: str, **options) -> Engine:
         return cls(spark, open_store(spark, uri), **options)
 
     def samples(self, series: str | None = None) -> Samples:
+        self._seen.add("samples")
         return Samples(self, "samples", series)
 
     def counters(self, series: str | None = None) -> Counters:
+        self._seen.add("counters")
         return Counters(self, "counters", series)
 
     def sketches(self, series: str | None = None) -> Sketches:
+        self._seen.add("sketches")
         return Sketches(self, "sketches", series)
 
     def write(self, kind: str, series: str, at: float, value: float | int) -> None:
@@ -74,26 +86,42 @@ class Engine:
                     rows.clear()
                 self._clock.pop(kind, None)
 
-    def compact(self, kind: str | None = None, cutoff: int | None = None, span: int | None = None, series: str | None = None) -> None:
-        """Compacts one kind or all, one series or all; the cutoff is now less compact_after unless given."""
+    def compact(self, kind: str | None = None, cutoff: int | None = None, span: int | None = None, series: str | None = None) -> bool:
+        """Compacts one kind or all, one series or all; the cutoff is now less compact_after unless given.
+
+        A kind that someone else is compacting is left to them; says whether all were free.
+        """
         cutoff, span = int(time.time()) - self.compact_after if cutoff is None else cutoff, self.compact_span if span is None else span
         if self.compact_after <= 0 or span < 1:
-            return
+            return True
         self.flush()
+        free = True
         for k in [kind] if kind else KINDS:
 
             def update(ops: DataFrame, buckets: DataFrame, k: str = k) -> tuple[DataFrame, DataFrame]:
                 if series is None:
-                    return _COMPACT[k](ops, buckets, cutoff, span)
+                    return _COMPACT[k](ops, buckets, cutoff, span, merged=True)
                 mine, other = F.col("series") == series, F.col("series") != series
-                left, made = _COMPACT[k](ops.where(mine), buckets.where(mine), cutoff, span)
+                left, made = _COMPACT[k](ops.where(mine), buckets.where(mine), cutoff, span, merged=True)
                 return left.unionByName(ops.where(other)), made.unionByName(buckets.where(other))
 
-            self.store.replace(k, update)
-
-    def _loop(self, every: float) -> None:
-        while not self._stop.wait(every):
-            self.flush()
+            with self.store.lease(k) as got:
+                free &= got
+                if got:
+                    self.store.replace(k, update, resolve.MERGES[k])
+        return free
+
+    def _compact_seen(self) -> None:
+        for k in sorted(self._seen):
+            try:
+                self.compact(k)
+                self.store.vacuum(k)
+            except ConflictError:
+                pass  # a write came first; the next round compacts what it wrote, too
+
+    def _loop(self, every: float, jitter: float, act) -> None:
+        while not self._stop.wait(every + random.uniform(0, jitter)):
+            act()
 
     def close(self) -> None:
         self._stop.set()

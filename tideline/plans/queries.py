@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import bins
-from tideline.functions.series import Agg
+from tideline.functions.series import Agg, rendered
 from tideline.operators import compact, distributions, read, resolve
-from tideline.sources.store import ParquetStore
+from tideline.sources.store import ParquetStore, shared_folder
 from tideline.sources.tables import events_as, load, orders_as
 from tideline.streaming.ingest import ingest, keep_latest
 
@@ -78,6 +78,11 @@ def samples_values_window(spark: SparkSession, sf: str) -> DataFrame:
     return read.sample_values(_samples(spark, sf), None, START, END)
 
 
+@_query("samples_values_rendered", f"WITH {_RS} SELECT series, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M:%S') AS time, value FROM rs")
+def samples_values_rendered(spark: SparkSession, sf: str) -> DataFrame:
+    return read.sample_values(_samples(spark, sf)).select("series", rendered(F.col("t")).cast("string").alias("time"), "value")
+
+
 @_query("samples_range_span0", f"WITH {_RS} SELECT series, t, value FROM rs WHERE t BETWEEN {START} AND {END}")
 def samples_range_span0(spark: SparkSession, sf: str) -> DataFrame:
     return read.sample_range(_samples(spark, sf), 0, Agg.MAX, None, START, END)
@@ -262,6 +267,22 @@ def sketch_mixed_quantile(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(distributions.quantiles(ops, DAY, {"value": 0.5}, buckets))
 
 
+# Two compactions, one after the other: the second folds what is left into the buckets of the first.
+_EARLY, _LATER = CUTOFF - 7 * DAY - 1800, CUTOFF + 1800
+
+
+@_query("sketch_compact_twice", f"WITH {_KOPS} SELECT series, t - t % {DAY} AS t, CAST(sign(value) AS INTEGER) AS sign, CASE WHEN value = 0 THEN 0 ELSE CAST(ceil(ln(abs(value)) * {bins.SCALE!r}) AS INTEGER) END AS key, count(*) AS n FROM kops WHERE t < {_LATER} GROUP BY ALL")
+def sketch_compact_twice(spark: SparkSession, sf: str) -> DataFrame:
+    ops, buckets = compact.compact_sketches(_sketches(spark, sf), None, _EARLY, DAY)
+    return distributions.bucket_bins(compact.compact_sketches(ops, buckets, _LATER, DAY)[1])
+
+
+@_query("counters_compact_twice", f"WITH {_COPS} SELECT series, t - t % {DAY} AS t, CAST(sum(value) AS BIGINT) AS sum FROM cops WHERE t < {_LATER} GROUP BY ALL")
+def counters_compact_twice(spark: SparkSession, sf: str) -> DataFrame:
+    ops, buckets = compact.compact_counters(_counters(spark, sf), None, _EARLY, DAY)
+    return compact.compact_counters(ops, buckets, _LATER, DAY)[1]
+
+
 @_query("sketch_collapse", f"WITH v AS (SELECT pow({bins.GAMMA!r}, i - 550 + 0.5) AS value FROM range(1100) r(i)), b AS (SELECT {_BIN} FROM v), k AS (SELECT *, row_number() OVER (ORDER BY key DESC) <= 1024 AS stays FROM b) SELECT CASE WHEN stays THEN sign ELSE 0 END AS sign, CASE WHEN stays THEN key ELSE 0 END AS key, count(*) AS n FROM k GROUP BY 1, 2")
 def sketch_collapse(spark: SparkSession, sf: str) -> DataFrame:
     value = F.pow(F.lit(bins.GAMMA), F.col("id") - 550 + 0.5)
@@ -272,7 +293,7 @@ def sketch_collapse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp'}/series-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/series-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf: str, kind: str) -> DataFrame:
@@ -286,10 +307,22 @@ def store_compact_range(spark: SparkSession, sf: str) -> DataFrame:
     ops = _samples(spark, sf)
     store.append("samples", ops.where(F.col("clock") % 2 == 0))
     store.append("samples", ops.where(F.col("clock") % 2 == 1))
-    store.replace("samples", lambda ops, buckets: compact.compact_samples(ops, buckets, CUTOFF, HOUR))
+    store.replace("samples", lambda ops, buckets: compact.compact_samples(ops, buckets, CUTOFF, HOUR, merged=True), resolve.samples)
     return _rounded(read.sample_range(store.ops("samples"), DAY, Agg.MEAN, store.buckets("samples"), START, END))
 
 
+@_query("store_compact_twice", f"WITH {_COPS}, b AS (SELECT series, t - t % {DAY} AS t, value FROM cops WHERE t < {_LATER} UNION ALL SELECT series, t, value FROM cops WHERE t >= {_LATER}) SELECT series, t, CAST(sum(value) AS DOUBLE) AS value FROM b GROUP BY 1, 2")
+def store_compact_twice(spark: SparkSession, sf: str) -> DataFrame:
+    store = ParquetStore(spark, _scratch(spark))
+    ops = _counters(spark, sf)
+    store.append("counters", ops.where(F.col("t") < _EARLY))
+    for cutoff, more in ((_EARLY, ops.where(F.col("t") >= _EARLY)), (_LATER, None)):
+        store.replace("counters", lambda ops, buckets, cutoff=cutoff: compact.compact_counters(ops, buckets, cutoff, DAY, merged=True), resolve.counters)
+        if more is not None:
+            store.append("counters", more)
+    return read.counter_values(store.ops("counters"), store.buckets("counters"))
+
+
 @_query("stream_lww", f"WITH {_RS} SELECT series, t, value FROM rs")
 def stream_lww(spark: SparkSession, sf: str) -> DataFrame:
     at = _scratch(spark)

@@ -1,23 +1,42 @@
 """Stores of series: an append-only log of operations and compacted snapshots, both Parquet, tied by manifests.
 
-A manifest names the log batches and the snapshot that make up the current state of one kind. Committing writes the
-next manifest under a number that must not exist yet, so two writers cannot both succeed, a retried batch is applied
-once, and readers always see one whole state.
+A manifest names the log batches and the snapshot that make up the current state of one kind. Committing creates the
+next manifest, which must not exist yet: file systems that create a file exclusively, such as HDFS or object stores with
+conditional writes, let one of two writers succeed. A retried batch is applied once, and readers always see one whole
+state. A lease keeps two compactions from doing the same work.
 """
 
 from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from urllib.parse import parse_qs, urlsplit
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.schema import KINDS
 
+#: Seconds after which a lease counts as left behind.
+LEASE = 30
+#: Times and seconds of waiting for a manifest that is just being written; after that its writer counts as lost.
+TORN = (10, 0.1)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a session within one process may go without naming one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.gettempdir()
+
 
 class ConflictError(RuntimeError):
     """Another writer has committed first."""
@@ -40,30 +59,75 @@ class ParquetStore:
         fs, p = self._fs(self._manifests(kind))
         return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=0) if fs.exists(p) else 0
 
-    def manifest(self, kind: str) -> dict:
-        version = self.version(kind)
-        if not version:
-            return {"version": 0, "log": [], "ops": None, "buckets": None, "applied": {}}
+    def _written(self, kind: str, version: int) -> dict | None:
         fs, p = self._fs(f"{self._manifests(kind)}/{version}")
         stream = fs.open(p)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
         finally:
             stream.close()
 
+    def manifest(self, kind: str) -> dict:
+        version = self.version(kind)
+        state = {"log": [], "ops": None, "buckets": None, "applied": {}}
+        for back in range(version, 0, -1):
+            found = self._written(kind, back)
+            for _ in range(TORN[0]):
+                if found is not None or back < version:
+                    break
+                time.sleep(TORN[1])
+                found = self._written(kind, back)
+            if found is not None:
+                state = found
+                break
+        return state | {"version": version}
+
+    def _create(self, path: str, text: str) -> bool:
+        """Writes a file unless it is there."""
+        fs, p = self._fs(path)
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError:
+            if fs.exists(p):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
     def _commit(self, kind: str, state: dict) -> None:
-        fs, p = self._fs(f"{self._manifests(kind)}/{state['version']}")
-        done, part = fs.exists(p), self._fs(f"{self.root}/{kind}/part-{uuid.uuid4().hex}")[1]
-        if not done:
-            out = fs.create(part, False)
-            out.write(bytearray(json.dumps(state).encode()))
-            out.close()
-            fs.mkdirs(p.getParent())
-            done = not fs.rename(part, p)
-        if done:
-            fs.delete(part, False)
+        if not self._create(f"{self._manifests(kind)}/{state['version']}", json.dumps(state)):
             raise ConflictError(f"version {state['version']} of {kind} is there already")
 
+    @contextmanager
+    def lease(self, kind: str, ttl: float = LEASE) -> Iterator[bool]:
+        """Whether this holder has the only lease of the kind; it ends with the block, or after ttl seconds."""
+        path = f"{self.root}/{kind}/lease"
+        fs, p = self._fs(path)
+        if fs.exists(p) and fs.getFileStatus(p).getModificationTime() < (time.time() - ttl) * 1000:
+            fs.delete(p, False)
+        got = self._create(path, uuid.uuid4().hex)
+        try:
+            yield got
+        finally:
+            if got:
+                fs.delete(p, False)
+
+    def vacuum(self, kind: str, keep: int = 2, grace: float = 3600) -> int:
+        """Deletes what none of the newest ``keep`` manifests names and nobody has written to for ``grace`` seconds."""
+        version, gone = self.version(kind), 0
+        states = [s for v in range(version, max(version - keep, 0), -1) if (s := self._written(kind, v))]
+        used = {path for s in states for path in (*s["log"], s["ops"], s["buckets"]) if path}
+        for part in ("log", "ops", "buckets", "merged"):
+            fs, folder = self._fs(f"{self.root}/{kind}/{part}")
+            for status in fs.listStatus(folder) if fs.exists(folder) else ():
+                path = status.getPath()
+                if f"{self.root}/{kind}/{part}/{path.getName()}" not in used and status.getModificationTime() < (time.time() - grace) * 1000:
+                    gone += fs.delete(path, True)
+        return gone
+
     # State -----------------------------------------------------------------
 
     def append(self, kind: str, ops: DataFrame, writer: str = "", batch: int | None = None) -> None:
@@ -92,16 +156,27 @@ class ParquetStore:
         state = self.manifest(kind)
         return self._read([state["buckets"]] if state["buckets"] else [], KINDS[kind][1], state)
 
-    def replace(self, kind: str, update: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> None:
-        """A new snapshot from (operations, buckets), written in order of series and time, committed exactly once."""
-        state = self.manifest(kind)
-        ops, buckets = update(self.ops(kind), self.buckets(kind))
+    def replace(self, kind: str, update: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], merge: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """A new snapshot from (operations, buckets), written in order of series and time, committed exactly once.
+
+        With ``merge`` the operations are merged and written once, and update works on them.
+        """
+        state, ops = self.manifest(kind), self.ops(kind)
+        scratch = f"{self.root}/{kind}/merged/{uuid.uuid4().hex}"
+        if merge:
+            merged = merge(ops)
+            merged.write.parquet(scratch)
+            ops = self.spark.read.schema(merged.schema).parquet(scratch)
+        ops, buckets = update(ops, self.buckets(kind))
         paths = []
         for part, df, schema in (("ops", ops, KINDS[kind][0]), ("buckets", buckets, KINDS[kind][1])):
             columns = [c.split()[0] for c in schema.split(", ")]
             paths.append(f"{self.root}/{kind}/{part}/{uuid.uuid4().hex}")
             df.select(columns).repartitionByRange("series", "t").sortWithinPartitions("series", "t").write.parquet(paths[-1])
         self._commit(kind, state | {"version": state["version"] + 1, "log": [], "ops": paths[0], "buckets": paths[1], "deleted": []})
+        if merge:
+            fs, p = self._fs(scratch)
+            fs.delete(p, True)
 
     def delete(self, kind: str, series: str) -> None:
         """Forgets a series at the next snapshot, which is written at once."""
@@ -166,7 +241,7 @@ def _parquet(spark: SparkSession, url) -> ParquetStore:
 
 def _memory(spark: SparkSession, url) -> CachedStore:
     """A store for one session: a scratch folder behind the cache; values expire after ttl seconds (default a day)."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/series-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/series-{uuid.uuid4().hex}"
     return CachedStore(ParquetStore(spark, root, int(parse_qs(url.query).get("ttl", ["86400"])[0])))
 
 
