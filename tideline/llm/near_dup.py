@@ -44,6 +44,8 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Rows and bytes of sets of a block of a bucket, least share of equal slots that is verified.
 BLOCK_ROWS, BLOCK_BYTES, LIKELY = 1024, 16 << 20, 0.55
+#: Buckets whose sizes are broadcast.
+BROADCAST = 1 << 18
 #: Bytes of a shingle's hash.
 KEPT = 8
 _FACTORS = mix((np.arange(WORDS, dtype=np.uint64) + U(11)) * U(0xC2B2AE3D27D4EB4F)) | U(1)
@@ -213,9 +215,12 @@ def links_in_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     then, where these are alike enough, the full sets. A pair is looked at in the first bucket that it shares only, and
     nothing but links leaves the group.
     """
-    parts = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, shingles = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = 2 * members.sparkSession.sparkContext.defaultParallelism + max(rows // BLOCK_ROWS, shingles * KEPT // BLOCK_BYTES)
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("size > 2")
-    sizes = sizes.select("bucket", F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("shingles") * KEPT / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = materialise(sizes.select("bucket", F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("shingles") * KEPT / BLOCK_BYTES)).cast("int").alias("blocks")))
+    # Few buckets get this far; while they are few, members need not meet by bucket, where one may hold very many.
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST else sizes
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     placed = members.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
@@ -257,7 +262,7 @@ def links_in_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataF
         return pd.DataFrame({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
 
     kind = dict(members.dtypes)["rep"]
-    return placed.groupBy("part").applyInPandas(run, f"a {kind}, b {kind}")
+    return placed.repartition(parts, "part").groupBy("part").applyInPandas(run, f"a {kind}, b {kind}")
 
 
 def spread(members: DataFrame, comp: DataFrame | None) -> DataFrame:
