@@ -50,6 +50,8 @@ JOBS = ((50, COLUMNS), (REACH, 50), (0, REACH))
 #: Bytes of a block and of a bucket's share of the texts, strings of an anchor beyond which it is split, strings that a
 #: block lists at a time.
 BLOCK, SHARE, HOT, LOT = 8 << 20, 16 << 20, 2048, 1 << 19
+#: Buckets for the windows of split anchors, for each one of others: at worst there is such a window at every byte.
+FINE = 8
 #: Bytes of an anchor's hash that blocks exchange; bytes of text hashed side by side, and bits that hold a place in them.
 SHORT, PIECE, PLACE = 5, 1 << 18, 20
 
@@ -300,7 +302,7 @@ def _listed(block: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataF
                 continue
             split = r.take(hit).split(hot[at[hit]])
             string = r.hashes()
-            bucket = np.where(split, string % U(buckets), _code(r.anchor, buckets) >> U(8 * SHORT)).astype(np.int64)
+            bucket = np.where(split, U(buckets) + string % U(FINE * buckets), _code(r.anchor, buckets) >> U(8 * SHORT)).astype(np.int64)
             found.append((r.text, r.at, r.size, r.lead, string, bucket, r.strings()))
             held += len(string)
             if held > LOT:
