@@ -206,3 +206,16 @@ def test_rendered_times(spark):
 
     times = spark.createDataFrame([(0,), (-1,), (1705363200,)], "t bigint").select(rendered(F.col("t")).cast("string"), rendered(F.col("t"), "Asia/Tokyo").cast("string")).collect()
     assert [tuple(r) for r in times] == [("1970-01-01 00:00:00", "1970-01-01 09:00:00"), ("1969-12-31 23:59:59", "1970-01-01 08:59:59"), ("2024-01-16 00:00:00", "2024-01-16 09:00:00")]
+
+
+def test_wide_groups_give_the_same_quantiles(spark):
+    from tideline.operators import distributions
+
+    rng = random.Random(3)
+    rows = [(f"s{k % 3}", rng.randint(0, 400), rng.choice([0.0, rng.gauss(0, 50), rng.choice([1.5, -2.5])]), k, Decimal(0)) for k in range(900)]
+    ops = spark.createDataFrame(rows, schema.SAMPLE_OPS)
+    wanted = {"lo": 0.0, "a": 0.001, "b": 0.25, "c": 0.5, "d": 0.999, "hi": 1.0, "none": 1.5}
+    left, buckets = compact.compact_sketches(ops, None, 150, 50)
+    for these, old in ((ops, None), (left, buckets)):
+        one, other = ({(r["series"], r["t"]): [repr(x) for x in r[2:]] for r in distributions.quantiles(these, 100, wanted, old, wide=w).collect()} for w in (False, True))
+        assert one == other and len(one) > 10

@@ -150,6 +150,16 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
         stores.shared_folder(Session)
 
 
+def test_full_buffers_and_schemas(spark, tmp_path):
+    with Engine.open(spark, f"parquet://{tmp_path}/db", most_buffered=2) as engine:
+        for v in (1, 2, 3):
+            engine.samples("x").set(v, v)
+        assert engine.store.version("samples") == 1 and engine.store.ops("samples").count() == 2
+        assert got(engine.samples("x").values()) == {1: 1.0, 2: 2.0, 3: 3.0}
+        with pytest.raises(ValueError, match="do not fit"):
+            engine.store.append("samples", spark.createDataFrame([("x", 1)], "series string, t int"))
+
+
 def test_registry(spark):
     with pytest.raises(ValueError, match="registered"):
         stores.open_store(spark, "nowhere://x")

@@ -41,7 +41,31 @@ def compact_sketches(ops: DataFrame, buckets: DataFrame | None, cutoff: int, spa
     if buckets is not None:
         parts = parts.unionByName(buckets.select("series", "t", "count", "sum", "min", "max"))
         rows = rows.unionByName(distributions.bucket_bins(buckets))
+    return resolved.where(F.col("t") >= int(cutoff)), _buckets(parts, rows)
+
+
+def _buckets(parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Buckets from partial totals (series, t, count, sum, min, max) and bins (series, t, sign, key, n)."""
     totals = parts.groupBy("series", "t").agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
     side = lambda s: F.map_from_entries(F.sort_array(F.filter(F.collect_list(F.when(F.col("sign") == s, F.struct("key", "n"))), lambda x: x.isNotNull())))
     maps = distributions.collapsed(rows).groupBy("series", "t").agg(F.coalesce(F.sum(F.when(F.col("sign") == 0, F.col("n"))), F.lit(0).cast("bigint")).alias("zero"), side(-1).alias("neg"), side(1).alias("pos"))
-    return resolved.where(F.col("t") >= int(cutoff)), totals.join(maps, ["series", "t"])
+    return totals.join(maps, ["series", "t"])
+
+
+def sketch_buckets(older: DataFrame, newer: DataFrame) -> DataFrame:
+    """Additive merge of buckets: counts, sums and bins add up, and at most MAX_BINS bins stay."""
+    both = older.unionByName(newer)
+    return _buckets(both.select("series", "t", "count", "sum", "min", "max"), distributions.bucket_bins(both))
+
+
+State = dict[str, tuple[DataFrame, DataFrame]]
+_BUCKETS = {"samples": resolve.sample_buckets, "counters": resolve.counter_buckets, "sketches": sketch_buckets}
+
+
+def merged_states(older: State, newer: State) -> State:
+    """Two states, each (operations, buckets) by kind, as one; a kind that one of them lacks is the other's."""
+    one = {kind: older.get(kind) or newer[kind] for kind in {**older, **newer}}
+    for kind in older.keys() & newer.keys():
+        (ops, buckets), (more, later) = older[kind], newer[kind]
+        one[kind] = resolve.MERGES[kind](ops.unionByName(more)), _BUCKETS[kind](buckets, later)
+    return one

@@ -2,7 +2,7 @@
 
 A group without compacted buckets is exact. A group with one is approximate as a whole: its own observations are binned
 like the buckets', so that a late observation never hides what was compacted. Exact ranks run over the distinct values
-of a group in a window that spills; bins per group are bounded by the range of doubles.
+of a group, of wide groups over those in the bin that holds the rank; bins per group are bounded by the range of doubles.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tideline.operators import resolve
 from tideline.operators.read import between
 
 GROUP = ("series", "t")
+#: Seconds of a span from which a group may hold more observations than one task can rank.
+WIDE = 86_400
 
 
 def _observed(ops: DataFrame, span: int, start: int | None, end: int | None) -> DataFrame:
@@ -90,35 +92,55 @@ def _picked(rows: DataFrame, value: Column, order: list[Column], quantiles: dict
     return running.groupBy(*GROUP).agg(*(at(q).alias(c) for c, q in quantiles.items()))
 
 
-def quantiles(ops: DataFrame, span: int, wanted: dict[str, float], buckets: DataFrame | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+def quantiles(ops: DataFrame, span: int, wanted: dict[str, float], buckets: DataFrame | None = None, start: int | None = None, end: int | None = None, wide: bool | None = None) -> DataFrame:
     """(series, t, one column per wanted quantile). Quantiles outside 0 to 1 are NaN.
 
     Operations are read once: a flag that a bucket contributes to the group says how its own observations count, and
-    all that follows stays within the groups' partitions.
+    all that follows stays within the groups' partitions. ``wide`` groups, by default those of spans from WIDE on, may hold
+    more than a task can: of these only bins are ranked, and then the observations of the bins that hold a wanted rank.
     """
+    wide = span >= WIDE if wide is None else wide
     observed = _observed(ops, span, start, end)
-    if buckets is None:
+    if buckets is None and not wide:
         return _exact(observed, wanted)
-    old = between(buckets, start, end)
-    stored = bucket_bins(old).withColumn("t", bucket_start(F.col("t"), span))
-    ends = old.select("series", bucket_start(F.col("t"), span).alias("t"), "min", "max")
     value, none = F.col("value"), F.lit(None)
-    own = observed.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("n"))
+    own = observed.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("n")).withColumns({"sign": bins.sign(value), "key": bins.key(value)})
     columns = ("old", "value", "sign", "key", "n", "lo", "hi")
     row = lambda df, *of: df.select(*GROUP, *(c.alias(name) for c, name in zip(of, columns, strict=True)))
-    rows = row(own, F.lit(0), value, bins.sign(value), bins.key(value), F.col("n"), value, value)
-    rows = rows.unionByName(row(stored, F.lit(1), none.cast("double"), F.col("sign"), F.col("key"), F.col("n"), none.cast("double"), none.cast("double")))
-    rows = rows.unionByName(row(ends, F.lit(1), none.cast("double"), none.cast("int"), none.cast("int"), F.lit(0).cast("bigint"), F.col("min"), F.col("max")))
+    if wide:
+        binned = own.groupBy(*GROUP, "sign", "key").agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        rows = row(binned, F.lit(0), none.cast("double"), *map(F.col, columns[2:]))
+    else:
+        rows = row(own, F.lit(0), *map(F.col, columns[1:5]), value, value)
+    if buckets is not None:
+        old = between(buckets, start, end)
+        stored = bucket_bins(old).withColumn("t", bucket_start(F.col("t"), span))
+        ends = old.select("series", bucket_start(F.col("t"), span).alias("t"), "min", "max")
+        rows = rows.unionByName(row(stored, F.lit(1), none.cast("double"), F.col("sign"), F.col("key"), F.col("n"), none.cast("double"), none.cast("double")))
+        rows = rows.unionByName(row(ends, F.lit(1), none.cast("double"), none.cast("int"), none.cast("int"), F.lit(0).cast("bigint"), F.col("min"), F.col("max")))
     group = Window.partitionBy(*GROUP)
     flagged = rows.withColumns({"mixed": F.max("old").over(group), "lo": F.min("lo").over(group), "hi": F.max("hi").over(group)}).where("n > 0")
-    binned_only = lambda c: F.when(F.col("mixed") == 1, F.col(c)).alias(c)
     keys = (*GROUP, "mixed", "lo", "hi")
-    summed = flagged.groupBy(*keys, binned_only("sign"), binned_only("key"), F.when(F.col("mixed") == 0, value).alias("value")).agg(F.sum("n").alias("n"))
+    summed = flagged.groupBy(*keys, "sign", "key", F.when(F.col("mixed") == 0, value).alias("value")).agg(F.sum("n").alias("n"))
     placed = summed.withColumn("stays", (F.col("mixed") == 0) | _stays(F.col("sign"), bins.MAX_BINS))
     kept = placed.groupBy(*keys, F.when(F.col("stays"), F.col("sign")).otherwise(0).alias("sign"), F.when(F.col("stays"), F.col("key")).otherwise(0).alias("key"), "value").agg(F.sum("n").alias("n"))
-    told = F.when(F.col("mixed") == 0, value).otherwise(F.greatest(F.least(bins.representative(F.col("sign"), F.col("key")), F.col("hi")), F.col("lo")))
+    told = F.greatest(F.least(bins.representative(F.col("sign"), F.col("key")), F.col("hi")), F.col("lo"))
     order = [F.col("sign"), F.col("sign") * F.col("key"), value]
-    return _picked(kept, told, order, wanted, ("lo", "hi"))
+    if not wide:
+        return _picked(kept, F.when(F.col("mixed") == 0, value).otherwise(told), order, wanted, ("lo", "hi"))
+    inner = {c: q for c, q in wanted.items() if 0 < q < 1}
+    running = kept.withColumns({"cum": F.sum("n").over(group.orderBy(*order)), "total": F.sum("n").over(group)})
+    ranks = F.array(*(F.struct(F.lit(c).alias("q"), F.ceil(F.lit(q) * F.col("total")).alias("rank")) for c, q in inner.items())) if inner else F.array().cast("array<struct<q:string,rank:bigint>>")
+    within = lambda rank: (F.col("cum") >= rank) & (F.col("cum") - F.col("n") < rank)
+    targets = running.select("*", F.explode(ranks).alias("r")).where(within(F.col("r.rank")))
+    targets = targets.select(*GROUP, "mixed", "sign", "key", F.col("r.q").alias("q"), (F.col("r.rank") - F.col("cum") + F.col("n")).alias("rest"), told.alias("told"))
+    exact = own.join(targets.where("mixed = 0").drop("mixed", "told"), [*GROUP, "sign", "key"])
+    exact = exact.withColumn("cum", F.sum("n").over(Window.partitionBy(*GROUP, "q").orderBy("value"))).where(within(F.col("rest")))
+    found = exact.select(*GROUP, "q", value).unionByName(targets.where("mixed = 1").select(*GROUP, "q", F.col("told").alias("value")))
+    whole = kept.groupBy(*GROUP).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = found.unionByName(whole, allowMissingColumns=True)
+    at = lambda c, q: F.lit(float("nan")) if math.isnan(q) or not 0 <= q <= 1 else F.min("lo") if q == 0 else F.max("hi") if q == 1 else F.max(F.when(F.col("q") == c, value))
+    return found.groupBy(*GROUP).agg(*(at(c, q).alias(c) for c, q in wanted.items()))
 
 
 def _exact(observed: DataFrame, wanted: dict[str, float]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tideline.functions import bins
 from tideline.functions.series import Agg, rendered
 from tideline.operators import compact, distributions, read, resolve
+from tideline.schema import KINDS
 from tideline.sources.store import ParquetStore, shared_folder
 from tideline.sources.tables import events_as, load, orders_as
 from tideline.streaming.ingest import ingest, keep_latest
@@ -277,6 +278,23 @@ def sketch_compact_twice(spark: SparkSession, sf: str) -> DataFrame:
     return distributions.bucket_bins(compact.compact_sketches(ops, buckets, _LATER, DAY)[1])
 
 
+@_query("sketch_bucket_merge", f"WITH {_KOPS} SELECT series, t - t % {DAY} AS t, CAST(sign(value) AS INTEGER) AS sign, CASE WHEN value = 0 THEN 0 ELSE CAST(ceil(ln(abs(value)) * {bins.SCALE!r}) AS INTEGER) END AS key, count(*) AS n FROM kops GROUP BY ALL")
+def sketch_bucket_merge(spark: SparkSession, sf: str) -> DataFrame:
+    ops = _sketches(spark, sf)
+    older, newer = (compact.compact_sketches(ops.where(F.col("clock") % 2 == k), None, 1 << 40, DAY)[1] for k in (0, 1))
+    return distributions.bucket_bins(compact.sketch_buckets(older, newer))
+
+
+@_query("state_merge", f"WITH {_RS}, {_COPS} SELECT 'samples' AS kind, series, t, value FROM rs UNION ALL SELECT 'counters', series, t, CAST(sum(value) AS DOUBLE) FROM cops GROUP BY 1, 2, 3")
+def state_merge(spark: SparkSession, sf: str) -> DataFrame:
+    # Two replicas that hold some operations both.
+    none = {kind: spark.createDataFrame([], KINDS[kind][1]) for kind in KINDS}
+    held = lambda some: {kind: (f(spark, sf).where(some), none[kind]) for kind, f in (("samples", _samples), ("counters", _counters))}
+    state = compact.merged_states(held(F.col("clock") % 3 != 0), held(F.col("clock") % 3 != 1))
+    values = {"samples": read.sample_values(*state["samples"]), "counters": read.counter_values(*state["counters"])}
+    return values["samples"].withColumn("kind", F.lit("samples")).unionByName(values["counters"].withColumn("kind", F.lit("counters")))
+
+
 @_query("counters_compact_twice", f"WITH {_COPS} SELECT series, t - t % {DAY} AS t, CAST(sum(value) AS BIGINT) AS sum FROM cops WHERE t < {_LATER} GROUP BY ALL")
 def counters_compact_twice(spark: SparkSession, sf: str) -> DataFrame:
     ops, buckets = compact.compact_counters(_counters(spark, sf), None, _EARLY, DAY)

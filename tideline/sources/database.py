@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.schema import KINDS
-from tideline.sources.store import ConflictError, register
+from tideline.sources.store import ConflictError, of_schema, register
 
 _MAPS = ("neg", "pos")
 
@@ -65,8 +65,7 @@ class DatabaseStore:
         return df.select(*(F.transform_keys(F.from_json(c, "map<string,bigint>"), lambda k, _: k.cast("int")).alias(c) if c in _MAPS else F.col(c).cast(kinds[c]).alias(c) for c in kinds))
 
     def append(self, kind: str, ops: DataFrame) -> None:
-        columns = [c.split()[0] for c in KINDS[kind][0].split(", ")]
-        ops.select(columns).write.jdbc(self.url, f"{kind}_ops_{self.version(kind)}", "append", dict(self.properties))
+        of_schema(ops, KINDS[kind][0]).write.jdbc(self.url, f"{kind}_ops_{self.version(kind)}", "append", dict(self.properties))
 
     def ops(self, kind: str) -> DataFrame:
         return self._read(kind, "ops")

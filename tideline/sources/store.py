@@ -38,6 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.gettempdir()
 
 
+def of_schema(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of the schema in its order; raises ValueError if one is missing or of another type."""
+    wanted, held = dict(c.split(" ", 1) for c in schema.split(", ")), dict(df.dtypes)
+    wrong = {c: held.get(c) for c, kind in wanted.items() if held.get(c) != kind}
+    if wrong:
+        raise ValueError(f"columns that do not fit {schema}: {wrong}")
+    return df.select(*wanted)
+
+
 class ConflictError(RuntimeError):
     """Another writer has committed first."""
 
@@ -135,7 +144,7 @@ class ParquetStore:
         state = self.manifest(kind)
         if batch is not None and batch <= state["applied"].get(writer, -1):
             return
-        path = f"{self.root}/{kind}/log/{uuid.uuid4().hex}"
+        path, ops = f"{self.root}/{kind}/log/{uuid.uuid4().hex}", of_schema(ops, KINDS[kind][0])
         ops.sortWithinPartitions("series", "t").write.parquet(path)
         applied = state["applied"] | ({writer: batch} if batch is not None else {})
         self._commit(kind, state | {"version": state["version"] + 1, "log": [*state["log"], path], "applied": applied})
