@@ -48,10 +48,11 @@ def _without(numbered: DataFrame, gone: DataFrame, columns: list[str]) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     arrow_rows(spark)
     numbered = _numbered(docs)
-    groups = near_dup.near_duplicates(_by_row(numbered)).select("doc_id", "component_id")
+    groups = materialise(near_dup.near_duplicates(_by_row(numbered)).select("doc_id", "component_id"))
     # Only rows of groups of several are told apart further: the smallest id stays, null being the largest.
-    several = groups.where("doc_id <> component_id").select("component_id").distinct()
-    members = materialise(groups.join(several, "component_id"))
+    others = groups.where("doc_id <> component_id")
+    several = others.select("component_id").distinct()
+    members = materialise(others.unionByName(groups.where("doc_id = component_id").join(several, "component_id", "left_semi").select(others.columns)))
     ids = members.join(numbered.select(F.col("__row").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")
     first = ids.groupBy("component_id").agg(F.min(rank)["doc_id"].alias("doc_id"))
