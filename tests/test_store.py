@@ -150,6 +150,16 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
         stores.shared_folder(Session)
 
 
+def test_streams_of_files_and_folders(spark, tmp_path):
+    from tideline.plans import queries
+
+    one = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    one.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for query in (queries.stream_log_range, queries.stream_lww):
+        rows = [sorted(map(tuple, query(spark, sf).collect())) for sf in ("/root/testdata/sf0.001", str(tmp_path))]
+        assert rows[0] == rows[1] and rows[0]
+
+
 def test_full_buffers_and_schemas(spark, tmp_path):
     with Engine.open(spark, f"parquet://{tmp_path}/db", most_buffered=2) as engine:
         for v in (1, 2, 3):

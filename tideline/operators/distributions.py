@@ -19,7 +19,7 @@ from tideline.operators.read import between
 
 GROUP = ("series", "t")
 #: Seconds of a span from which a group may hold more observations than one task can rank.
-WIDE = 86_400
+WIDE = 7 * 86_400
 
 
 def _observed(ops: DataFrame, span: int, start: int | None, end: int | None) -> DataFrame:

@@ -316,7 +316,8 @@ def _scratch(spark: SparkSession) -> str:
 
 def _stream(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     schema = load(spark, sf, "events").schema
-    return events_as(kind, spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+    # A pattern, as a stream takes no path of a single file.
+    return events_as(kind, spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet"))
 
 
 @_query("store_compact_range", f"WITH {_SU} SELECT series, t - t % {DAY} AS t, {_FOLD['mean']} AS value FROM su WHERE t BETWEEN {START} AND {END} GROUP BY 1, 2")
