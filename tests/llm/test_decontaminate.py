@@ -3,9 +3,11 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 
 from tideline.llm import decontaminate as dc
+from tideline.llm.oracles import OP6
 
 
 def test_planted_passages_are_found_and_clean_documents_are_not(spark):
@@ -103,6 +105,12 @@ def test_equals_every_alignment(spark):
         got = {(r["doc_id"], r["item_id"]): (-r["n_matched"], r["doc_word"], r["item_word"], r["n_aligned"]) for r in rows}
         assert len(want) > 40 and got.keys() == want.keys() and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
         assert got == want and len(rows) == len(want) + sum(i in (docs[0][0], docs[1][0]) for i, _ in want)
+        if shortest == dc.SHORTEST:
+            duck = duckdb.connect()
+            for name, columns, held in (("documents", "doc_id BIGINT, text VARCHAR", docs + docs[:2]), ("benchmark", "item_id BIGINT, text VARCHAR", items)):
+                duck.execute(f"CREATE TABLE {name} ({columns})")
+                duck.executemany(f"INSERT INTO {name} VALUES (?, ?)", held)
+            assert sorted(duck.sql(OP6).fetchall()) == sorted(map(tuple, rows))
 
 
 def test_repetitive_documents(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, pii, quality_rules, secrets, url_filter
+from tideline.llm import chat, decontaminate, pii, quality_rules, secrets, url_filter
 
 _SPLIT = r"[\x20\x09-\x0D]+"
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -106,6 +106,34 @@ SELECT d.doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for
   sha256(coalesce({_OF_ROW} FILTER (WHERE rank < 4), '')) AS base_sha256, coalesce({_OF_ROW}, '') AS spans
 FROM d LEFT JOIN spans USING (r) GROUP BY r, d.doc_id"""
 
+_RUNS = r"[a-z0-9\x{80}-\x{10FFFF}]+"
+#: Where three of four words are equal, two neighbours are, so these find every alignment; then sums up to each end of a run
+#: tell the run of best score and, where that is not enough, the run with most matches from an equal word to an equal word.
+OP6 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, {_LETTERS}), '{_RUNS}') AS w FROM documents),
+i AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, w, least({decontaminate.LEAST_WORDS}, ceil({decontaminate.SHARE} * len(w)))::BIGINT AS needed FROM (SELECT item_id, regexp_extract_all(translate(text, {_LETTERS}), '{_RUNS}') AS w FROM benchmark) WHERE len(w) >= {decontaminate.SHORTEST}),
+dw AS (SELECT d, unnest(w) AS w, unnest(range(len(w))) AS k FROM d),
+iw AS (SELECT i, unnest(w) AS w, unnest(range(len(w))) AS k FROM i),
+db AS (SELECT d, k, w, lead(w) OVER (PARTITION BY d ORDER BY k) AS v FROM dw),
+ib AS (SELECT i, k, w, lead(w) OVER (PARTITION BY i ORDER BY k) AS v FROM iw),
+alignment AS MATERIALIZED (SELECT DISTINCT d, i, db.k - ib.k AS shift FROM db JOIN ib USING (w, v)),
+place AS (SELECT d, i, shift, needed, greatest(0, -shift) AS first, d.w AS dw, i.w AS iw, least(len(i.w), len(d.w) - shift) AS last FROM alignment JOIN d USING (d) JOIN i USING (i)),
+word AS (SELECT d, i, shift, needed, first, n, (x = y)::INT AS e FROM (SELECT *, unnest(range(1, last - first + 1)) AS n, unnest(dw[first + shift + 1:last + shift]) AS x, unnest(iw[first + 1:last]) AS y FROM place)),
+enough AS MATERIALIZED (SELECT * FROM word QUALIFY sum(e) OVER (PARTITION BY d, i, shift) >= needed),
+ends AS (SELECT d, i, shift, needed, first, n, e FROM enough UNION ALL SELECT DISTINCT d, i, shift, needed, first, 0, 0 FROM enough),
+sums AS MATERIALIZED (SELECT *, sum(e) OVER s AS seen, 3 * sum(e) OVER s - 2 * n AS score FROM ends WINDOW s AS (PARTITION BY d, i, shift ORDER BY n)),
+lows AS (SELECT *, min(score) OVER (PARTITION BY d, i, shift ORDER BY n) AS low FROM sums),
+tops AS (SELECT d, i, shift, needed, first, n AS stop, seen AS till FROM lows QUALIFY row_number() OVER (PARTITION BY d, i, shift ORDER BY score - low DESC, n) = 1),
+best AS (SELECT t.d, t.i, t.shift, t.needed, t.first, s.n AS start, t.stop, t.till - s.seen AS matched FROM tops t JOIN sums s ON s.d = t.d AND s.i = t.i AND s.shift = t.shift AND s.n <= t.stop QUALIFY row_number() OVER (PARTITION BY t.d, t.i, t.shift ORDER BY s.score, s.n) = 1),
+good AS (SELECT * FROM best WHERE matched >= needed AND matched >= {decontaminate.SHARE} * (stop - start)),
+other AS (SELECT * FROM sums ANTI JOIN good USING (d, i, shift)),
+runs AS (SELECT s.d, s.i, s.shift, s.needed, s.first, s.n - 1 AS start, t.n AS stop, t.seen - s.seen + 1 AS matched FROM other s JOIN other t ON s.d = t.d AND s.i = t.i AND s.shift = t.shift AND s.e = 1 AND t.e = 1 AND t.n >= s.n WHERE t.seen - s.seen + 1 >= {decontaminate.SHARE} * (t.n - s.n + 1)),
+fullest AS (SELECT * FROM runs WHERE matched >= needed QUALIFY row_number() OVER (PARTITION BY d, i, shift ORDER BY matched DESC, start) = 1),
+told AS (SELECT * FROM good UNION ALL SELECT * FROM fullest),
+one AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY d, i ORDER BY matched DESC, first + start + shift, first + start, stop - start) = 1)
+SELECT doc_id, item_id, (first + start + shift)::BIGINT AS doc_word, (first + start)::BIGINT AS item_word, (stop - start)::BIGINT AS n_aligned, matched::BIGINT AS n_matched
+FROM one JOIN d USING (d) JOIN i USING (i)"""
+
 _LIMITS = quality_rules.Limits()
 _CLASSES = [f"length(regexp_replace(text, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))" for p in quality_rules.CLASSES.values()]
 _PART = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END"
@@ -177,4 +205,4 @@ least_score AS (SELECT coalesce(low + ks[len(ks) // 2 + 1] * width, -1e308) AS l
 SELECT page_id, host, path, rule, round(lm, 6) AS lm_score, coalesce(ruled, CASE WHEN lm >= least THEN 'allow' ELSE 'block' END) AS verdict FROM done, least_score"""
 
 
-ORACLES = {"op1_pii": OP1, "op3_near_dup": OP3, "op7_substring_dedup": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "op10_secrets": OP10}
+ORACLES = {"op1_pii": OP1, "op3_near_dup": OP3, "op6_decontaminate": OP6, "op7_substring_dedup": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "op10_secrets": OP10}
