@@ -87,6 +87,15 @@ def test_lease_and_vacuum(spark, tmp_path):
             assert first and not second
         with store.lease("samples", ttl=-60) as third:  # what was left behind is taken
             assert third
+    # A lease lasts as long as its block, and a holder that has lost it leaves the next one's alone.
+    with store.lease("samples", ttl=1.8) as first:
+        time.sleep(3)
+        with store.lease("samples", ttl=1.8) as second:
+            assert first and not second
+        store._create(f"{tmp_path}/db/samples/lease", "another", over=True)
+    assert (tmp_path / "db/samples/lease").read_text() == "another"
+    with store.lease("samples", ttl=-60) as third:
+        assert third
     ops = spark.createDataFrame([("s", 1, 1.0, 1, None)], SAMPLE_OPS)
     for _ in range(3):
         store.append("samples", ops)
@@ -136,6 +145,37 @@ def test_database_store(spark, tmp_path):
         assert engine.samples("x").values().isEmpty()
 
 
+def test_database_writers(spark):
+    with Engine.open(spark, "sql://?at=jdbc:derby:memory:writers%3Bcreate=true") as engine:
+        for k in (5, 3, 4):  # each flush is later than the one before it
+            engine.samples("x").set(1, float(k))
+            engine.counters("x").add(1, k)
+            engine.flush()
+        assert got(engine.samples("x").values()) == {1: 4.0} and got(engine.counters("x").values()) == {1: 12.0}
+        store, ops = engine.store, spark.createDataFrame([("s", 1, 1.0, 1, None)], SAMPLE_OPS)
+
+        def meanwhile(act):
+            def update(old, buckets):
+                act()
+                return old, buckets
+
+            return update
+
+        with pytest.raises(stores.ConflictError):  # operations that the snapshot lacks
+            store.replace("samples", meanwhile(lambda: store.append("samples", ops)))
+        with pytest.raises(stores.ConflictError):  # the other snapshot stays whole
+            store.replace("samples", meanwhile(lambda: store.replace("samples", lambda old, buckets: (old.where("series = 's'"), buckets))))
+        assert got(engine.samples().values()) == {1: 1.0}
+        with store.lease("samples", ttl=1.8) as first:
+            time.sleep(3)
+            with store.lease("samples", ttl=1.8) as second:
+                assert first and not second
+            with store.lease("samples", ttl=1.8) as other, store.lease("counters") as free:
+                assert free and not other
+        with store.lease("samples", ttl=-60) as left_behind, store.lease("samples") as third:
+            assert left_behind and third
+
+
 def test_shared_folder_is_needed_on_a_cluster(spark):
     class Conf:
         get = staticmethod(lambda key, default: default)

@@ -1,20 +1,24 @@
 """A store of series in a database that Spark reaches by JDBC.
 
-Each snapshot is a pair of tables; one row for each kind says which pair is current and is moved on only by the writer that
-still finds the number it started from. Operations are appended to the current table.
+Each snapshot is a pair of tables with a name of its own; one row for each kind says which pair is current. Its version
+grows with every commit, and a snapshot is only made current by a writer that still finds the version it started from.
+Operations are appended to the current table.
 """
 
 from __future__ import annotations
 
+import re
+import time
+import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from urllib.parse import parse_qs
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.schema import KINDS
-from tideline.sources.store import ConflictError, of_schema, register
+from tideline.sources.store import LEASE, ConflictError, of_schema, register, renewed
 
 _MAPS = ("neg", "pos")
 
@@ -24,10 +28,10 @@ class DatabaseStore:
         self.spark, self.url, self.properties = spark, url, properties
         with self._connected() as c:
             if not c.getMetaData().getTables(None, None, "TIDELINE_STATE", None).next():
-                self._run(c, "CREATE TABLE TIDELINE_STATE (KIND VARCHAR(16) PRIMARY KEY, VERSION INTEGER NOT NULL, HOLDER VARCHAR(64))")
+                self._run(c, "CREATE TABLE TIDELINE_STATE (KIND VARCHAR(16) PRIMARY KEY, VERSION INTEGER NOT NULL, CURRENT_PAIR VARCHAR(64) NOT NULL, HOLDER VARCHAR(64), HELD_UNTIL BIGINT NOT NULL)")
                 for kind in KINDS:
-                    self._run(c, f"INSERT INTO TIDELINE_STATE VALUES ('{kind}', 0, NULL)")
-                    self._write(kind, 0, *(spark.createDataFrame([], s) for s in KINDS[kind]))
+                    self._run(c, f"INSERT INTO TIDELINE_STATE VALUES ('{kind}', 0, '0_first', NULL, 0)")
+                    self._write(kind, "0_first", *(spark.createDataFrame([], s) for s in KINDS[kind]))
 
     @contextmanager
     def _connected(self) -> Iterator[object]:
@@ -45,27 +49,36 @@ class DatabaseStore:
     def _run(c: object, sql: str) -> int:
         return c.createStatement().executeUpdate(sql)
 
-    def version(self, kind: str) -> int:
+    def _state(self, kind: str) -> tuple[int, str]:
+        """The version and the name of the current pair of tables."""
         with self._connected() as c:
-            found = c.createStatement().executeQuery(f"SELECT VERSION FROM TIDELINE_STATE WHERE KIND = '{kind}'")
+            found = c.createStatement().executeQuery(f"SELECT VERSION, CURRENT_PAIR FROM TIDELINE_STATE WHERE KIND = '{kind}'")
             found.next()
-            return found.getInt(1)
+            return found.getInt(1), found.getString(2)
+
+    def version(self, kind: str) -> int:
+        return self._state(kind)[0]
 
-    def _write(self, kind: str, version: int, ops: DataFrame, buckets: DataFrame, mode: str = "overwrite") -> None:
+    def _write(self, kind: str, pair: str, ops: DataFrame, buckets: DataFrame) -> None:
         for part, df, schema in (("ops", ops, KINDS[kind][0]), ("buckets", buckets, KINDS[kind][1])):
             columns = [c.split()[0] for c in schema.split(", ")]
             flat = df.select(*(F.to_json(c).alias(c) if c in _MAPS else F.col(c) for c in columns))
             writer = flat.write.option("createTableColumnTypes", "series VARCHAR(1024)" + "".join(f", {c} VARCHAR(32000)" for c in _MAPS if c in columns))
-            writer.jdbc(self.url, f"{kind}_{part}_{version}", mode, dict(self.properties))
+            writer.jdbc(self.url, f"{kind}_{part}_{pair}", "overwrite", dict(self.properties))
 
     def _read(self, kind: str, part: str) -> DataFrame:
         schema = KINDS[kind][part == "buckets"]
-        df = self.spark.read.jdbc(self.url, f"{kind}_{part}_{self.version(kind)}", properties=dict(self.properties))
+        df = self.spark.read.jdbc(self.url, f"{kind}_{part}_{self._state(kind)[1]}", properties=dict(self.properties))
         kinds = dict(c.split(" ", 1) for c in schema.split(", "))
         return df.select(*(F.transform_keys(F.from_json(c, "map<string,bigint>"), lambda k, _: k.cast("int")).alias(c) if c in _MAPS else F.col(c).cast(kinds[c]).alias(c) for c in kinds))
 
     def append(self, kind: str, ops: DataFrame) -> None:
-        of_schema(ops, KINDS[kind][0]).write.jdbc(self.url, f"{kind}_ops_{self.version(kind)}", "append", dict(self.properties))
+        """Adds operations; raises ConflictError if a new snapshot has replaced the table meanwhile."""
+        _, pair = self._state(kind)
+        of_schema(ops, KINDS[kind][0]).write.jdbc(self.url, f"{kind}_ops_{pair}", "append", dict(self.properties))
+        with self._connected() as c:
+            if self._run(c, f"UPDATE TIDELINE_STATE SET VERSION = VERSION + 1 WHERE KIND = '{kind}' AND CURRENT_PAIR = '{pair}'") != 1:
+                raise ConflictError(f"{kind} has a new snapshot, which may lack the operations appended")
 
     def ops(self, kind: str) -> DataFrame:
         return self._read(kind, "ops")
@@ -74,37 +87,48 @@ class DatabaseStore:
         return self._read(kind, "buckets")
 
     @contextmanager
-    def lease(self, kind: str, holder: str = "compaction") -> Iterator[bool]:
-        with self._connected() as c:
-            got = self._run(c, f"UPDATE TIDELINE_STATE SET HOLDER = '{holder}' WHERE KIND = '{kind}' AND HOLDER IS NULL") == 1
+    def lease(self, kind: str, ttl: float = LEASE) -> Iterator[bool]:
+        """Whether this holder has the only lease of the kind. It is renewed while the block runs and ends with it; a lease
+        that nobody has renewed for ttl seconds was left behind and may be taken."""
+        token = uuid.uuid4().hex
+
+        def held(values: str, where: str) -> bool:
+            with self._connected() as c:
+                return self._run(c, f"UPDATE TIDELINE_STATE SET {values} WHERE KIND = '{kind}' AND {where}") == 1
+
+        until = lambda: f"HOLDER = '{token}', HELD_UNTIL = {int((time.time() + ttl) * 1000)}"
+        got = held(until(), f"(HOLDER IS NULL OR HELD_UNTIL < {int(time.time() * 1000)})")
         try:
-            yield got
+            with renewed(ttl, lambda: held(until(), f"HOLDER = '{token}'")) if got else nullcontext():
+                yield got
         finally:
             if got:
-                with self._connected() as c:
-                    self._run(c, f"UPDATE TIDELINE_STATE SET HOLDER = NULL WHERE KIND = '{kind}'")
+                held("HOLDER = NULL", f"HOLDER = '{token}'")
 
     def replace(self, kind: str, update: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], merge: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        before = self.version(kind)
-        ops = self.ops(kind)
-        self._write(kind, before + 1, *update(merge(ops) if merge else ops, self.buckets(kind)))
+        before, _ = self._state(kind)
+        ops, pair = self.ops(kind), f"{before + 1}_{uuid.uuid4().hex[:8]}"
+        self._write(kind, pair, *update(merge(ops) if merge else ops, self.buckets(kind)))
         with self._connected() as c:
-            if self._run(c, f"UPDATE TIDELINE_STATE SET VERSION = {before + 1} WHERE KIND = '{kind}' AND VERSION = {before}") != 1:
+            if self._run(c, f"UPDATE TIDELINE_STATE SET VERSION = {before + 1}, CURRENT_PAIR = '{pair}' WHERE KIND = '{kind}' AND VERSION = {before}") != 1:
                 raise ConflictError(f"version {before + 1} of {kind} is there already")
 
     def delete(self, kind: str, series: str) -> None:
         self.replace(kind, lambda ops, buckets: (ops.where(F.col("series") != series), buckets.where(F.col("series") != series)))
 
     def vacuum(self, kind: str) -> int:
-        """Drops the pairs of tables before the current one."""
-        gone = 0
+        """Drops the pairs of tables that were started before the current one."""
+        number = lambda pair: int(pair.split("_")[0])
+        current, gone = number(self._state(kind)[1]), 0
         with self._connected() as c:
-            for old in range(self.version(kind)):
-                for part in ("ops", "buckets"):
-                    name = f"{kind}_{part}_{old}"
-                    if c.getMetaData().getTables(None, None, name.upper(), None).next():
-                        self._run(c, f"DROP TABLE {name}")
-                        gone += 1
+            tables, names = c.getMetaData().getTables(None, None, None, None), []
+            while tables.next():
+                names.append(tables.getString("TABLE_NAME"))
+            for name in names:
+                found = re.fullmatch(rf"{kind}_(?:ops|buckets)_(\d+_\w+)", name.lower())
+                if found and number(found[1]) < current:
+                    self._run(c, f"DROP TABLE {name}")
+                    gone += 1
         return gone
 
     def close(self) -> None:

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import json
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from urllib.parse import parse_qs, urlsplit
 
 from py4j.protocol import Py4JJavaError
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tideline.schema import KINDS
 
-#: Seconds after which a lease counts as left behind.
-LEASE = 30
+#: Seconds after which a lease that nobody renewed counts as left behind, and the least between two renewals.
+LEASE, RENEWED = 30, 0.5
 #: Times and seconds of waiting for a manifest that is just being written; after that its writer counts as lost.
 TORN = (10, 0.1)
 
@@ -47,6 +48,24 @@ def of_schema(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*wanted)
 
 
+@contextmanager
+def renewed(ttl: float, renew: Callable[[], bool]) -> Iterator[None]:
+    """Calls renew well within every ttl seconds while the block runs, until it says that there is nothing to renew."""
+    done = threading.Event()
+
+    def beat() -> None:
+        while not done.wait(max(ttl / 3, RENEWED)) and renew():
+            pass
+
+    thread = threading.Thread(target=beat, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+
+
 class ConflictError(RuntimeError):
     """Another writer has committed first."""
 
@@ -68,16 +87,20 @@ class ParquetStore:
         fs, p = self._fs(self._manifests(kind))
         return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=0) if fs.exists(p) else 0
 
-    def _written(self, kind: str, version: int) -> dict | None:
-        fs, p = self._fs(f"{self._manifests(kind)}/{version}")
+    def _text(self, path: str) -> str:
+        fs, p = self._fs(path)
         stream = fs.open(p)
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        except ValueError:
-            return None
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
+    def _written(self, kind: str, version: int) -> dict | None:
+        try:
+            return json.loads(self._text(f"{self._manifests(kind)}/{version}"))
+        except ValueError:
+            return None
+
     def manifest(self, kind: str) -> dict:
         version = self.version(kind)
         state = {"log": [], "ops": None, "buckets": None, "applied": {}}
@@ -93,11 +116,11 @@ class ParquetStore:
                 break
         return state | {"version": version}
 
-    def _create(self, path: str, text: str) -> bool:
-        """Writes a file unless it is there."""
+    def _create(self, path: str, text: str, over: bool = False) -> bool:
+        """Writes a file unless it is there, or over what is there."""
         fs, p = self._fs(path)
         try:
-            out = fs.create(p, False)
+            out = fs.create(p, over)
         except Py4JJavaError:
             if fs.exists(p):
                 return False
@@ -112,16 +135,19 @@ class ParquetStore:
 
     @contextmanager
     def lease(self, kind: str, ttl: float = LEASE) -> Iterator[bool]:
-        """Whether this holder has the only lease of the kind; it ends with the block, or after ttl seconds."""
-        path = f"{self.root}/{kind}/lease"
+        """Whether this holder has the only lease of the kind. It is renewed while the block runs and ends with it; a lease
+        that nobody has renewed for ttl seconds was left behind and may be taken."""
+        path, token = f"{self.root}/{kind}/lease", uuid.uuid4().hex
         fs, p = self._fs(path)
         if fs.exists(p) and fs.getFileStatus(p).getModificationTime() < (time.time() - ttl) * 1000:
             fs.delete(p, False)
-        got = self._create(path, uuid.uuid4().hex)
+        got = self._create(path, token)
+        mine = lambda: fs.exists(p) and self._text(path) == token
         try:
-            yield got
+            with renewed(ttl, lambda: mine() and self._create(path, token, over=True)) if got else nullcontext():
+                yield got
         finally:
-            if got:
+            if got and mine():
                 fs.delete(p, False)
 
     def vacuum(self, kind: str, keep: int = 2, grace: float = 3600) -> int:
