@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, decontaminate, pii, quality_rules, secrets, url_filter
+from tideline.llm import centroids, chat, decontaminate, pii, quality_rules, resample, secrets, url_filter
 
 _SPLIT = r"[\x20\x09-\x0D]+"
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -205,4 +205,41 @@ least_score AS (SELECT coalesce(low + ks[len(ks) // 2 + 1] * width, -1e308) AS l
 SELECT page_id, host, path, rule, round(lm, 6) AS lm_score, coalesce(ruled, CASE WHEN lm >= least THEN 'allow' ELSE 'block' END) AS verdict FROM done, least_score"""
 
 
-ORACLES = {"op1_pii": OP1, "op3_near_dup": OP3, "op6_decontaminate": OP6, "op7_substring_dedup": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "op10_secrets": OP10}
+#: CRC-32 by its table, over each different run of words.
+_CRC_STEPS = "list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)"
+_CRC = "xor(4294967295, list_reduce([4294967295] || [('0x' || h[2 * i - 1:2 * i])::BIGINT for i in range(1, len(h) // 2 + 1)], lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"
+_B, _SCALE = resample.BUCKETS, resample.SCALE
+OP11 = f"""
+WITH crc AS (SELECT list(c ORDER BY n) AS steps FROM (SELECT n, {_CRC_STEPS} AS c FROM (SELECT unnest(range(256))::BIGINT AS n))),
+texts AS (SELECT row_number() OVER () AS r, doc_id, text, true AS doc FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, false FROM benchmark),
+w AS (SELECT r, doc_id, doc, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '{_RUNS}') AS w FROM texts),
+f AS (SELECT r, doc, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS f FROM w),
+known AS (SELECT f, {_CRC} % {_B} AS b FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)), crc),
+each AS (SELECT r, doc, b FROM f JOIN known USING (f)),
+counts AS (SELECT b, count(*) FILTER (WHERE doc) AS s, count(*) FILTER (WHERE NOT doc) AS t FROM each GROUP BY 1),
+total AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM counts),
+gain AS (SELECT b, floor({_SCALE} * ln((t + 1)::DOUBLE * (s_all + {_B}) / ((s + 1)::DOUBLE * (t_all + {_B}))))::BIGINT AS g FROM counts, total),
+told AS (SELECT r, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM each JOIN gain USING (b) WHERE doc GROUP BY 1),
+hashed AS (SELECT r, doc_id, len(w) AS n_words, ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w WHERE doc),
+scored AS (SELECT hashed.r, doc_id, n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-{_SCALE} * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM hashed LEFT JOIN told USING (r)),
+drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT r, rank FROM drawn WHERE rank <= 25 * n // 100) USING (r)"""
+
+OP12 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+_K = centroids.SIZE
+_NEAREST = "a{k} AS MATERIALIZED (SELECT r, c, d FROM (SELECT v.r, c{k}.c, sum((v.x - c{k}.x) * (v.x - c{k}.x))::BIGINT AS d FROM v JOIN c{k} USING (i) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"
+_MOVED = "c{n} AS MATERIALIZED (SELECT c, i, coalesce(m.x, c{k}.x) AS x FROM c{k} LEFT JOIN (SELECT c, i, (sum(v.x) - (sum(v.x) % count(*) + count(*)) % count(*))::BIGINT // count(*) AS x FROM v JOIN a{k} USING (r) GROUP BY 1, 2) m USING (c, i))"
+OP13 = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor({centroids.SCALE} * x::DOUBLE)::BIGINT for x in embedding] AS q FROM embeddings WHERE len(embedding) = {_K} AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = {_K}),
+v AS MATERIALIZED (SELECT r, unnest(q) AS x, unnest(range({_K})) AS i FROM kept),
+c0 AS MATERIALIZED (SELECT c, unnest(q) AS x, unnest(range({_K})) AS i FROM (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS c, q FROM kept QUALIFY c < {centroids.CLUSTERS})),
+{", ".join(_NEAREST.format(k=k) + ", " + _MOVED.format(k=k, n=k + 1) for k in range(centroids.ROUNDS))}, {_NEAREST.format(k=centroids.ROUNDS)},
+digest AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{centroids.ROUNDS} GROUP BY 1)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN kept USING (r) JOIN digest USING (c)"""
+
+ORACLES = {"op1_pii": OP1, "op3_near_dup": OP3, "op6_decontaminate": OP6, "op7_substring_dedup": OP7, "op8_quality_rules": OP8, "op9_chat_format": OP9, "op10_secrets": OP10, "op11_resample": OP11, "op12_exact_dedup": OP12, "op13_centroids": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, chat, decontaminate, near_dup, pii, quality_model, quality_rules, secrets, substring_dedup, url_filter
+from tideline.llm import bpe, centroids, chat, decontaminate, exact_dedup, near_dup, pii, quality_model, quality_rules, resample, secrets, substring_dedup, url_filter
 from tideline.llm.common import arrow_rows, table
 from tideline.llm.oracles import INJECTION, ORACLES, op4
 from tideline.llm.spans import count_kind, joined
@@ -86,6 +86,26 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_trees(chat.reply_chain(rows.unionByName(planted))))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents come in two batches, told by a hash of the id: the first becomes the snapshot that the second meets."""
+    arrow_rows(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    second = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    found = exact_dedup.deduplicate([docs.where(~second), docs.where(second)])
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    return centroids.described(*centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 ORACLES = ORACLES | {"op4_url_filter": op4(RULES)}
@@ -101,4 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
+    "op11_resample": op11_resample,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_centroids": op13_centroids,
 }
