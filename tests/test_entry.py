@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("events", "orders"):
+    for t in ("events", "orders", "lineitem"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
 

@@ -208,14 +208,30 @@ def test_rendered_times(spark):
     assert [tuple(r) for r in times] == [("1970-01-01 00:00:00", "1970-01-01 09:00:00"), ("1969-12-31 23:59:59", "1970-01-01 08:59:59"), ("2024-01-16 00:00:00", "2024-01-16 09:00:00")]
 
 
-def test_wide_groups_give_the_same_quantiles(spark):
-    from tideline.operators import distributions
-
+def test_large_groups_give_the_same_quantiles(spark):
     rng = random.Random(3)
     rows = [(f"s{k % 3}", rng.randint(0, 400), rng.choice([0.0, rng.gauss(0, 50), rng.choice([1.5, -2.5])]), k, Decimal(0)) for k in range(900)]
     ops = spark.createDataFrame(rows, schema.SAMPLE_OPS)
     wanted = {"lo": 0.0, "a": 0.001, "b": 0.25, "c": 0.5, "d": 0.999, "hi": 1.0, "none": 1.5}
     left, buckets = compact.compact_sketches(ops, None, 150, 50)
     for these, old in ((ops, None), (left, buckets)):
-        one, other = ({(r["series"], r["t"]): [repr(x) for x in r[2:]] for r in distributions.quantiles(these, 100, wanted, old, wide=w).collect()} for w in (False, True))
-        assert one == other and len(one) > 10
+        one, some, every = ({(r["series"], r["t"]): [repr(x) for x in r[2:]] for r in distributions.quantiles(these, 100, wanted, old, most=m).collect()} for m in (1000, 74, 0))
+        assert one == some == every and len(one) > 10
+
+
+def test_a_hot_group_is_ranked_by_many_tasks(spark, monkeypatch):
+    """All values of one hour, most of them within a millionth of each other: no range holds twice the median."""
+    ops = spark.range(40_000).select(F.lit("hot").alias("series"), (F.col("id") % 3600).alias("t"), F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).otherwise(1 + F.col("id") * 1e-11).alias("value"), F.col("id").alias("clock"), F.lit(0).cast("decimal(20,0)").alias("replica"))
+    held = []
+    keep = lambda df: held.append(distributions_written(df)) or held[-1]
+    distributions_written = distributions.written
+    monkeypatch.setattr(distributions, "written", keep)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        told = distributions.quantiles(ops, 3600, {"a": 0.1, "b": 0.5, "c": 0.95}, most=5000).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    values = sorted(float(i) if i % 10 == 0 else 1 + i * 1e-11 for i in range(40_000))
+    assert [told["a"], told["b"], told["c"]] == [values[math.ceil(q * 40_000) - 1] for q in (0.1, 0.5, 0.95)]
+    sizes = sorted(r["count"] for r in held[-1].groupBy("range").count().collect())
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]

@@ -7,8 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions import sketches
 from tideline.functions.series import bucket_start
-from tideline.operators import distributions, resolve
+from tideline.operators import resolve
+from tideline.operators.sketches import GROUP, combined, of_buckets, sketched
 
 
 def compact_samples(ops: DataFrame, buckets: DataFrame | None, cutoff: int, span: int, merged: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -36,26 +38,17 @@ def compact_sketches(ops: DataFrame, buckets: DataFrame | None, cutoff: int, spa
         return ops, buckets
     resolved = ops if merged else resolve.sketches(ops)
     old = resolved.where(F.col("t") < int(cutoff)).select("series", bucket_start(F.col("t"), span).alias("t"), "value")
-    parts = old.select("series", "t", F.lit(1).cast("bigint").alias("count"), F.col("value").alias("sum"), F.col("value").alias("min"), F.col("value").alias("max"))
-    rows = distributions.binned(old)
-    if buckets is not None:
-        parts = parts.unionByName(buckets.select("series", "t", "count", "sum", "min", "max"))
-        rows = rows.unionByName(distributions.bucket_bins(buckets))
-    return resolved.where(F.col("t") >= int(cutoff)), _buckets(parts, rows)
+    made = sketched(old, GROUP) if buckets is None else combined(of_buckets(buckets), GROUP, values=old)
+    return resolved.where(F.col("t") >= int(cutoff)), _as_buckets(made)
 
 
-def _buckets(parts: DataFrame, rows: DataFrame) -> DataFrame:
-    """Buckets from partial totals (series, t, count, sum, min, max) and bins (series, t, sign, key, n)."""
-    totals = parts.groupBy("series", "t").agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
-    side = lambda s: F.map_from_entries(F.sort_array(F.filter(F.collect_list(F.when(F.col("sign") == s, F.struct("key", "n"))), lambda x: x.isNotNull())))
-    maps = distributions.collapsed(rows).groupBy("series", "t").agg(F.coalesce(F.sum(F.when(F.col("sign") == 0, F.col("n"))), F.lit(0).cast("bigint")).alias("zero"), side(-1).alias("neg"), side(1).alias("pos"))
-    return totals.join(maps, ["series", "t"])
+def _as_buckets(held: DataFrame) -> DataFrame:
+    return held.select(*GROUP, *sketches.as_bucket(F.col("sketch")))
 
 
 def sketch_buckets(older: DataFrame, newer: DataFrame) -> DataFrame:
     """Additive merge of buckets: counts, sums and bins add up, and at most MAX_BINS bins stay."""
-    both = older.unionByName(newer)
-    return _buckets(both.select("series", "t", "count", "sum", "min", "max"), distributions.bucket_bins(both))
+    return _as_buckets(combined(of_buckets(older.unionByName(newer)), GROUP))
 
 
 State = dict[str, tuple[DataFrame, DataFrame]]

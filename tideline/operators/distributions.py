@@ -2,7 +2,7 @@
 
 A group without compacted buckets is exact. A group with one is approximate as a whole: its own observations are binned
 like the buckets', so that a late observation never hides what was compacted. Exact ranks run over the distinct values
-of a group, of wide groups over those in the bin that holds the rank; bins per group are bounded by the range of doubles.
+of a group, in one task or, for groups that are counted as large, in many.
 """
 
 from __future__ import annotations
@@ -12,14 +12,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions import bins
+from tideline.functions import bins, sketches
 from tideline.functions.series import bucket_start
 from tideline.operators import resolve
 from tideline.operators.read import between
+from tideline.operators.sketches import GROUP, checked, combined, of_buckets
+from tideline.sources.scratch import written
 
-GROUP = ("series", "t")
-#: Seconds of a span from which a group may hold more observations than one task can rank.
-WIDE = 7 * 86_400
+#: Operations of a group that one task ranks, and groups beyond that whose names are broadcast.
+MOST, BROADCAST = 1 << 20, 1 << 16
 
 
 def _observed(ops: DataFrame, span: int, start: int | None, end: int | None) -> DataFrame:
@@ -41,16 +42,6 @@ def binned(values: DataFrame) -> DataFrame:
     return values.groupBy(*GROUP, bins.sign(v).alias("sign"), bins.key(v).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def checked(buckets: DataFrame, most: int = bins.MAX_BINS) -> DataFrame:
-    """The stored buckets; reading one fails whose count is not the sum of its bins, that has an empty bin or too many."""
-    side = lambda c: F.coalesce(F.map_values(c), F.array().cast("array<bigint>"))
-    held = F.concat(side(F.col("neg")), side(F.col("pos")))
-    total = F.aggregate(held, F.coalesce(F.col("zero"), F.lit(0)).cast("bigint"), lambda a, n: a + n)
-    sound = (total == F.col("count")) & (F.size(held) <= most) & ~F.exists(held, lambda n: n <= 0)
-    wrong = F.concat(F.lit("a damaged bucket of "), F.col("series"), F.lit(" at "), F.col("t").cast("string"))
-    return buckets.where(F.assert_true(F.coalesce(sound, F.lit(False)), wrong).isNull())
-
-
 def bucket_bins(buckets: DataFrame) -> DataFrame:
     """(series, t, sign, key, n) of stored buckets, which are checked."""
     buckets = checked(buckets)
@@ -73,76 +64,67 @@ def _stays(sign: Column, most: int) -> Column:
     return (sign != 0) & (rank - has_zero <= most)
 
 
-def _picked(rows: DataFrame, value: Column, order: list[Column], quantiles: dict[str, float], ends: tuple[str, str] | None = None) -> DataFrame:
-    """Nearest-rank quantiles of rows (series, t, n, ...): the first value in order whose running count reaches ceil(q n).
+def crowded(ops: DataFrame, span: int, most: int, start: int | None = None, end: int | None = None) -> DataFrame:
+    """The groups (series, t) with more than ``most`` operations, counted before the shuffle and from two columns only."""
+    counted = between(ops, start, end).groupBy("series", bucket_start(F.col("t"), span).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") > most).select("series", F.col("b").alias("t"))
+
+
+def quantiles(ops: DataFrame, span: int, wanted: dict[str, float], buckets: DataFrame | None = None, start: int | None = None, end: int | None = None, most: int = MOST) -> DataFrame:
+    """(series, t, one column per wanted quantile). Quantiles outside 0 to 1 are NaN.
 
-    The ends, if there are such columns, are the quantiles 0 and 1.
+    Groups are counted first. One of at most ``most`` operations is ranked in one task. The distinct values of larger ones
+    are dealt by ranges, so that each task has its share of a group however large it is, and only the ranges that hold a
+    wanted rank are ranked further. A group with a bucket is asked by its sketch.
     """
-    group = Window.partitionBy(*GROUP)
-    running = rows.withColumn("cum", F.sum("n").over(group.orderBy(*order))).withColumn("total", F.sum("n").over(group)).withColumn("v", value)
+    large = written(crowded(ops, span, most, start, end))
+    n_large = large.count()
+    large = None if not n_large else F.broadcast(large) if n_large <= BROADCAST else large
+    observed = _observed(ops, span, start, end)
+    if buckets is None:
+        return _exact(observed, wanted, large)
+    old = of_buckets(between(buckets, start, end)).select("series", bucket_start(F.col("t"), span).alias("t"), "sketch")
+    flagged = observed.join(old.select(*GROUP).distinct().withColumn("mixed", F.lit(True)), [*GROUP], "left")
+    own = flagged.where("mixed").select(*GROUP, "value")
+    asked = combined(old, [*GROUP], values=own).select(*GROUP, *(sketches.quantile(F.col("sketch"), q).alias(c) for c, q in wanted.items()))
+    return asked.unionByName(_exact(flagged.where("mixed is null"), wanted, large))
 
-    def at(q: float) -> Column:
-        if not 0 <= q <= 1 or math.isnan(q):
-            return F.lit(float("nan"))
-        if ends and q in (0, 1):
-            return F.min(ends[int(q)])
-        rank = F.greatest(F.ceil(F.lit(q) * F.col("total")), F.lit(1).cast("bigint"))
-        return F.min_by(F.when(F.col("cum") >= rank, F.col("v")), F.when(F.col("cum") >= rank, F.col("cum")))
 
-    return running.groupBy(*GROUP).agg(*(at(q).alias(c) for c, q in quantiles.items()))
+def _exact(observed: DataFrame, wanted: dict[str, float], large: DataFrame | None) -> DataFrame:
+    counted = observed.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("n"))
+    if large is None:
+        return _picked(counted, wanted)
+    return _picked(counted.join(large, [*GROUP], "left_anti"), wanted).unionByName(_picked_by_ranges(counted.join(large, [*GROUP], "left_semi"), wanted))
 
 
-def quantiles(ops: DataFrame, span: int, wanted: dict[str, float], buckets: DataFrame | None = None, start: int | None = None, end: int | None = None, wide: bool | None = None) -> DataFrame:
-    """(series, t, one column per wanted quantile). Quantiles outside 0 to 1 are NaN.
+def _rank(q: float, total: Column) -> Column:
+    return F.greatest(F.ceil(F.lit(q) * total), F.lit(1)).cast("bigint")
 
-    Operations are read once: a flag that a bucket contributes to the group says how its own observations count, and
-    all that follows stays within the groups' partitions. ``wide`` groups, by default those of spans from WIDE on, may hold
-    more than a task can: of these only bins are ranked, and then the observations of the bins that hold a wanted rank.
-    """
-    wide = span >= WIDE if wide is None else wide
-    observed = _observed(ops, span, start, end)
-    if buckets is None and not wide:
-        return _exact(observed, wanted)
-    value, none = F.col("value"), F.lit(None)
-    own = observed.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("n")).withColumns({"sign": bins.sign(value), "key": bins.key(value)})
-    columns = ("old", "value", "sign", "key", "n", "lo", "hi")
-    row = lambda df, *of: df.select(*GROUP, *(c.alias(name) for c, name in zip(of, columns, strict=True)))
-    if wide:
-        binned = own.groupBy(*GROUP, "sign", "key").agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        rows = row(binned, F.lit(0), none.cast("double"), *map(F.col, columns[2:]))
-    else:
-        rows = row(own, F.lit(0), *map(F.col, columns[1:5]), value, value)
-    if buckets is not None:
-        old = between(buckets, start, end)
-        stored = bucket_bins(old).withColumn("t", bucket_start(F.col("t"), span))
-        ends = old.select("series", bucket_start(F.col("t"), span).alias("t"), "min", "max")
-        rows = rows.unionByName(row(stored, F.lit(1), none.cast("double"), F.col("sign"), F.col("key"), F.col("n"), none.cast("double"), none.cast("double")))
-        rows = rows.unionByName(row(ends, F.lit(1), none.cast("double"), none.cast("int"), none.cast("int"), F.lit(0).cast("bigint"), F.col("min"), F.col("max")))
+
+def _known(q: float) -> bool:
+    return not math.isnan(q) and 0 <= q <= 1
+
+
+def _picked(rows: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """Nearest-rank quantiles of rows (series, t, value, n): the first value whose running count reaches ceil(q n)."""
     group = Window.partitionBy(*GROUP)
-    flagged = rows.withColumns({"mixed": F.max("old").over(group), "lo": F.min("lo").over(group), "hi": F.max("hi").over(group)}).where("n > 0")
-    keys = (*GROUP, "mixed", "lo", "hi")
-    summed = flagged.groupBy(*keys, "sign", "key", F.when(F.col("mixed") == 0, value).alias("value")).agg(F.sum("n").alias("n"))
-    placed = summed.withColumn("stays", (F.col("mixed") == 0) | _stays(F.col("sign"), bins.MAX_BINS))
-    kept = placed.groupBy(*keys, F.when(F.col("stays"), F.col("sign")).otherwise(0).alias("sign"), F.when(F.col("stays"), F.col("key")).otherwise(0).alias("key"), "value").agg(F.sum("n").alias("n"))
-    told = F.greatest(F.least(bins.representative(F.col("sign"), F.col("key")), F.col("hi")), F.col("lo"))
-    order = [F.col("sign"), F.col("sign") * F.col("key"), value]
-    if not wide:
-        return _picked(kept, F.when(F.col("mixed") == 0, value).otherwise(told), order, wanted, ("lo", "hi"))
-    inner = {c: q for c, q in wanted.items() if 0 < q < 1}
-    running = kept.withColumns({"cum": F.sum("n").over(group.orderBy(*order)), "total": F.sum("n").over(group)})
-    ranks = F.array(*(F.struct(F.lit(c).alias("q"), F.ceil(F.lit(q) * F.col("total")).alias("rank")) for c, q in inner.items())) if inner else F.array().cast("array<struct<q:string,rank:bigint>>")
-    within = lambda rank: (F.col("cum") >= rank) & (F.col("cum") - F.col("n") < rank)
-    targets = running.select("*", F.explode(ranks).alias("r")).where(within(F.col("r.rank")))
-    targets = targets.select(*GROUP, "mixed", "sign", "key", F.col("r.q").alias("q"), (F.col("r.rank") - F.col("cum") + F.col("n")).alias("rest"), told.alias("told"))
-    exact = own.join(targets.where("mixed = 0").drop("mixed", "told"), [*GROUP, "sign", "key"])
-    exact = exact.withColumn("cum", F.sum("n").over(Window.partitionBy(*GROUP, "q").orderBy("value"))).where(within(F.col("rest")))
-    found = exact.select(*GROUP, "q", value).unionByName(targets.where("mixed = 1").select(*GROUP, "q", F.col("told").alias("value")))
-    whole = kept.groupBy(*GROUP).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    found = found.unionByName(whole, allowMissingColumns=True)
-    at = lambda c, q: F.lit(float("nan")) if math.isnan(q) or not 0 <= q <= 1 else F.min("lo") if q == 0 else F.max("hi") if q == 1 else F.max(F.when(F.col("q") == c, value))
-    return found.groupBy(*GROUP).agg(*(at(c, q).alias(c) for c, q in wanted.items()))
+    running = rows.withColumn("cum", F.sum("n").over(group.orderBy("value"))).withColumn("total", F.sum("n").over(group))
+    at = lambda q: F.min(F.when(F.col("cum") >= _rank(q, F.col("total")), F.col("value"))) if _known(q) else F.lit(float("nan"))
+    return running.groupBy(*GROUP).agg(*(at(q).alias(c) for c, q in wanted.items()))
 
 
-def _exact(observed: DataFrame, wanted: dict[str, float]) -> DataFrame:
-    counted = observed.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("n"))
-    return _picked(counted, F.col("value"), [F.col("value")], wanted)
+def _picked_by_ranges(rows: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """As _picked. Ranges are written with their rows, so that all reads agree on them; a group has at most as many of them
+    as there are partitions, and a range is no larger than a partition."""
+    ranged = written(rows.repartitionByRange(*GROUP, "value").withColumn("range", F.spark_partition_id()))
+    parts = ranged.groupBy(*GROUP, "range").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*GROUP)
+    parts = parts.withColumn("cum", F.sum("n").over(group.orderBy("range"))).withColumn("total", F.sum("n").over(group))
+    ranks = F.array(*(F.struct(F.lit(c).alias("q"), _rank(q, F.col("total")).alias("rank")) for c, q in wanted.items() if _known(q)), F.struct(F.lit("").alias("q"), F.lit(1).cast("bigint").alias("rank")))
+    holds = lambda rank: (F.col("cum") >= rank) & (F.col("cum") - F.col("n") < rank)
+    targets = parts.select("*", F.explode(ranks).alias("r")).where(holds(F.col("r.rank")))
+    targets = targets.select(*GROUP, "range", F.col("r.q").alias("q"), (F.col("r.rank") - F.col("cum") + F.col("n")).alias("rest"))
+    within = ranged.join(targets, [*GROUP, "range"]).withColumn("cum", F.sum("n").over(Window.partitionBy(*GROUP, "range", "q").orderBy("value")))
+    found = within.where(holds(F.col("rest"))).select(*GROUP, "q", "value")
+    at = lambda c, q: F.max(F.when(F.col("q") == c, F.col("value"))) if _known(q) else F.lit(float("nan"))
+    return found.groupBy(*GROUP).agg(*(at(c, q).alias(c) for c, q in wanted.items()))

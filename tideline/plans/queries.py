@@ -6,18 +6,19 @@ means of two-digit values off the points where rounding turns; the operators the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions import bins
-from tideline.functions.series import Agg, rendered
+from tideline.functions import bins, sketches
+from tideline.functions.series import Agg, bucket_start, rendered
 from tideline.operators import compact, distributions, read, resolve
+from tideline.operators.sketches import combined, sketch_range
 from tideline.schema import KINDS
-from tideline.sources.store import ParquetStore, shared_folder
-from tideline.sources.tables import events_as, load, orders_as
+from tideline.sources.scratch import scratch, written
+from tideline.sources.store import ParquetStore
+from tideline.sources.tables import events_as, lineitem_as, load, orders_as
 from tideline.streaming.ingest import ingest, keep_latest
 
 #: Window whose ends lie inside buckets; cutoff of compaction (2024-01-16); spans.
@@ -301,17 +302,60 @@ def counters_compact_twice(spark: SparkSession, sf: str) -> DataFrame:
     return compact.compact_counters(ops, buckets, _LATER, DAY)[1]
 
 
-@_query("sketch_collapse", f"WITH v AS (SELECT pow({bins.GAMMA!r}, i - 550 + 0.5) AS value FROM range(1100) r(i)), b AS (SELECT {_BIN} FROM v), k AS (SELECT *, row_number() OVER (ORDER BY key DESC) <= 1024 AS stays FROM b) SELECT CASE WHEN stays THEN sign ELSE 0 END AS sign, CASE WHEN stays THEN key ELSE 0 END AS key, count(*) AS n FROM k GROUP BY 1, 2")
+# A few bins of the events' compacted days, so that collapsing has something to do; the operator's own limit is MAX_BINS.
+_FEW = 64
+
+
+@_query("sketch_collapse", f"WITH {_ALL_BINS}, b AS (SELECT series, t, sign, key, count(*) AS n FROM rows_ GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY series, t ORDER BY sign = 0, key DESC, sign DESC) <= {_FEW} AND sign <> 0 AS stays FROM b) SELECT series, t, CASE WHEN stays THEN sign ELSE 0 END AS sign, CASE WHEN stays THEN key ELSE 0 END AS key, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL")
 def sketch_collapse(spark: SparkSession, sf: str) -> DataFrame:
-    value = F.pow(F.lit(bins.GAMMA), F.col("id") - 550 + 0.5)
-    return distributions.collapsed(distributions.binned(spark.range(1100).select(F.lit("x").alias("series"), F.lit(0).cast("bigint").alias("t"), value.alias("value")))).select("sign", "key", "n")
+    day = _sketches(spark, sf).where(F.col("t") < CUTOFF).withColumn("t", bucket_start(F.col("t"), DAY))
+    return distributions.collapsed(distributions.binned(day), _FEW)
 
 
-# Store and streams --------------------------------------------------------------------------------------------------
+_WEEK = 7 * DAY
+_ASKED = "count(*) AS count, round(sum(value), 4) AS sum, round(min(value), 4) AS min, round(max(value), 4) AS max"
+
+
+def _asked_sql(source: str, span: int) -> str:
+    """Totals and quantiles of (series, t, value) rows by bins of each span."""
+    picked = ", ".join(f"p_{c} AS ({_approx_sql('rows_', str(q))})" for c, q in WANTED.items())
+    return f"""raw AS (SELECT series, t - t % {span} AS t, value, {_BIN} FROM {source}), rows_ AS (SELECT series, t, sign, key, 1 AS n FROM raw), ends AS (SELECT series, t, {_ASKED}, min(value) AS lo, max(value) AS hi FROM raw GROUP BY 1, 2), {picked}
+SELECT series, t, count, sum, min, max, {', '.join(f'round(greatest(least(p_{c}.v, hi), lo), 4) AS {c}' for c in WANTED)} FROM ends {' '.join(f'JOIN p_{c} USING (series, t)' for c in WANTED)}"""
+
+
+def _asked(held: DataFrame) -> DataFrame:
+    c = F.col("sketch")
+    told = (sketches.count(c).alias("count"), sketches.total(c).alias("sum"), sketches.least(c).alias("min"), sketches.greatest(c).alias("max"))
+    return _rounded(held.select("series", "t", *told, *(sketches.quantile(c, q).alias(name) for name, q in WANTED.items())))
+
+
+@_query("sketch_weeks_of_days", f"WITH {_KOPS}, {_asked_sql('kops', _WEEK)}")
+def sketch_weeks_of_days(spark: SparkSession, sf: str) -> DataFrame:
+    # Sketches by day are written as a table; weeks are made and asked from that table alone.
+    days = written(sketch_range(_sketches(spark, sf), DAY))
+    return _asked(combined(days.withColumn("t", bucket_start(F.col("t"), _WEEK)), ["series", "t"]))
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/series-{uuid.uuid4().hex}"
+@_query("sketch_value_mixed", f"WITH {_KOPS}, {_asked_sql('kops', DAY)}")
+def sketch_value_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    # Buckets by hour up to a time within a day, operations after it: one sketch a day of both.
+    ops, buckets = compact.compact_sketches(_sketches(spark, sf), None, CUTOFF + 43200, HOUR)
+    return _asked(sketch_range(ops, DAY, buckets))
+
+
+@_query("sketch_all_series", "WITH o AS (SELECT o_orderpriority AS series, CAST(epoch(o_orderdate) AS BIGINT) AS t, o_totalprice AS value FROM orders), " + _asked_sql("o", 30 * DAY))
+def sketch_all_series(spark: SparkSession, sf: str) -> DataFrame:
+    return _asked(sketch_range(orders_as("sketches", load(spark, sf, "orders")), 30 * DAY))
+
+
+@_query("sketch_large_groups", f"WITH w AS (SELECT l_returnflag AS series, CAST(epoch(l_shipdate) AS BIGINT) AS t, max(l_extendedprice) AS value FROM lineitem GROUP BY l_returnflag, l_shipdate, l_orderkey, l_linenumber) SELECT a.series, a.t, a.value AS p50, b.value AS p99 FROM ({_exact_sql('w', 1 << 30, 0.5)}) a JOIN ({_exact_sql('w', 1 << 30, 0.99)}) b USING (series, t)")
+def sketch_large_groups(spark: SparkSession, sf: str) -> DataFrame:
+    # Three groups hold all line items; each is ranked by ranges.
+    items = lineitem_as("sketches", load(spark, sf, "lineitem"))
+    return _rounded(distributions.quantiles(items, 1 << 30, {"p50": 0.5, "p99": 0.99}, most=1 << 10))
+
+
+# Store and streams --------------------------------------------------------------------------------------------------
 
 
 def _stream(spark: SparkSession, sf: str, kind: str) -> DataFrame:
@@ -322,7 +366,7 @@ def _stream(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 @_query("store_compact_range", f"WITH {_SU} SELECT series, t - t % {DAY} AS t, {_FOLD['mean']} AS value FROM su WHERE t BETWEEN {START} AND {END} GROUP BY 1, 2")
 def store_compact_range(spark: SparkSession, sf: str) -> DataFrame:
-    store = ParquetStore(spark, _scratch(spark))
+    store = ParquetStore(spark, scratch(spark))
     ops = _samples(spark, sf)
     store.append("samples", ops.where(F.col("clock") % 2 == 0))
     store.append("samples", ops.where(F.col("clock") % 2 == 1))
@@ -332,7 +376,7 @@ def store_compact_range(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("store_compact_twice", f"WITH {_COPS}, b AS (SELECT series, t - t % {DAY} AS t, value FROM cops WHERE t < {_LATER} UNION ALL SELECT series, t, value FROM cops WHERE t >= {_LATER}) SELECT series, t, CAST(sum(value) AS DOUBLE) AS value FROM b GROUP BY 1, 2")
 def store_compact_twice(spark: SparkSession, sf: str) -> DataFrame:
-    store = ParquetStore(spark, _scratch(spark))
+    store = ParquetStore(spark, scratch(spark))
     ops = _counters(spark, sf)
     store.append("counters", ops.where(F.col("t") < _EARLY))
     for cutoff, more in ((_EARLY, ops.where(F.col("t") >= _EARLY)), (_LATER, None)):
@@ -344,7 +388,7 @@ def store_compact_twice(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("stream_lww", f"WITH {_RS} SELECT series, t, value FROM rs")
 def stream_lww(spark: SparkSession, sf: str) -> DataFrame:
-    at = _scratch(spark)
+    at = scratch(spark)
     keep_latest(_stream(spark, sf, "samples"), f"{at}/latest", f"{at}/checkpoint").awaitTermination()
     latest = spark.read.parquet(f"{at}/latest")
     return latest.groupBy("series", "t").agg(F.max_by("value", "batch").alias("value"))
@@ -352,7 +396,7 @@ def stream_lww(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("stream_log_range", f"WITH {_COPS}, p AS (SELECT {_OP} FROM cops) SELECT series, t - t % {HOUR} AS t, {_CFOLD['sum']} AS value FROM p GROUP BY 1, 2")
 def stream_log_range(spark: SparkSession, sf: str) -> DataFrame:
-    at = _scratch(spark)
+    at = scratch(spark)
     store = ParquetStore(spark, f"{at}/store")
     ingest(_stream(spark, sf, "counters"), store, "counters", f"{at}/checkpoint").awaitTermination()
     return read.counter_range(store.ops("counters"), HOUR, Agg.SUM, store.buckets("counters"))

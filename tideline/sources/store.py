@@ -9,7 +9,6 @@ state. A lease keeps two compactions from doing the same work.
 from __future__ import annotations
 
 import json
-import tempfile
 import threading
 import time
 import uuid
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.schema import KINDS
+from tideline.sources.scratch import scratch, shared_folder  # noqa: F401
 
 #: Seconds after which a lease that nobody renewed counts as left behind, and the least between two renewals.
 LEASE, RENEWED = 30, 0.5
@@ -29,16 +29,6 @@ LEASE, RENEWED = 30, 0.5
 TORN = (10, 0.1)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a session within one process may go without naming one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return tempfile.gettempdir()
-
-
 def of_schema(df: DataFrame, schema: str) -> DataFrame:
     """The columns of the schema in its order; raises ValueError if one is missing or of another type."""
     wanted, held = dict(c.split(" ", 1) for c in schema.split(", ")), dict(df.dtypes)
@@ -276,8 +266,7 @@ def _parquet(spark: SparkSession, url) -> ParquetStore:
 
 def _memory(spark: SparkSession, url) -> CachedStore:
     """A store for one session: a scratch folder behind the cache; values expire after ttl seconds (default a day)."""
-    root = f"{shared_folder(spark)}/series-{uuid.uuid4().hex}"
-    return CachedStore(ParquetStore(spark, root, int(parse_qs(url.query).get("ttl", ["86400"])[0])))
+    return CachedStore(ParquetStore(spark, scratch(spark), int(parse_qs(url.query).get("ttl", ["86400"])[0])))
 
 
 register("parquet", _parquet)

@@ -21,3 +21,8 @@ def events_as(kind: str, df: DataFrame) -> DataFrame:
 def orders_as(kind: str, df: DataFrame) -> DataFrame:
     """orders: the total price by priority and date; many orders share both."""
     return ops(df, kind, F.col("o_orderpriority"), seconds(F.col("o_orderdate")), F.col("o_totalprice"), F.col("o_orderkey"), F.lit(0))
+
+
+def lineitem_as(kind: str, df: DataFrame) -> DataFrame:
+    """lineitem: the extended price by return flag and ship date; order and line number tell operations apart."""
+    return ops(df, kind, F.col("l_returnflag"), seconds(F.col("l_shipdate")), F.col("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"))
