@@ -19,8 +19,9 @@ import heapq
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -43,19 +44,53 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def without_newer(pattern: str) -> str:
-    """The pattern with letters and numbers as of the Unicode version of unicodedata, which is that of the tokenizers
-    library; the regex module knows later characters as well."""
-    known = regex.compile(r"[\p{L}\p{N}]")
-    newer = [c for c in range(0x558, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))]
-    firsts = [c for c, before in zip(newer, [-1, *newer], strict=False) if c != before + 1]
-    lasts = [c for c, after in zip(newer, [*newer[1:], -1], strict=False) if after != c + 1]
-    ranges = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(firsts, lasts, strict=True))
-    if not ranges:
-        return pattern
-    for kind in (r"\p{L}", r"\p{N}"):
-        pattern = pattern.replace(kind, f"[{kind}--[{ranges}]]")
-    return pattern
+def _ranges(points: Iterable[int]) -> str:
+    """The inside of a character class of these code points."""
+    points = sorted(points)
+    firsts = [c for c, before in zip(points, [-9, *points], strict=False) if c != before + 1]
+    lasts = [c for c, after in zip(points, [*points[1:], -9], strict=False) if after != c + 1]
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(firsts, lasts, strict=True))
+
+
+@dataclass(frozen=True)
+class Characters:
+    """Where the tokenizers library knows other characters than this Python and its regex module.
+
+    The library is asked once, on the driver, for every code point; each of the three follows a Unicode version of its own.
+    """
+
+    #: Classes, as V1 sets, by the names that patterns have for them.
+    classes: tuple[tuple[str, str], ...]
+    #: Lower case that is not str.lower()'s.
+    lower: dict[str, str]
+    #: Inside of a class of characters that unicodedata cannot compose, as it does not know them.
+    newer: str
+
+    @classmethod
+    def asked(cls) -> Characters:
+        from tokenizers import Regex, normalizers
+
+        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        text = "".join(map(chr, points))
+        classes = []
+        for kind in (r"\p{L}", r"\p{N}"):
+            ask = normalizers.Replace(Regex(f"{kind}+"), "")
+            parts = (ask.normalize_str(text[k : k + 4096]) for k in range(0, len(text), 4096))
+            theirs, ours = set(text).difference(*parts), set(text).difference(regex.sub(f"{kind}+", "", text))
+            less, more = _ranges(map(ord, ours - theirs)), _ranges(map(ord, theirs - ours))
+            held = f"[{kind}--[{less}]]" if less else kind
+            classes.append((kind, f"[{held}||[{more}]]" if more else held))
+        chars = [c for c in text if c != "\n"]
+        lowered = normalizers.Lowercase().normalize_str("\n".join(chars)).split("\n")
+        lower = {c: low for c, low in zip(chars, lowered, strict=True) if low != c.lower()}
+        newer = [c for c in points if unicodedata.category(chr(c)) == "Cn"]
+        known = regex.compile(r"\P{Cn}")
+        return cls(tuple(classes), lower, _ranges(c for c in newer if known.match(chr(c))))
+
+
+@cache
+def characters() -> Characters:
+    return Characters.asked()
 
 
 @dataclass
@@ -68,6 +103,7 @@ class Vocabulary:
     pattern: str
     #: SHA-256 of the file.
     digest: str
+    characters: Characters
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -75,7 +111,7 @@ class Vocabulary:
             raw = f.read()
         told = json.loads(raw)
         split = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        return cls(told["model"]["vocab"], [tuple(m) for m in told["model"]["merges"]], {t["content"]: t["id"] for t in told["added_tokens"]}, split, hashlib.sha256(raw).hexdigest())
+        return cls(told["model"]["vocab"], [tuple(m) for m in told["model"]["merges"]], {t["content"]: t["id"] for t in told["added_tokens"]}, split, hashlib.sha256(raw).hexdigest(), characters())
 
 
 @dataclass
@@ -99,7 +135,12 @@ class Encoder:
         self.longest = max(map(len, v.ids))
         self.split = regex.compile(v.pattern, regex.V0)
         self.high = regex.compile(r"[^\x00-\u0557]")
-        self.older: regex.Pattern | None = None
+        pattern = v.pattern
+        for kind, held in v.characters.classes:
+            pattern = pattern.replace(kind, held)
+        self.split_high = regex.compile(pattern, regex.V1)
+        self.newer = regex.compile(f"[{v.characters.newer}]") if v.characters.newer else None
+        self.other_case = regex.compile(f"[{_ranges(map(ord, v.characters.lower))}]") if v.characters.lower else None
         self.control = regex.compile("|".join(map(regex.escape, sorted(v.special, key=len, reverse=True)))) if v.special else None
         self.symbol = {i: c for i, c in enumerate(byte_symbols())}
         self.byte = {chr(i): c for i, c in self.symbol.items()}
@@ -227,13 +268,20 @@ class Encoder:
         return out + self.plain(text[at:])
 
     def plain(self, text: str) -> list[str]:
-        # Lower case is taken character by character, so a sigma ends in its usual form.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if text.isascii() or not self.high.search(text):
-            return self.split.findall(text)
-        if self.older is None:
-            self.older = regex.compile(without_newer(self.vocabulary.pattern), regex.V1)
-        return self.older.findall(text)
+            # Lower case is taken character by character, so a sigma ends in its usual form.
+            return self.split.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if self.newer and self.newer.search(text):
+            from tokenizers import normalizers
+
+            text = normalizers.NFC().normalize_str(text)
+        else:
+            text = unicodedata.normalize("NFC", text)
+        if self.other_case and self.other_case.search(text):
+            text = "".join(self.vocabulary.characters.lower.get(c) or c.lower() for c in text)
+        else:
+            text = text.replace("Σ", "σ").lower()
+        return self.split_high.findall(text)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Little-endian 32-bit ids and decoded text (token strings joined by spaces) of each text."""
