@@ -120,3 +120,24 @@ def test_signatures_estimate_similarity():
         x, y = near_dup.signatures([np.sort(np.concatenate([both, a])), np.sort(np.concatenate([both, b]))])
         errors.append((x == y).mean() - 0.75)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+
+
+def test_ids_that_repeat_with_different_texts(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", " ".join(f"b{k}" for k in range(20))
+    near_b = b + " and some more"
+    for order in ([(1, a), (1, b), (2, near_b)], [(1, b), (1, a), (2, near_b)], [(2, near_b), (1, a), (1, b)]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs).collect()}
+        assert got == {(1, 8, 1), (1, 16, 1), (2, 19, 1)}
+
+
+def test_repeated_ids_equal_all_pairs(spark):
+    rng = random.Random(21)
+    texts = [t for _, t in corpus()]
+    rows = [(rng.randrange(90), t) for t in texts]
+    want = brute(rows)
+    for order in (rows, rows[::-1]):
+        got = near_dup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["component_id"] == (want[r["doc_id"]] if r["n_shingles"] else r["doc_id"])

@@ -21,7 +21,8 @@ Whole job without all pairs of a group:
   a standard deviation below 0.04.) Only links leave a block.
 
 Edge cases: null text and text without words have an empty set and are linked with nothing; a text of fewer than five
-words is one shingle; rows that share an id keep one row each, with the component of that id; a row without an id has a
+words is one shingle; rows that share an id keep one row each, the texts of one id
+being linked with each other (but for those without words); a row without an id has a
 null component and is kept; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -142,7 +143,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def packed_sets(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(doc_id, packed) with the whole sets of the documents whose id passes the filter, sorted."""
+    """(doc_id, n, set_key, packed) with the whole sets of the documents whose id passes the filter, sorted."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,11 +151,11 @@ def packed_sets(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
             b = b.iloc[np.sort(passes(shared.value, b["h"].to_numpy(dtype=np.int64).view(np.uint64)))]
             raws = lowered(b["text"])
             for lo, hi in blocks(raws):
-                packed = [s.tobytes() for s in shingle_sets(raws[lo:hi])]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].reset_index(drop=True), "packed": packed})
+                sets = shingle_sets(raws[lo:hi])
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].reset_index(drop=True), "n": [len(s) for s in sets], "set_key": [_set_key(s) for s in sets], "packed": [s.tobytes() for s in sets]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInPandas(run, f"doc_id {kind}, packed binary")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInPandas(run, f"doc_id {kind}, n long, set_key binary, packed binary")
 
 
 def unpacked(raw: bytes) -> np.ndarray:
@@ -227,7 +228,8 @@ def links_in_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     # Small buckets share groups; a unit of a large one has its own.
     part = F.when(F.col("blocks") > 1, unit).otherwise(F.pmod(unit, F.lit(parts)))
     placed = placed.select(part.alias("part"), unit.alias("unit"), (F.col("own") != F.col("other")).alias("apart"), "bucket", "rep", "c", "own", "n")
-    placed = placed.join(sets.select(F.col("doc_id").alias("rep"), "bands", "slots", "packed"), "rep")
+    # Each class of the id comes, with its own size; one that is not in the bucket shares no band there.
+    placed = placed.drop("n").join(sets.select(F.col("doc_id").alias("rep"), "n", "bands", "slots", "packed"), "rep")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """All units of a part, one after the other."""
@@ -274,6 +276,15 @@ def spread(members: DataFrame, comp: DataFrame | None) -> DataFrame:
     return materialise(placed.join(several, "bucket"))
 
 
+def same_ids(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes that hold rows of one id, by their smallest ids."""
+    held = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "set_key", "n_shingles", F.xxhash64("set_key").alias("h"))
+    repeated = held.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("doc_id")
+    known = held.join(repeated, "doc_id", "left_semi").distinct().join(classes.select("set_key", "n_shingles", "rep"), ["set_key", "n_shingles"])
+    hub = known.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return known.join(hub, "doc_id").where(F.col("rep") > F.col("a")).select("a", F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     docs = without_nulls(docs.select("doc_id", "text"))
@@ -284,12 +295,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     members = materialise(members.join(shared.select("bucket"), "bucket").select("bucket", "rep", "n"))
     bitmap = filter_of(members.select(F.xxhash64("rep").alias("h")).distinct(), "h")
-    known = classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), "bands", "slots")
-    sets = materialise(packed_sets(docs, bitmap).dropDuplicates(["doc_id"]).join(known, "doc_id"))
+    known = classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), "set_key", "bands", "slots")
+    sets = materialise(packed_sets(docs, bitmap).dropDuplicates(["doc_id", "n", "set_key"]).join(known, ["doc_id", "n", "set_key"]))
     placed = spread(members, None)
     hubs = placed.groupBy("bucket").agg(F.min("rep").alias("a"))
     pairs = placed.join(hubs, "bucket").where(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
-    comp = components(materialise(verified(pairs, sets, percent)))
+    comp = components(materialise(verified(pairs, sets, percent).unionByName(same_ids(sketches, classes))))
     links = materialise(links_in_buckets(spread(members, comp), sets, percent))
     # Components so far, as stars, and the new links.
     comp = components(links.unionByName(comp.select(F.col("v").alias("a"), F.col("c").alias("b"))))
