@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 
 from tideline.llm import substring_dedup as sd
 
@@ -80,3 +81,14 @@ def test_least_of_ranges():
     lo = rng.integers(0, 1000, 3000)
     hi = lo + 1 + (rng.random(3000) * (1000 - lo)).astype(int)
     assert sd.least(values, lo, hi).tolist() == [values[a:b].min() for a, b in zip(lo, hi, strict=True)]
+
+
+def test_strings_of_an_anchor_count_in_full_over_few_blocks():
+    """300 strings in each of eight blocks are more than 2048; 2000 in one are not."""
+    codes = sd._pack(np.array([3, 9], dtype=np.uint64))
+    for blocks, each, hot in ((8, 300, True), (2, 1100, True), (1, 2000, False)):
+        rows = pd.DataFrame({"bucket": [1] * blocks, "block": range(blocks), "codes": [codes] * blocks, "strings": [np.array([1, each], dtype=np.uint16).tobytes()] * blocks, "twice": [np.packbits([True, True]).tobytes()] * blocks})
+        told = sd._shared(rows, sd.HOT)
+        assert len(told) == blocks
+        for packed in told["hot"]:
+            assert np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=2).tolist() == [0, int(hot)]

@@ -50,6 +50,8 @@ JOBS = ((50, COLUMNS), (REACH, 50), (0, REACH))
 #: Bytes of a block and of a bucket's share of the texts, strings of an anchor beyond which it is split, strings that a
 #: block lists at a time.
 BLOCK, SHARE, HOT, LOT = 8 << 20, 16 << 20, 2048, 1 << 19
+#: As far as a block counts an anchor's strings: beyond any limit that they are held against.
+MOST = 65_535
 #: Buckets for the windows of split anchors, for each one of others: at worst there is such a window at every byte.
 FINE = 8
 #: Bytes of an anchor's hash that blocks exchange; bytes of text hashed side by side, and bits that hold a place in them.
@@ -202,7 +204,7 @@ _NAMED = "bucket long, block long, codes binary, strings binary, twice binary"
 
 
 def _named(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
-    """By bucket, each block's distinct anchors, how many strings each has (255 at most) and whether two documents have it."""
+    """By bucket, each block's distinct anchors, how many strings each has (up to MOST) and whether two documents have it."""
     for b in batches:
         for _, row in b.iterrows():
             ids, raws = _texts(row)
@@ -214,7 +216,7 @@ def _named(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFra
             code, string, own = code[order], string[order], own[order]
             begin = _groups(code)[:-1]
             fresh = np.append(True, (string[1:] != string[:-1]) | (code[1:] != code[:-1])).astype(np.int64)
-            count = np.minimum(np.add.reduceat(fresh, begin), 255).astype(np.uint8)
+            count = np.minimum(np.add.reduceat(fresh, begin), MOST).astype(np.uint16)
             twice = np.minimum.reduceat(own, begin) < np.maximum.reduceat(own, begin)
             code = code[begin]
             edges = _groups(code >> U(8 * SHORT)).tolist()
@@ -229,7 +231,7 @@ def _shared(group: pd.DataFrame, most: int) -> pd.DataFrame:
     """For each block, its anchors of the bucket that more than one document has, and which of them have many strings."""
     codes = [_unpack(c) for c in group["codes"]]
     sizes = np.array([len(c) for c in codes])
-    count = np.concatenate([np.frombuffer(s, dtype=np.uint8) for s in group["strings"]]).astype(np.int64)
+    count = np.concatenate([np.frombuffer(s, dtype=np.uint16) for s in group["strings"]]).astype(np.int64)
     twice = np.concatenate([np.unpackbits(np.frombuffer(t, dtype=np.uint8), count=n) for t, n in zip(group["twice"], sizes.tolist(), strict=True)])
     code = np.concatenate(codes)
     order = np.argsort(code, kind="stable")
