@@ -1,12 +1,17 @@
 """Store, engine handles and streaming ingest."""
 
+import os
+import threading
 import time
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.functions.series import Agg
 from tideline.plans.engine import Engine
-from tideline.schema import SAMPLE_OPS
+from tideline.operators import compact, resolve
+from tideline.schema import COUNTER_OPS, SAMPLE_OPS
 from tideline.sources import store as stores
 from tideline.streaming.ingest import ingest
 
@@ -92,8 +97,8 @@ def test_lease_and_vacuum(spark, tmp_path):
         time.sleep(3)
         with store.lease("samples", ttl=1.8) as second:
             assert first and not second
-        store._create(f"{tmp_path}/db/samples/lease", "another", over=True)
-    assert (tmp_path / "db/samples/lease").read_text() == "another"
+        assert store._create(f"{tmp_path}/db/samples/lease/9", "")  # someone else has taken it
+    assert (tmp_path / "db/samples/lease/9").exists()
     with store.lease("samples", ttl=-60) as third:
         assert third
     ops = spark.createDataFrame([("s", 1, 1.0, 1, None)], SAMPLE_OPS)
@@ -101,7 +106,31 @@ def test_lease_and_vacuum(spark, tmp_path):
         store.append("samples", ops)
         store.replace("samples", lambda ops, buckets: (ops, buckets))
     assert store.vacuum("samples") == 0  # all are fresh
-    assert store.vacuum("samples", keep=1, grace=-60) == 7 and store.ops("samples").count() == 3
+    # Three batches, two snapshots of two tables, and the manifests but for the last.
+    assert store.vacuum("samples", keep=1, grace=-60) == 7 + 5 and store.ops("samples").count() == 3
+    assert store.version("samples") == 6
+    with pytest.raises(ValueError, match="gone"):
+        store.state("samples", 3)
+
+
+def test_one_of_several_takes_a_lease_that_was_left_behind(spark, tmp_path):
+    store = stores.ParquetStore(spark, str(tmp_path / "db"))
+    assert store._create(f"{tmp_path}/db/samples/lease/1", "")
+    os.utime(tmp_path / "db/samples/lease/1", (0, 0))
+    got, together, done = [], threading.Barrier(6), threading.Barrier(6)
+
+    def take():
+        together.wait()
+        with store.lease("samples") as mine:
+            got.append(mine)
+            done.wait()
+
+    threads = [threading.Thread(target=take) for _ in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(got) == [False] * 5 + [True]
 
 
 def test_background_compaction(spark, tmp_path):
@@ -219,11 +248,184 @@ def test_registry(spark):
     assert stores.open_store(spark, "mine://here") == "here"
 
 
-def test_memory_store_forgets_old_points(spark):
-    with Engine.open(spark, "memory://?ttl=60") as engine:
-        engine.samples("x").set(5, 1.0)
+def test_memory_store_forgets_series_by_their_last_write(spark, monkeypatch):
+    ago, now = [0], time.time
+    monkeypatch.setattr(stores.time, "time", lambda: now() - ago[0])
+    with Engine.open(spark, "memory://?ttl=3600") as engine:
+        for name, written in (("old", 4000), ("new", 4000), ("new", 0)):
+            ago[0] = written
+            engine.samples(name).set(5 + (written == 0), 1.0 + (written == 0))  # a time long ago is no reason to forget it
+            engine.flush()
+        assert engine.samples("old").values().isEmpty() and got(engine.samples("new").values()) == {5: 1.0, 6: 2.0}
+        engine.samples("new").compact(cutoff=100, span=60)
+        assert got(engine.samples().values()) == {0: 1.5}
+
+
+def _counter(spark, *points):
+    return spark.createDataFrame([("s", t, Decimal(1), k, v) for k, (t, v) in enumerate(points)], COUNTER_OPS)
+
+
+@pytest.mark.parametrize("uri", ["parquet://{}/db", "parquet://{}/db?cache=1", "sql://?at=jdbc:derby:memory:torn%3Bcreate=true"])
+def test_reads_are_of_one_state(spark, tmp_path, monkeypatch, uri):
+    """A compaction that comes while a reader has half of what it reads changes nothing."""
+    with Engine.open(spark, uri.format(tmp_path)) as engine:
+        store = getattr(engine.store, "inner", engine.store)
+        store.append("counters", _counter(spark, (0, 10), (5, 10)))
+        before, once = type(store)._read, []
+
+        def read(self, *args):
+            found = before(self, *args)
+            if not once:
+                once.append(1)
+                engine.compact("counters", cutoff=100, span=60)
+            return found
+
+        monkeypatch.setattr(type(store), "_read", read)
+        assert got(engine.counters("s").values()) == {0: 10.0, 5: 10.0}
+        assert once and got(engine.counters("s").values()) == {0: 20.0}
+
+
+def test_older_versions(spark, tmp_path):
+    with Engine.open(spark, f"parquet://{tmp_path}/db") as engine:
+        engine.store.append("counters", _counter(spark, (0, 1), (5, 2)))
+        engine.compact("counters", cutoff=100, span=60)
+        engine.store.append("counters", _counter(spark, (70, 4)))
+        handle = engine.counters("s")
+        assert [got(handle.at(v).values()) for v in range(4)] == [{}, {0: 1.0, 5: 2.0}, {0: 3.0}, {0: 3.0, 70: 4.0}]
+        handle.add(80, 1)
+        assert got(handle.at(3).values()) == {0: 3.0, 70: 4.0} and 80 in got(handle.values())
+        with pytest.raises(ValueError, match="no version 4"):
+            handle.at(4).values()
+
+
+@pytest.mark.parametrize("uri", ["parquet://{}/db", "sql://?at=jdbc:derby:memory:many%3Bcreate=true"])
+def test_eight_writers_at_once_lose_nothing(spark, tmp_path, uri):
+    with Engine.open(spark, uri.format(tmp_path)) as engine:
+        failed = []
+
+        def write(k):
+            try:
+                for batch in range(2):
+                    engine.store.append("counters", spark.createDataFrame([(f"w{k}", batch, Decimal(k), 1, 1)], COUNTER_OPS), f"w{k}", batch)
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+        threads = [threading.Thread(target=write, args=(k,)) for k in range(8)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert not failed and engine.store.version("counters") == 16
+        assert sorted((r["series"], r["t"]) for r in engine.store.ops("counters").collect()) == sorted((f"w{k}", b) for k in range(8) for b in range(2))
+
+
+@pytest.mark.parametrize("uri", ["parquet://{}/db", "sql://?at=jdbc:derby:memory:nulls%3Bcreate=true"])
+def test_the_series_without_a_name_stays(spark, tmp_path, uri):
+    with Engine.open(spark, uri.format(tmp_path)) as engine:
+        ops = [(None, 1, 7.0, 1, Decimal(0)), ("a", 1, 1.0, 1, Decimal(0)), ("b", 1, 2.0, 1, Decimal(0)), (None, 90, 3.0, 1, Decimal(0))]
+        engine.store.append("samples", spark.createDataFrame(ops, SAMPLE_OPS))
+        engine.compact("samples", cutoff=60, span=60, series="a")
+        engine.store.delete("samples", "b")
+        values = lambda: sorted(((r["series"], r["t"], r["value"]) for r in engine.samples().values().collect()), key=repr)
+        assert values() == [("a", 0, 1.0), (None, 1, 7.0), (None, 90, 3.0)]
+        engine.compact("samples", cutoff=60, span=60)
+        assert values() == [("a", 0, 1.0), (None, 0, 7.0), (None, 90, 3.0)]
+        engine.store.delete("samples", None)
+        assert values() == [("a", 0, 1.0)]
+
+
+class Failing:
+    """A store whose appends fail, before or after they have been committed."""
+
+    def __init__(self, inner, *ways):
+        self.inner, self.ways = inner, list(ways)
+
+    def append(self, *args):
+        way = self.ways.pop(0) if self.ways else None
+        if way == "before":
+            raise stores.ConflictError("lost")
+        self.inner.append(*args)
+        if way == "after":
+            raise OSError("no answer")
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+
+def test_flushing_goes_on_after_errors(spark, tmp_path):
+    store = Failing(stores.ParquetStore(spark, str(tmp_path / "db")), "before", "after", "before")
+    engine = Engine(spark, store, flush_every=0.2)
+    engine.counters("x").add(1, 10)
+    for _ in range(200):
+        if not store.ways and not engine._buffer["counters"]:
+            break
+        time.sleep(0.1)
+    # The second try was committed; the third, under the same number, adds nothing.
+    assert got(engine.counters("x").values()) == {1: 10.0} and store.inner.ops("counters").count() == 1
+    engine.close()
+
+
+def test_what_a_lost_flush_sent_is_not_sent_twice(spark, tmp_path):
+    store = Failing(stores.ParquetStore(spark, str(tmp_path / "db")), "after")
+    engine = Engine(spark, store)
+    engine.counters("x").add(1, 10)
+    with pytest.raises(OSError, match="no answer"):
         engine.flush()
-        assert engine.samples("x").values().isEmpty()
+    engine.compact_after = 1
+    store.replace("counters", lambda ops, buckets: compact.compact_counters(ops, buckets, 100, 3, merged=True), resolve.counters)
+    engine.counters("x").add(1, 5)  # later, and still behind the rows of unknown fate
+    engine.flush()
+    assert got(engine.counters("x").values()) == {0: 10.0, 1: 5.0}
+    engine.close()
+
+
+def test_background_compaction_leaves_other_series_alone(spark, tmp_path):
+    with Engine.open(spark, f"parquet://{tmp_path}/db") as writer:
+        for name in ("x", "y"):
+            writer.counters(name).add(10, 2)
+    engine = Engine.open(spark, f"parquet://{tmp_path}/db", compact_every=0.2)
+    engine.counters("x")
+    for _ in range(100):
+        if not engine.store.buckets("counters").isEmpty():
+            break
+        time.sleep(0.2)
+    engine.close()
+    assert got(engine.counters("x").values()) == {0: 2.0} and got(engine.counters("y").values()) == {10: 2.0}
+
+
+def test_a_stream_into_a_database_is_applied_once(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(f"s{j % 5}", k, float(j), j, Decimal(0)) for j in range(40)], SAMPLE_OPS).write.mode("append").parquet(str(tmp_path / "in"))
+    with Engine.open(spark, "sql://?at=jdbc:derby:memory:ingest%3Bcreate=true") as engine:
+        for _ in range(2):
+            stream = spark.readStream.schema(SAMPLE_OPS).option("maxFilesPerTrigger", 4).parquet(str(tmp_path / "in"))
+            ingest(stream, engine.store, "samples", str(tmp_path / "checkpoint")).awaitTermination()
+        assert engine.store.ops("samples").count() == 120
+        batch = spark.createDataFrame([("twice", 1, 1.0, 1, Decimal(0))], SAMPLE_OPS)
+        for number in (7, 7, 6):
+            engine.store.append("samples", batch, "it's a writer", number)
+        assert engine.store.ops("samples").where("series = 'twice'").count() == 1
+        # Nothing of an append that fails halfway is there, nor its number.
+        with pytest.raises(Exception, match="TIDELINE|Table|column|does not exist|failed"):
+            engine.store._run = lambda c, sql, run=engine.store._run: run(c, sql.replace("UPDATE TIDELINE_APPLIED", "UPDATE NOWHERE"))
+            engine.store.append("samples", batch, "it's a writer", 8)
+        del engine.store._run
+        assert engine.store.ops("samples").where("series = 'twice'").count() == 1
+        engine.store.append("samples", batch, "it's a writer", 8)
+        assert engine.store.ops("samples").where("series = 'twice'").count() == 2
+
+
+def test_databases_are_read_by_many_tasks(spark, monkeypatch):
+    from tideline.sources import database
+
+    monkeypatch.setattr(database, "TASK_ROWS", 100)
+    with Engine.open(spark, "sql://?at=jdbc:derby:memory:parts%3Bcreate=true") as engine:
+        ops = spark.range(3000).select(F.when(F.col("id") < 1000, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 40)).alias("series"), (F.col("id") * 7 - 5000).alias("t"), F.col("id").cast("double").alias("value"), F.col("id").alias("clock"), F.lit(0).cast("decimal(20,0)").alias("replica"))
+        engine.store.append("samples", ops)
+        read = engine.store.ops("samples")
+        sizes = [r["count"] for r in read.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 3000 and len(sizes) >= 30 and max(sizes) <= 300
+        assert read.orderBy("clock").collect() == ops.orderBy("clock").collect()
 
 
 def test_stream_into_the_log(spark, tmp_path):

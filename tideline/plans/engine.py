@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import threading
 import time
+import uuid
+from collections.abc import Iterable
 from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from tideline.functions.identity import default_replica, fnv1a_64
 from tideline.functions.series import Agg
 from tideline.operators import compact, distributions, read, resolve
+from tideline.operators.sketches import sketch_range
 from tideline.schema import KINDS
 from tideline.sources import database  # noqa: F401  registers its scheme
 from tideline.sources.store import ConflictError, open_store
@@ -24,8 +27,9 @@ class Engine:
     """An engine over a store. Single writes go to a buffer and are committed by flush(), on close, every flush_every seconds,
     or when most_buffered of a kind are there; whole tables go to the store's append().
 
-    With ``compact_every`` the kinds that handles were asked for are compacted in the background, each time after that many
-    seconds and up to ``jitter`` more.
+    With ``compact_every`` the series that handles were asked for (all of a kind, by a handle on all) are compacted in the
+    background, each time after that many seconds and up to ``jitter`` more. What fails in the background is tried again the
+    next time; ``failed`` tells what it was.
     """
 
     def __init__(self, spark: SparkSession, store, replica: str | None = None, flush_every: float | None = None, compact_after: int = 86_400, compact_span: int = 3_600, compact_every: float | None = None, jitter: float = 0, most_buffered: int = 100_000) -> None:
@@ -37,7 +41,12 @@ class Engine:
         self.compact_after, self.compact_span = compact_after, compact_span
         self._lock, self._buffer, self._clock = threading.RLock(), {k: [] for k in KINDS}, {}
         self._stop = threading.Event()
-        self._seen: set[str] = set()
+        self._seen: dict[str, set[str | None]] = {}
+        # Flushes are numbered, so that one whose outcome is not known can be sent again.
+        self._writer, self._flushed, self._sent = uuid.uuid4().hex, dict.fromkeys(KINDS, 0), {}
+        self._writes = 0
+        #: What the last act in the background ran into, if it did.
+        self.failed: Exception | None = None
         self.most_buffered = most_buffered
         if flush_every:
             threading.Thread(target=self._loop, args=(flush_every, 0, self.flush), daemon=True).start()
@@ -49,15 +58,15 @@ class Engine:
         return cls(spark, open_store(spark, uri), **options)
 
     def samples(self, series: str | None = None) -> Samples:
-        self._seen.add("samples")
+        self._seen.setdefault("samples", set()).add(series)
         return Samples(self, "samples", series)
 
     def counters(self, series: str | None = None) -> Counters:
-        self._seen.add("counters")
+        self._seen.setdefault("counters", set()).add(series)
         return Counters(self, "counters", series)
 
     def sketches(self, series: str | None = None) -> Sketches:
-        self._seen.add("sketches")
+        self._seen.setdefault("sketches", set()).add(series)
         return Sketches(self, "sketches", series)
 
     def write(self, kind: str, series: str, at: float, value: float | int) -> None:
@@ -65,34 +74,45 @@ class Engine:
             # A logical clock above every committed one: the store's version, then the write's number.
             version = self._clock.setdefault(kind, self.store.version(kind))
             rows = self._buffer[kind]
-            row = {"series": series, "t": int(at // 1), "value": value, "clock": (version + 1 << 32) + len(rows), "replica": self.replica}
+            row = {"series": series, "t": int(at // 1), "value": value, "clock": (version + 1 << 32) + self._writes, "replica": self.replica}
             rows.append(tuple(row[c.split()[0]] for c in KINDS[kind][0].split(", ")))
+            self._writes += 1
             if len(rows) >= self.most_buffered:
                 self.flush()
 
-    def pending(self, kind: str) -> DataFrame:
+    def pending(self, kind: str, first: int | None = None) -> DataFrame:
+        """The operations of the buffer, or the first so many."""
         from decimal import Decimal
 
         with self._lock:
             at = [c.split()[0] for c in KINDS[kind][0].split(", ")].index("replica")
-            rows = [(*r[:at], Decimal(r[at]), *r[at + 1 :]) for r in self._buffer[kind]]
+            rows = [(*r[:at], Decimal(r[at]), *r[at + 1 :]) for r in self._buffer[kind][:first]]
         return self.spark.createDataFrame(rows, KINDS[kind][0])
 
+    def state(self, kind: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Operations and buckets of one committed state, and the operations of the buffer; without it of an older version."""
+        with self._lock:
+            _, ops, buckets = self.store.state(kind, version) if version is not None else self.store.state(kind)
+            return (ops.unionByName(self.pending(kind)) if self._buffer[kind] and version is None else ops), buckets
+
     def ops(self, kind: str) -> DataFrame:
         """Committed operations and those of the buffer."""
-        with self._lock:
-            return self.store.ops(kind).unionByName(self.pending(kind)) if self._buffer[kind] else self.store.ops(kind)
+        return self.state(kind)[0]
 
     def flush(self) -> None:
+        """Commits what is buffered. What fails stays buffered, and a later flush sends it under the same number."""
         with self._lock:
             for kind, rows in self._buffer.items():
-                if rows:
-                    self.store.append(kind, self.pending(kind))
-                    rows.clear()
+                while rows:
+                    # A number stands for the same rows whenever it is sent.
+                    n = self._sent.setdefault(kind, len(rows))
+                    self.store.append(kind, self.pending(kind, n), self._writer, self._flushed[kind])
+                    self._flushed[kind] += 1
+                    del rows[: self._sent.pop(kind)]
                 self._clock.pop(kind, None)
 
-    def compact(self, kind: str | None = None, cutoff: int | None = None, span: int | None = None, series: str | None = None) -> bool:
-        """Compacts one kind or all, one series or all; the cutoff is now less compact_after unless given.
+    def compact(self, kind: str | None = None, cutoff: int | None = None, span: int | None = None, series: str | Iterable[str] | None = None) -> bool:
+        """Compacts one kind or all, one series, some or all; the cutoff is now less compact_after unless given.
 
         A kind that someone else is compacting is left to them; says whether all were free.
         """
@@ -106,7 +126,8 @@ class Engine:
             def update(ops: DataFrame, buckets: DataFrame, k: str = k) -> tuple[DataFrame, DataFrame]:
                 if series is None:
                     return _COMPACT[k](ops, buckets, cutoff, span, merged=True)
-                mine, other = F.col("series") == series, F.col("series") != series
+                mine = F.coalesce(F.col("series").isin([series] if isinstance(series, str) else list(series)), F.lit(False))
+                other = ~mine
                 left, made = _COMPACT[k](ops.where(mine), buckets.where(mine), cutoff, span, merged=True)
                 return left.unionByName(ops.where(other)), made.unionByName(buckets.where(other))
 
@@ -118,9 +139,9 @@ class Engine:
         return free
 
     def _compact_seen(self) -> None:
-        for k in sorted(self._seen):
+        for k, seen in sorted(self._seen.items()):
             try:
-                self.compact(k)
+                self.compact(k, series=None if None in seen else sorted(seen))
                 if hasattr(self.store, "vacuum"):
                     self.store.vacuum(k)
             except ConflictError:
@@ -128,7 +149,11 @@ class Engine:
 
     def _loop(self, every: float, jitter: float, act) -> None:
         while not self._stop.wait(every + random.uniform(0, jitter)):
-            act()
+            try:
+                act()
+                self.failed = None
+            except Exception as e:  # noqa: BLE001  the next round tries again
+                self.failed = e
 
     def close(self) -> None:
         self._stop.set()
@@ -143,14 +168,23 @@ class Engine:
 
 
 class _Handle:
+    version: int | None = None
+
     def __init__(self, engine: Engine, kind: str, series: str | None) -> None:
         self.engine, self.kind, self.series = engine, kind, series
 
+    def at(self, version: int) -> _Handle:
+        """The same series as of an older version of a store that keeps them."""
+        other = type(self)(self.engine, self.kind, self.series)
+        other.version = version
+        return other
+
     def _mine(self, df: DataFrame) -> DataFrame:
         return df if self.series is None else df.where(F.col("series") == self.series)
 
     def _state(self) -> tuple[DataFrame, DataFrame]:
-        return self._mine(self.engine.ops(self.kind)), self._mine(self.engine.store.buckets(self.kind))
+        ops, buckets = self.engine.state(self.kind, self.version)
+        return self._mine(ops), self._mine(buckets)
 
     def _write(self, at: float, value: float | int) -> None:
         if self.series is None:
@@ -210,5 +244,10 @@ class Sketches(_Handle):
             told = told.join(distributions.quantiles(ops, span, quantiles, buckets, start, end), ["series", "t"])
         return told.orderBy("series", "t")
 
+    def sketches(self, start: int | None, end: int | None, span: int) -> DataFrame:
+        """(series, t, sketch) of each bucket: a value to keep, to merge further and to ask (tideline.functions.sketches)."""
+        ops, buckets = self._state()
+        return sketch_range(ops, span, buckets, start, end)
+
     def merged(self) -> DataFrame:
         return resolve.sketches(self._state()[0])

@@ -2,7 +2,10 @@
 
 Each snapshot is a pair of tables with a name of its own; one row for each kind says which pair is current. Its version
 grows with every commit, and a snapshot is only made current by a writer that still finds the version it started from.
-Operations are appended to the current table.
+
+Tasks write what is appended to a table of its own; one transaction then moves its rows to the current pair, counts the
+version up and notes the batch number, so all of a batch is there or nothing, and once. Rows carry PART, a hash of their
+series. Reads are dealt by it, and parts of many rows by ranges of time as well.
 """
 
 from __future__ import annotations
@@ -18,9 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.schema import KINDS
-from tideline.sources.store import LEASE, ConflictError, of_schema, register, renewed
+from tideline.sources.store import LEASE, ConflictError, State, named, of_schema, register, renewed
 
 _MAPS = ("neg", "pos")
+#: Parts by a hash of the series, and rows of a part from which on it is read by several tasks.
+PARTS, TASK_ROWS = 16, 1_000_000
+#: The part of the series without a name.
+NAMELESS = -1
+#: Seconds after which a table of an append that never came to its transaction may be dropped.
+STAGED = 3600
 
 
 class DatabaseStore:
@@ -29,6 +38,7 @@ class DatabaseStore:
         with self._connected() as c:
             if not c.getMetaData().getTables(None, None, "TIDELINE_STATE", None).next():
                 self._run(c, "CREATE TABLE TIDELINE_STATE (KIND VARCHAR(16) PRIMARY KEY, VERSION INTEGER NOT NULL, CURRENT_PAIR VARCHAR(64) NOT NULL, HOLDER VARCHAR(64), HELD_UNTIL BIGINT NOT NULL)")
+                self._run(c, "CREATE TABLE TIDELINE_APPLIED (KIND VARCHAR(16) NOT NULL, WRITER VARCHAR(512) NOT NULL, BATCH BIGINT NOT NULL, PRIMARY KEY (KIND, WRITER))")
                 for kind in KINDS:
                     self._run(c, f"INSERT INTO TIDELINE_STATE VALUES ('{kind}', 0, '0_first', NULL, 0)")
                     self._write(kind, "0_first", *(spark.createDataFrame([], s) for s in KINDS[kind]))
@@ -60,31 +70,93 @@ class DatabaseStore:
         return self._state(kind)[0]
 
     def _write(self, kind: str, pair: str, ops: DataFrame, buckets: DataFrame) -> None:
-        for part, df, schema in (("ops", ops, KINDS[kind][0]), ("buckets", buckets, KINDS[kind][1])):
-            columns = [c.split()[0] for c in schema.split(", ")]
-            flat = df.select(*(F.to_json(c).alias(c) if c in _MAPS else F.col(c) for c in columns))
-            writer = flat.write.option("createTableColumnTypes", "series VARCHAR(1024)" + "".join(f", {c} VARCHAR(32000)" for c in _MAPS if c in columns))
-            writer.jdbc(self.url, f"{kind}_{part}_{pair}", "overwrite", dict(self.properties))
-
-    def _read(self, kind: str, part: str) -> DataFrame:
-        schema = KINDS[kind][part == "buckets"]
-        df = self.spark.read.jdbc(self.url, f"{kind}_{part}_{self._state(kind)[1]}", properties=dict(self.properties))
-        kinds = dict(c.split(" ", 1) for c in schema.split(", "))
+        self._put(ops, KINDS[kind][0], f"{kind}_ops_{pair}")
+        self._put(buckets, KINDS[kind][1], f"{kind}_buckets_{pair}")
+
+    def _put(self, df: DataFrame, schema: str, table: str) -> None:
+        columns = [c.split()[0] for c in schema.split(", ")]
+        none = F.col("series").isNull()
+        part = F.when(none, NAMELESS).otherwise(F.pmod(F.xxhash64("series"), F.lit(PARTS))).cast("int").alias("part")
+        # Spark takes strings for CLOBs and cannot send a null one to a VARCHAR.
+        value = lambda c: F.to_json(c) if c in _MAPS else F.when(none, "").otherwise(F.col(c)) if c == "series" else F.col(c)
+        flat = df.select(*(value(c).alias(c) for c in columns), part)
+        writer = flat.write.option("createTableColumnTypes", "series VARCHAR(1024)" + "".join(f", {c} VARCHAR(32000)" for c in _MAPS if c in columns))
+        writer.jdbc(self.url, table, "overwrite", dict(self.properties))
+        with self._connected() as c:
+            self._run(c, f'UPDATE {table} SET "series" = NULL WHERE "part" = {NAMELESS}')
+
+    def _predicates(self, c: object, table: str) -> list[str]:
+        """Disjoint conditions that cover the table: its parts, those of many rows by ranges of time."""
+        found, out = c.createStatement().executeQuery(f'SELECT "part", COUNT(*), MIN("t"), MAX("t") FROM {table} GROUP BY "part"'), []
+        while found.next():
+            part, n, low, high = (found.getLong(k) for k in range(1, 5))
+            pieces = min(-(-n // TASK_ROWS), high - low + 1)
+            edges = [low + (high - low + 1) * k // pieces for k in range(1, pieces)]
+            for first, last in zip([None, *edges], [*edges, None], strict=True):
+                bounds = [f'"t" >= {first}'] * (first is not None) + [f'"t" < {last}'] * (last is not None)
+                out.append(" AND ".join([f'"part" = {part}', *bounds]))
+        return out or ["1 = 0"]
+
+    def _read(self, c: object, kind: str, part: str, pair: str) -> DataFrame:
+        table = f"{kind}_{part}_{pair}"
+        df = self.spark.read.jdbc(self.url, table, predicates=self._predicates(c, table), properties=dict(self.properties))
+        kinds = dict(c.split(" ", 1) for c in KINDS[kind][part == "buckets"].split(", "))
         return df.select(*(F.transform_keys(F.from_json(c, "map<string,bigint>"), lambda k, _: k.cast("int")).alias(c) if c in _MAPS else F.col(c).cast(kinds[c]).alias(c) for c in kinds))
 
-    def append(self, kind: str, ops: DataFrame) -> None:
-        """Adds operations; raises ConflictError if a new snapshot has replaced the table meanwhile."""
-        _, pair = self._state(kind)
-        of_schema(ops, KINDS[kind][0]).write.jdbc(self.url, f"{kind}_ops_{pair}", "append", dict(self.properties))
+    def state(self, kind: str) -> State:
+        """Operations and buckets of the pair that is current now; it stays as it is but for appends until vacuum() drops it."""
+        version, pair = self._state(kind)
+        with self._connected() as c:
+            return State(version, self._read(c, kind, "ops", pair), self._read(c, kind, "buckets", pair))
+
+    @contextmanager
+    def _transaction(self) -> Iterator[object]:
+        with self._connected() as c:
+            c.setAutoCommit(False)
+            try:
+                yield c
+                c.commit()
+            except BaseException:
+                c.rollback()
+                raise
+
+    def append(self, kind: str, ops: DataFrame, writer: str = "", batch: int | None = None) -> None:
+        """Adds operations to whichever pair is current when they are all there. A batch number of a writer that is not
+        above its last one has been applied already."""
+        who = f"KIND = '{kind}' AND WRITER = '{writer.replace(chr(39), chr(39) * 2)}'"
+
+        def last(c: object) -> int | None:
+            found = c.createStatement().executeQuery(f"SELECT BATCH FROM TIDELINE_APPLIED WHERE {who}")
+            return found.getLong(1) if found.next() else None
+
         with self._connected() as c:
-            if self._run(c, f"UPDATE TIDELINE_STATE SET VERSION = VERSION + 1 WHERE KIND = '{kind}' AND CURRENT_PAIR = '{pair}'") != 1:
-                raise ConflictError(f"{kind} has a new snapshot, which may lack the operations appended")
+            if batch is not None and (seen := last(c)) is not None and batch <= seen:
+                return
+        ops = of_schema(ops, KINDS[kind][0])
+        table, columns = f"{kind}_staged_{int(time.time())}_{uuid.uuid4().hex[:12]}", ", ".join(f'"{c}"' for c in (*ops.columns, "part"))
+        self._put(ops, KINDS[kind][0], table)
+        with self._transaction() as c:
+            # This row is held to the end, so that commits of a kind come one after the other.
+            self._run(c, f"UPDATE TIDELINE_STATE SET VERSION = VERSION + 1 WHERE KIND = '{kind}'")
+            seen = last(c)
+            if batch is not None and seen is not None and batch <= seen:
+                c.rollback()
+                return
+            found = c.createStatement().executeQuery(f"SELECT CURRENT_PAIR FROM TIDELINE_STATE WHERE KIND = '{kind}'")
+            found.next()
+            pair = found.getString(1)
+            found.close()
+            self._run(c, f"INSERT INTO {kind}_ops_{pair} ({columns}) SELECT {columns} FROM {table}")
+            if batch is not None:
+                values = writer.replace("'", "''")
+                self._run(c, f"INSERT INTO TIDELINE_APPLIED VALUES ('{kind}', '{values}', {batch})" if seen is None else f"UPDATE TIDELINE_APPLIED SET BATCH = {batch} WHERE {who}")
+            self._run(c, f"DROP TABLE {table}")
 
     def ops(self, kind: str) -> DataFrame:
-        return self._read(kind, "ops")
+        return self.state(kind).ops
 
     def buckets(self, kind: str) -> DataFrame:
-        return self._read(kind, "buckets")
+        return self.state(kind).buckets
 
     @contextmanager
     def lease(self, kind: str, ttl: float = LEASE) -> Iterator[bool]:
@@ -106,27 +178,26 @@ class DatabaseStore:
                 held("HOLDER = NULL", f"HOLDER = '{token}'")
 
     def replace(self, kind: str, update: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], merge: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        before, _ = self._state(kind)
-        ops, pair = self.ops(kind), f"{before + 1}_{uuid.uuid4().hex[:8]}"
-        self._write(kind, pair, *update(merge(ops) if merge else ops, self.buckets(kind)))
+        before, ops, buckets = self.state(kind)
+        pair = f"{before + 1}_{uuid.uuid4().hex[:8]}"
+        self._write(kind, pair, *update(merge(ops) if merge else ops, buckets))
         with self._connected() as c:
             if self._run(c, f"UPDATE TIDELINE_STATE SET VERSION = {before + 1}, CURRENT_PAIR = '{pair}' WHERE KIND = '{kind}' AND VERSION = {before}") != 1:
                 raise ConflictError(f"version {before + 1} of {kind} is there already")
 
-    def delete(self, kind: str, series: str) -> None:
-        self.replace(kind, lambda ops, buckets: (ops.where(F.col("series") != series), buckets.where(F.col("series") != series)))
+    def delete(self, kind: str, series: str | None) -> None:
+        self.replace(kind, lambda ops, buckets: (ops.where(~named(series)), buckets.where(~named(series))))
 
     def vacuum(self, kind: str) -> int:
-        """Drops the pairs of tables that were started before the current one."""
-        number = lambda pair: int(pair.split("_")[0])
-        current, gone = number(self._state(kind)[1]), 0
+        """Drops the pairs of tables that were started before the current one, and what appends have left behind."""
+        current, gone = int(self._state(kind)[1].split("_")[0]), 0
         with self._connected() as c:
             tables, names = c.getMetaData().getTables(None, None, None, None), []
             while tables.next():
                 names.append(tables.getString("TABLE_NAME"))
             for name in names:
-                found = re.fullmatch(rf"{kind}_(?:ops|buckets)_(\d+_\w+)", name.lower())
-                if found and number(found[1]) < current:
+                found = re.fullmatch(rf"{kind}_(ops|buckets|staged)_(\d+)_\w+", name.lower())
+                if found and int(found[2]) < (time.time() - STAGED if found[1] == "staged" else current):
                     self._run(c, f"DROP TABLE {name}")
                     gone += 1
         return gone

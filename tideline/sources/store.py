@@ -1,23 +1,29 @@
 """Stores of series: an append-only log of operations and compacted snapshots, both Parquet, tied by manifests.
 
-A manifest names the log batches and the snapshot that make up the current state of one kind. Committing creates the
-next manifest, which must not exist yet: file systems that create a file exclusively, such as HDFS or object stores with
-conditional writes, let one of two writers succeed. A retried batch is applied once, and readers always see one whole
-state. A lease keeps two compactions from doing the same work.
+A manifest names the log batches and the snapshot that make up one state of a kind. state() gives the operations and
+buckets of one manifest, so a reader never sees half of what another has committed; older states can be read until
+vacuum() takes them. Committing creates the next manifest, which must not exist yet: file systems that create a file
+exclusively, such as HDFS or object stores with conditional writes, let one of two writers succeed. An append commutes
+with whatever came first and commits on top of it; a snapshot does not and raises ConflictError. A batch that is sent
+again is applied once. A lease keeps two compactions from doing the same work.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import random
 import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, nullcontext
+from functools import reduce
+from typing import NamedTuple
 from urllib.parse import parse_qs, urlsplit
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.schema import KINDS
@@ -27,6 +33,8 @@ from tideline.sources.scratch import scratch, shared_folder  # noqa: F401
 LEASE, RENEWED = 30, 0.5
 #: Times and seconds of waiting for a manifest that is just being written; after that its writer counts as lost.
 TORN = (10, 0.1)
+#: Commits that an append tries on top of others', and the longest wait between two, in seconds.
+ATTEMPTS, PAUSE = 100, 0.2
 
 
 def of_schema(df: DataFrame, schema: str) -> DataFrame:
@@ -38,6 +46,11 @@ def of_schema(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*wanted)
 
 
+def named(series: str | None) -> Column:
+    """Whether a row is of the series; of the one without a name, if that is meant."""
+    return F.col("series").eqNullSafe(F.lit(series))
+
+
 @contextmanager
 def renewed(ttl: float, renew: Callable[[], bool]) -> Iterator[None]:
     """Calls renew well within every ttl seconds while the block runs, until it says that there is nothing to renew."""
@@ -60,7 +73,17 @@ class ConflictError(RuntimeError):
     """Another writer has committed first."""
 
 
+class State(NamedTuple):
+    """One state of a kind."""
+
+    version: int
+    ops: DataFrame
+    buckets: DataFrame
+
+
 class ParquetStore:
+    """With ttl, a series is forgotten so many seconds after it was last written to."""
+
     def __init__(self, spark: SparkSession, root: str, ttl: int | None = None) -> None:
         self.spark, self.root, self.ttl = spark, root.rstrip("/"), ttl
 
@@ -75,7 +98,12 @@ class ParquetStore:
 
     def version(self, kind: str) -> int:
         fs, p = self._fs(self._manifests(kind))
-        return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=0) if fs.exists(p) else 0
+        return max(self._numbers(fs, p), default=0)
+
+    @staticmethod
+    def _numbers(fs, p) -> list[int]:
+        """The files of a folder that are named by a number."""
+        return [int(n) for s in (fs.listStatus(p) if fs.exists(p) else ()) if (n := s.getPath().getName()).isdigit()]
 
     def _text(self, path: str) -> str:
         fs, p = self._fs(path)
@@ -90,14 +118,20 @@ class ParquetStore:
             return json.loads(self._text(f"{self._manifests(kind)}/{version}"))
         except ValueError:
             return None
-
-    def manifest(self, kind: str) -> dict:
-        version = self.version(kind)
-        state = {"log": [], "ops": None, "buckets": None, "applied": {}}
+        except Py4JJavaError as e:
+            raise ValueError(f"version {version} of {kind} is gone") from e
+
+    def manifest(self, kind: str, version: int | None = None) -> dict:
+        """The newest manifest, or the one of a version; one whose writer was lost stands for the one before."""
+        newest = self.version(kind)
+        version = newest if version is None else version
+        if not 0 <= version <= newest:
+            raise ValueError(f"{kind} has no version {version}")
+        state = {"log": [], "ops": None, "buckets": None, "at": 0, "applied": {}}
         for back in range(version, 0, -1):
             found = self._written(kind, back)
             for _ in range(TORN[0]):
-                if found is not None or back < version:
+                if found is not None or back < newest:
                     break
                 time.sleep(TORN[1])
                 found = self._written(kind, back)
@@ -106,18 +140,35 @@ class ParquetStore:
                 break
         return state | {"version": version}
 
-    def _create(self, path: str, text: str, over: bool = False) -> bool:
-        """Writes a file unless it is there, or over what is there."""
+    def _create(self, path: str, text: str) -> bool:
+        """Writes a file unless it is there."""
         fs, p = self._fs(path)
+        if fs.getScheme() == "file":
+            # Hadoop looks first and creates then; a link appears at once and whole, or not at all.
+            name = p.toUri().getPath()
+            own = f"{name}-{uuid.uuid4().hex}"
+            os.makedirs(os.path.dirname(name), exist_ok=True)
+            with open(own, "w") as f:
+                f.write(text)
+            try:
+                os.link(own, name)
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(own)
+            return True
         try:
-            out = fs.create(p, over)
+            self._write(fs.create(p, False), text)
         except Py4JJavaError:
             if fs.exists(p):
                 return False
             raise
+        return True
+
+    @staticmethod
+    def _write(out, text: str) -> None:
         out.write(bytearray(text.encode()))
         out.close()
-        return True
 
     def _commit(self, kind: str, state: dict) -> None:
         if not self._create(f"{self._manifests(kind)}/{state['version']}", json.dumps(state)):
@@ -126,114 +177,161 @@ class ParquetStore:
     @contextmanager
     def lease(self, kind: str, ttl: float = LEASE) -> Iterator[bool]:
         """Whether this holder has the only lease of the kind. It is renewed while the block runs and ends with it; a lease
-        that nobody has renewed for ttl seconds was left behind and may be taken."""
-        path, token = f"{self.root}/{kind}/lease", uuid.uuid4().hex
-        fs, p = self._fs(path)
-        if fs.exists(p) and fs.getFileStatus(p).getModificationTime() < (time.time() - ttl) * 1000:
-            fs.delete(p, False)
-        got = self._create(path, token)
-        mine = lambda: fs.exists(p) and self._text(path) == token
+        that nobody has renewed for ttl seconds was left behind and may be taken.
+
+        Leases are numbered files, of which the last counts. Whoever takes one over creates the next number, so of several
+        that find the same one left behind a single one succeeds.
+        """
+        fs, folder = self._fs(f"{self.root}/{kind}/lease")
+        file = lambda n: self._fs(f"{self.root}/{kind}/lease/{n}")[1]
+        last = max(self._numbers(fs, folder), default=0)
+        left = not last or fs.getFileStatus(file(last)).getModificationTime() < (time.time() - ttl) * 1000
+        got = left and self._create(f"{self.root}/{kind}/lease/{last + 1}", "")
+        if got and last:
+            fs.delete(file(last), False)
+        mine = lambda: max(self._numbers(fs, folder), default=0) == last + 1
+
+        def renew() -> bool:
+            if mine():
+                fs.setTimes(file(last + 1), int(time.time() * 1000), -1)
+                return True
+            return False
+
         try:
-            with renewed(ttl, lambda: mine() and self._create(path, token, over=True)) if got else nullcontext():
+            with renewed(ttl, renew) if got else nullcontext():
                 yield got
         finally:
             if got and mine():
-                fs.delete(p, False)
+                fs.delete(file(last + 1), False)
 
     def vacuum(self, kind: str, keep: int = 2, grace: float = 3600) -> int:
-        """Deletes what none of the newest ``keep`` manifests names and nobody has written to for ``grace`` seconds."""
-        version, gone = self.version(kind), 0
+        """Deletes what none of the newest ``keep`` manifests names and nobody has written to for ``grace`` seconds, older
+        manifests included."""
+        version, gone, old = self.version(kind), 0, (time.time() - grace) * 1000
         states = [s for v in range(version, max(version - keep, 0), -1) if (s := self._written(kind, v))]
-        used = {path for s in states for path in (*s["log"], s["ops"], s["buckets"]) if path}
-        for part in ("log", "ops", "buckets", "merged"):
+        if not states:
+            return 0
+        used = {path for s in states for path in (*(b["path"] for b in s["log"]), s["ops"], s["buckets"]) if path}
+        for part in ("log", "ops", "buckets", "merged", "manifest"):
             fs, folder = self._fs(f"{self.root}/{kind}/{part}")
             for status in fs.listStatus(folder) if fs.exists(folder) else ():
-                path = status.getPath()
-                if f"{self.root}/{kind}/{part}/{path.getName()}" not in used and status.getModificationTime() < (time.time() - grace) * 1000:
-                    gone += fs.delete(path, True)
+                name = status.getPath().getName()
+                stays = int(name) > version - keep if name.isdigit() else f"{self.root}/{kind}/{part}/{name}" in used
+                if not stays and status.getModificationTime() < old:
+                    gone += fs.delete(status.getPath(), True)
         return gone
 
     # State -----------------------------------------------------------------
 
     def append(self, kind: str, ops: DataFrame, writer: str = "", batch: int | None = None) -> None:
-        """Adds operations. A batch number of a writer that is not above its last one has been applied already."""
+        """Adds operations. A batch number of a writer that is not above its last one has been applied already.
+
+        Operations are written once; committing them is tried again on top of whatever others have committed meanwhile.
+        """
+        seen = lambda state: batch is not None and batch <= state["applied"].get(writer, -1)
         state = self.manifest(kind)
-        if batch is not None and batch <= state["applied"].get(writer, -1):
+        if seen(state):
             return
         path, ops = f"{self.root}/{kind}/log/{uuid.uuid4().hex}", of_schema(ops, KINDS[kind][0])
         ops.sortWithinPartitions("series", "t").write.parquet(path)
-        applied = state["applied"] | ({writer: batch} if batch is not None else {})
-        self._commit(kind, state | {"version": state["version"] + 1, "log": [*state["log"], path], "applied": applied})
-
-    def _read(self, paths: list[str], schema: str, state: dict) -> DataFrame:
-        df = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        if self.ttl:
-            df = df.where(F.col("t") >= F.unix_timestamp() - self.ttl)
-        for series in state.get("deleted", ()):
-            df = df.where(F.col("series") != series)
-        return df
+        for _ in range(ATTEMPTS):
+            applied = state["applied"] | ({writer: batch} if batch is not None else {})
+            entry = {"path": path, "at": int(time.time())}
+            try:
+                return self._commit(kind, state | {"version": state["version"] + 1, "log": [*state["log"], entry], "applied": applied})
+            except ConflictError:
+                time.sleep(random.uniform(0, PAUSE))
+                state = self.manifest(kind)
+                if seen(state):
+                    return None
+        raise ConflictError(f"{ATTEMPTS} others were first to commit {kind}")
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _of(self, kind: str, state: dict) -> State:
+        snapshot = [state["ops"]] if state["ops"] else []
+        buckets = self._read([state["buckets"]] if state["buckets"] else [], KINDS[kind][1])
+        if not self.ttl:
+            return State(state["version"], self._read([*snapshot, *(b["path"] for b in state["log"])], KINDS[kind][0]), buckets)
+        # Each batch with the time it was written; a series lives as long as its last batch.
+        batches = [(self._read([b["path"]], KINDS[kind][0]), b["at"]) for b in state["log"]]
+        ops = self._read(snapshot, KINDS[kind][0])
+        written = [(ops, state["at"]), (buckets, state["at"]), *batches]
+        times = reduce(DataFrame.unionByName, (df.select("series", F.lit(at).alias("at")) for df, at in written))
+        alive = times.groupBy("series").agg(F.max("at").alias("at")).where(F.col("at") > F.unix_timestamp() - self.ttl).select(F.col("series").alias("name"))
+        living = lambda df: df.join(alive, F.col("series").eqNullSafe(F.col("name")), "left_semi")
+        return State(state["version"], living(reduce(DataFrame.unionByName, (df for df, _ in batches), ops)), living(buckets))
+
+    def state(self, kind: str, version: int | None = None) -> State:
+        """Operations and buckets of one manifest: the newest, or that of a version."""
+        return self._of(kind, self.manifest(kind, version))
 
     def ops(self, kind: str) -> DataFrame:
-        state = self.manifest(kind)
-        return self._read([*([state["ops"]] if state["ops"] else []), *state["log"]], KINDS[kind][0], state)
+        return self.state(kind).ops
 
     def buckets(self, kind: str) -> DataFrame:
-        state = self.manifest(kind)
-        return self._read([state["buckets"]] if state["buckets"] else [], KINDS[kind][1], state)
+        return self.state(kind).buckets
 
     def replace(self, kind: str, update: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], merge: Callable[[DataFrame], DataFrame] | None = None) -> None:
         """A new snapshot from (operations, buckets), written in order of series and time, committed exactly once.
 
         With ``merge`` the operations are merged and written once, and update works on them.
         """
-        state, ops = self.manifest(kind), self.ops(kind)
+        state = self.manifest(kind)
+        _, ops, buckets = self._of(kind, state)
         scratch = f"{self.root}/{kind}/merged/{uuid.uuid4().hex}"
         if merge:
             merged = merge(ops)
             merged.write.parquet(scratch)
             ops = self.spark.read.schema(merged.schema).parquet(scratch)
-        ops, buckets = update(ops, self.buckets(kind))
+        ops, buckets = update(ops, buckets)
         paths = []
         for part, df, schema in (("ops", ops, KINDS[kind][0]), ("buckets", buckets, KINDS[kind][1])):
             columns = [c.split()[0] for c in schema.split(", ")]
             paths.append(f"{self.root}/{kind}/{part}/{uuid.uuid4().hex}")
             df.select(columns).repartitionByRange("series", "t").sortWithinPartitions("series", "t").write.parquet(paths[-1])
-        self._commit(kind, state | {"version": state["version"] + 1, "log": [], "ops": paths[0], "buckets": paths[1], "deleted": []})
+        self._commit(kind, state | {"version": state["version"] + 1, "log": [], "ops": paths[0], "buckets": paths[1], "at": int(time.time())})
         if merge:
             fs, p = self._fs(scratch)
             fs.delete(p, True)
 
-    def delete(self, kind: str, series: str) -> None:
+    def delete(self, kind: str, series: str | None) -> None:
         """Forgets a series at the next snapshot, which is written at once."""
-        self.replace(kind, lambda ops, buckets: (ops.where(F.col("series") != series), buckets.where(F.col("series") != series)))
+        self.replace(kind, lambda ops, buckets: (ops.where(~named(series)), buckets.where(~named(series))))
 
     def close(self) -> None:
         pass
 
 
 class CachedStore:
-    """Keeps what it has read until something is committed."""
+    """Keeps the state that it has read until something is committed."""
 
     def __init__(self, inner: ParquetStore) -> None:
         self.inner, self._kept = inner, {}
 
-    def _through(self, part: str, kind: str) -> DataFrame:
-        key = (part, kind, self.inner.version(kind))
-        for old in [k for k in self._kept if k[:2] == key[:2] and k != key]:
-            self._kept.pop(old).unpersist()
-        if key not in self._kept:
-            self._kept[key] = getattr(self.inner, part)(kind).persist()
-        return self._kept[key]
+    def state(self, kind: str, version: int | None = None) -> State:
+        if version is not None:
+            return self.inner.state(kind, version)
+        if kind not in self._kept or self._kept[kind].version != self.inner.version(kind):
+            self._drop(kind)
+            found = self.inner.state(kind)
+            self._kept[kind] = State(found.version, found.ops.persist(), found.buckets.persist())
+        return self._kept[kind]
+
+    def _drop(self, kind: str) -> None:
+        for df in self._kept.pop(kind, ())[1:]:
+            df.unpersist()
 
     def ops(self, kind: str) -> DataFrame:
-        return self._through("ops", kind)
+        return self.state(kind).ops
 
     def buckets(self, kind: str) -> DataFrame:
-        return self._through("buckets", kind)
+        return self.state(kind).buckets
 
     def close(self) -> None:
-        while self._kept:
-            self._kept.popitem()[1].unpersist()
+        for kind in list(self._kept):
+            self._drop(kind)
         self.inner.close()
 
     def __getattr__(self, name: str):
@@ -264,9 +362,9 @@ def _parquet(spark: SparkSession, url) -> ParquetStore:
     return CachedStore(store) if query.get("cache") == ["1"] else store
 
 
-def _memory(spark: SparkSession, url) -> CachedStore:
-    """A store for one session: a scratch folder behind the cache; values expire after ttl seconds (default a day)."""
-    return CachedStore(ParquetStore(spark, scratch(spark), int(parse_qs(url.query).get("ttl", ["86400"])[0])))
+def _memory(spark: SparkSession, url) -> ParquetStore:
+    """A store for one session, in a scratch folder: a series expires ttl seconds (default a day) after its last write."""
+    return ParquetStore(spark, scratch(spark), int(parse_qs(url.query).get("ttl", ["86400"])[0]))
 
 
 register("parquet", _parquet)
