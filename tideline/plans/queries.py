@@ -19,7 +19,8 @@ from tideline.schema import KINDS
 from tideline.sources.scratch import scratch, written
 from tideline.sources.store import ParquetStore
 from tideline.sources.tables import events_as, lineitem_as, load, orders_as
-from tideline.streaming.ingest import ingest, keep_latest
+from tideline.streaming.ingest import ingest, keep_latest, rolled, rollup
+from tideline.streaming.live import keep_range, newest
 
 #: Window whose ends lie inside buckets; cutoff of compaction (2024-01-16); spans.
 START, END, CUTOFF, HOUR, DAY = 1704243617, 1706000000, 1705363200, 3600, 86400
@@ -400,3 +401,53 @@ def stream_log_range(spark: SparkSession, sf: str) -> DataFrame:
     store = ParquetStore(spark, f"{at}/store")
     ingest(_stream(spark, sf, "counters"), store, "counters", f"{at}/checkpoint").awaitTermination()
     return read.counter_range(store.ops("counters"), HOUR, Agg.SUM, store.buckets("counters"))
+
+
+def _halves(spark: SparkSession, sf: str, kind: str, at: str) -> DataFrame:
+    """A stream of three micro-batches: the later two thirds of the events, then the earlier third, late, and then some of
+    all again."""
+    ops = {"samples": _samples, "counters": _counters, "sketches": _sketches}[kind](spark, sf)
+    for k, part in enumerate((F.col("t") >= CUTOFF, F.col("t") < CUTOFF, F.col("clock") % 5 == 0)):
+        ops.where(part).coalesce(1).write.mode("append").parquet(f"{at}/in/{k}")
+    return spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
+
+
+_CALL = ", ".join(f"{_CFOLD[k]} AS {n}" for k, n in (("sum", "sum"), ("min", "min"), ("max", "max"), ("first", '"first"'), ("last", '"last"')))
+
+
+@_query("stream_counters_live", f"WITH {_COPS}, p AS (SELECT {_OP} FROM cops) SELECT series, t - t % {DAY} AS t, CAST(sum(n) AS BIGINT) AS count, {_CALL} FROM p GROUP BY 1, 2")
+def stream_counters_live(spark: SparkSession, sf: str) -> DataFrame:
+    at = scratch(spark)
+    keep_range(_halves(spark, sf, "counters", at), "counters", DAY, f"{at}/live", f"{at}/checkpoint").awaitTermination()
+    return newest(spark.read.parquet(f"{at}/live"))
+
+
+_SALL = ", ".join(f"{_FOLD[k]} AS {n}" for k, n in (("sum", "sum"), ("min", "min"), ("max", "max"), ("first", '"first"'), ("last", '"last"')))
+
+
+@_query("stream_samples_live", f"WITH {_RS}, p AS (SELECT {_POINT} FROM rs) SELECT series, t - t % {DAY} AS t, CAST(sum(n) AS BIGINT) AS count, {_SALL} FROM p GROUP BY 1, 2")
+def stream_samples_live(spark: SparkSession, sf: str) -> DataFrame:
+    at = scratch(spark)
+    keep_range(_halves(spark, sf, "samples", at), "samples", DAY, f"{at}/live", f"{at}/checkpoint").awaitTermination()
+    return _rounded(newest(spark.read.parquet(f"{at}/live")))
+
+
+@_query("stream_sketch_live", f"WITH {_KOPS}, {_asked_sql('kops', DAY)}")
+def stream_sketch_live(spark: SparkSession, sf: str) -> DataFrame:
+    at = scratch(spark)
+    keep_range(_halves(spark, sf, "sketches", at), "sketches", DAY, f"{at}/live", f"{at}/checkpoint").awaitTermination()
+    return _asked(newest(spark.read.parquet(f"{at}/live")))
+
+
+@_query("stream_counters_rollup", f"WITH {_COPS}, p AS (SELECT {_OP} FROM cops) SELECT series, t - t % {HOUR} AS t, CAST(sum(n) AS BIGINT) AS count, CAST(sum(s) AS BIGINT) AS sum, CAST(min(mn) AS BIGINT) AS min, CAST(max(mx) AS BIGINT) AS max FROM p GROUP BY 1, 2")
+def stream_counters_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    at = scratch(spark)
+    rollup(_halves(spark, sf, "counters", at), "counters", HOUR, f"{at}/rolled", f"{at}/checkpoint").awaitTermination()
+    return rolled(spark.read.parquet(f"{at}/rolled"), "counters")
+
+
+@_query("stream_sketch_rollup", f"WITH {_KOPS}, {_asked_sql('kops', _WEEK)}")
+def stream_sketch_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    at = scratch(spark)
+    rollup(_halves(spark, sf, "sketches", at), "sketches", _WEEK, f"{at}/rolled", f"{at}/checkpoint").awaitTermination()
+    return _asked(rolled(spark.read.parquet(f"{at}/rolled"), "sketches"))
