@@ -6,6 +6,7 @@ means of two-digit values off the points where rounding turns; the operators the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from tideline.operators import compact, distributions, read, resolve
 from tideline.operators.sketches import combined, sketch_range
 from tideline.schema import KINDS
 from tideline.sources.scratch import scratch, written
+from tideline.sources.source import register_source
 from tideline.sources.store import ParquetStore
 from tideline.sources.tables import events_as, lineitem_as, load, orders_as
 from tideline.streaming.ingest import ingest, keep_latest, rolled, rollup
@@ -451,3 +453,29 @@ def stream_sketch_rollup(spark: SparkSession, sf: str) -> DataFrame:
     at = scratch(spark)
     rollup(_halves(spark, sf, "sketches", at), "sketches", _WEEK, f"{at}/rolled", f"{at}/checkpoint").awaitTermination()
     return _asked(rolled(spark.read.parquet(f"{at}/rolled"), "sketches"))
+
+
+@_query("source_sql_window", f"WITH {_COPS} SELECT series, t - t % {HOUR} AS t, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM cops WHERE series IN ('click', 'view', 'purchase') AND t BETWEEN {START} AND {END} GROUP BY 1, 2")
+def source_sql_window(spark: SparkSession, sf: str) -> DataFrame:
+    # The store as a source of SQL: series and time are held against statistics and rows in its reader.
+    store = ParquetStore(spark, scratch(spark))
+    ops = _counters(spark, sf)
+    store.append("counters", ops.where(F.col("t") < CUTOFF))
+    store.append("counters", ops.where(F.col("t") >= CUTOFF))
+    register_source(spark)
+    view = f"counters_{uuid.uuid4().hex}"
+    spark.read.format("tideline").options(path=store.root, kind="counters").load().createOrReplaceTempView(view)
+    return spark.sql(f"SELECT series, t - pmod(t, {HOUR}) AS t, count(*) AS n, sum(value) AS total FROM (SELECT DISTINCT * FROM {view}) WHERE series IN ('click', 'view', 'purchase') AND t BETWEEN {START} AND {END} GROUP BY 1, 2")
+
+
+@_query("source_stream_log", f"WITH {_COPS} SELECT series, t, CAST(sum(value) AS DOUBLE) AS value FROM cops GROUP BY 1, 2")
+def source_stream_log(spark: SparkSession, sf: str) -> DataFrame:
+    # One store follows another's commits as a stream.
+    at = scratch(spark)
+    store, other, ops = ParquetStore(spark, f"{at}/store"), ParquetStore(spark, f"{at}/other"), _counters(spark, sf)
+    register_source(spark)
+    for part in (F.col("t") < CUTOFF, F.col("t") >= CUTOFF):
+        store.append("counters", ops.where(part))
+        stream = spark.readStream.format("tideline").options(path=store.root, kind="counters").load()
+        ingest(stream, other, "counters", f"{at}/checkpoint").awaitTermination()
+    return read.counter_values(other.ops("counters"))
