@@ -1,5 +1,6 @@
 """Reply trees and the reversible template."""
 
+import hashlib
 import random
 
 import duckdb
@@ -46,3 +47,12 @@ def test_query_equals_its_sql(spark):
     df = QUERIES["op9_chat_format"](spark, data)
     want = duckdb.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['op9_chat_format']})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_repeated_turns_are_each_kept(spark):
+    """Rows that repeat a (conv_id, turn), alike or not, are turns of their own, in the order of role and text."""
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (2, None, "user", "first"), (2, 0, "assistant", "second")]
+    digests = {r["conv_id"]: r for r in chat.digests(chat.format_trees(chat.reply_chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
+    whole = "user\na\nuser\nb\nassistant\nx\nassistant\nx\n"
+    assert digests[1]["n_turns"] == 4 and digests[1]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest() and digests[1]["loss_chars"] == 2
+    assert digests[2]["turns_sha256"] == hashlib.sha256(b"user\nfirst\nassistant\nsecond\n").hexdigest()

@@ -31,8 +31,12 @@ def test_planted_passages_are_found_and_clean_documents_are_not(spark):
     want |= {(None, 4)}
     table = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items] + [(90, None), (91, "w1"), (92, "w1 w2 w3 w4")], "item_id long, text string")
-    rows = dc.contaminated(table, bench).collect()
+    rows = dc.contaminated(table, bench, shortest=5).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want)
+    # By default the items of one word and of four count like any other.
+    more = {(i, 91) for i, text in docs if re.search(r"\bw1\b", text or "", re.I)}
+    rows = dc.contaminated(table, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["item_id"] < 92} == want | more
     assert all(r["n_matched"] >= 0.75 * r["n_aligned"] for r in rows)
     assert dc.contaminated(table.where("false"), bench).count() == 0
     assert dc.contaminated(table, bench.where("false")).count() == 0
@@ -59,7 +63,7 @@ def test_no_run_that_counts_avoids_the_masks():
     assert all(avoiding[n - 1] < max(dc.LEAST_WORDS, dc.SHARE * n) for n in range(dc.SHORT, 301))
     assert all(avoiding[n - 1] < dc.LEAST_WORDS for n in range(dc.LEAST_WORDS, dc.SHORT))  # so long a run of a long item
     avoiding = fullest_avoiding(dc.MASKS + dc.SHORT_MASKS, dc.SHORT)
-    for size in range(dc.SHORTEST, dc.SHORT):
+    for size in range(5, dc.SHORT):
         needed = min(dc.LEAST_WORDS, int(np.ceil(dc.SHARE * size)))
         assert all(avoiding[n - 1] < max(needed, dc.SHARE * n) for n in range(needed, size + 1))
 
@@ -99,7 +103,7 @@ def test_equals_every_alignment(spark):
     docs += [(500, "x " * 300), (501, "x y " * 100)]
     items = [(k, " ".join(w)) for k, w in items]
     table, bench = spark.createDataFrame(docs + docs[:2], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for shortest in (dc.SHORTEST, 1):
+    for shortest in (5, 1):
         want = brute(docs, items, shortest)
         rows = dc.contaminated(table, bench, shortest=shortest).collect()
         got = {(r["doc_id"], r["item_id"]): (-r["n_matched"], r["doc_word"], r["item_word"], r["n_aligned"]) for r in rows}

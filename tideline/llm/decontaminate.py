@@ -14,7 +14,7 @@ tests go through all patterns).
 A filter of fixed size over the benchmark's seeds drops document seeds that no item can have before anything is
 shuffled, however large either side is; joins do the rest, with the benchmark's seeds broadcast while they are at most
 BROADCAST, which is counted. Each document and item then meet in one row, with all shifts and the stretch of the document
-that these touch. Items of fewer than ``shortest`` words say too little to tell contamination and match nothing.
+that these touch. Every item counts, one of a single word too, unless it has fewer than ``shortest`` words.
 
 Edge cases: null or empty text matches nothing; repeated items match each under their own id, repeated documents each;
 of several alignments of an item the one with most matches, then the leftmost, stands; empty tables give an empty
@@ -37,7 +37,7 @@ from tideline.llm.hashing import U, blocks, filter_of, mix, passes, signed, utf8
 MASKS = ("11111", "111011", "110111", "1101011", "1011101", "11001011")
 #: Items of fewer words have further masks, of four selected words.
 SHORT, SHORT_MASKS = 14, ("1111", "11011", "10111", "11101", "110011")
-LEAST_WORDS, SHARE, SHORTEST = 12, 0.75, 5
+LEAST_WORDS, SHARE, SHORTEST = 12, 0.75, 1
 BROADCAST = 1 << 18
 #: Masks of items of up to four words, if these are not too short to count.
 TINY_MASKS = ((), ("1",), ("11",), ("111",), ("111", "1101", "1011"))

@@ -107,7 +107,7 @@ SELECT d.doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for
 FROM d LEFT JOIN spans USING (r) GROUP BY r, d.doc_id"""
 
 _RUNS = r"[a-z0-9\x{80}-\x{10FFFF}]+"
-#: Where three of four words are equal, two neighbours are, so these find every alignment; then sums up to each end of a run
+#: Where three of four words are equal, two neighbours are, so these and single words find every alignment; then sums up to each end of a run
 #: tell the run of best score and, where that is not enough, the run with most matches from an equal word to an equal word.
 OP6 = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, {_LETTERS}), '{_RUNS}') AS w FROM documents),
@@ -116,7 +116,7 @@ dw AS (SELECT d, unnest(w) AS w, unnest(range(len(w))) AS k FROM d),
 iw AS (SELECT i, unnest(w) AS w, unnest(range(len(w))) AS k FROM i),
 db AS (SELECT d, k, w, lead(w) OVER (PARTITION BY d ORDER BY k) AS v FROM dw),
 ib AS (SELECT i, k, w, lead(w) OVER (PARTITION BY i ORDER BY k) AS v FROM iw),
-alignment AS MATERIALIZED (SELECT DISTINCT d, i, db.k - ib.k AS shift FROM db JOIN ib USING (w, v)),
+alignment AS MATERIALIZED (SELECT DISTINCT d, i, db.k - ib.k AS shift FROM db JOIN ib USING (w, v) UNION SELECT d, i, dw.k - iw.k FROM dw JOIN iw USING (w) WHERE i IN (SELECT i FROM i WHERE len(w) = 1)),
 place AS (SELECT d, i, shift, needed, greatest(0, -shift) AS first, d.w AS dw, i.w AS iw, least(len(i.w), len(d.w) - shift) AS last FROM alignment JOIN d USING (d) JOIN i USING (i)),
 word AS (SELECT d, i, shift, needed, first, n, (x = y)::INT AS e FROM (SELECT *, unnest(range(1, last - first + 1)) AS n, unnest(dw[first + shift + 1:last + shift]) AS x, unnest(iw[first + 1:last]) AS y FROM place)),
 enough AS MATERIALIZED (SELECT * FROM word QUALIFY sum(e) OVER (PARTITION BY d, i, shift) >= needed),
