@@ -122,3 +122,71 @@ def test_real_trees_on_clashing_and_empty_tables_within_the_bound(spark, monkeyp
     monkeypatch.setattr(qm, "fit", lambda x, y: learnt.append((x.shape, len(y))))
     qm.train(docs.unionByName(docs).unionByName(docs), labels, sample=50)  # ids repeat
     assert learnt == [((50, len(qm.STATISTICS)), 50)]
+
+
+def _counted(text):
+    """The statistics by counting characters one by one."""
+    text = text or ""
+    raw = text.encode()
+    if not raw:
+        return [0.0] * len(qm.STATISTICS)
+    kinds = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": "abcdefghijklmnopqrstuvwxyz", "digit": "0123456789", "space": " \t\r\x0b\x0c", "newline": "\n", "stop": ".,;:'\"()-", "exclaim": "!?", "symbol": "#*$%&|<>@^~_=+/\\{}[]`"}
+    told = {k: sum(chr(b) in chars for b in raw) / len(raw) for k, chars in kinds.items()}
+    told["wide"] = sum(b >= 128 for b in raw) / len(raw)
+    shares = [n / len(raw) for n in Counter(raw).values()]
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    n, m = len(words) or 1, len(lines) or 1
+    told |= {
+        "log_chars": math.log(1 + len(raw)), "log_words": math.log(1 + len(words)), "word_length": len(raw) / n, "entropy": -sum(p * math.log2(p) for p in shares),
+        "distinct_words": len(set(words)) / n, "distinct_lines": len(set(lines)) / m, "log_lines": math.log(1 + len(lines)), "top_byte": max(shares), "words_a_line": n / m,
+        "symbol_words": sum(w[-1] in "#*$%&|<>!" for w in words) / n, "upper_words": sum(w.isupper() for w in words) / n,
+    }
+    return [told[s] for s in qm.STATISTICS]
+
+
+def test_statistics_against_counting_each_character():
+    import random
+
+    rng = random.Random(5)
+    pieces = [*"aZ9 .!?#\n\t-é東$", "WORD ", "word ", "x* ", "\n\n", "the the\n"]
+    texts = [None, "", " ", "\n", "a", "A!", "é" * 40, "long " * 30_000] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 200))) for _ in range(200)]
+    got = qm.statistics(pd.Series(texts))
+    assert np.allclose(got, [_counted(t) for t in texts], rtol=1e-5, atol=1e-6)
+
+
+def test_trees_take_the_best_split_of_each_node_and_newton_leaves(monkeypatch):
+    """Every split of two small trees against trying all splits, every leaf against its formula."""
+    monkeypatch.setattr(qm, "TREES", 2)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3)).astype(np.float32)
+    x[:, 2] = rng.integers(0, 4, 400)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] > 1)).astype(float)
+    trees = qm.fit(x, y)
+    mean = y.mean()
+    assert trees.prior == math.log(mean / (1 - mean))
+    margin = np.full(len(y), trees.prior)
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, qm.BINS + 1)[1:-1]).astype(np.float32)) for f in range(3)]
+    for t in range(2):
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = p - y, p * (1 - p)
+        worth = lambda rows: grad[rows].sum() ** 2 / (hess[rows].sum() + qm.RIDGE)
+        held = {0: np.ones(len(y), dtype=bool)}
+        for node in range(2**qm.DEPTH - 1):
+            rows, best = held[node], 0.0
+            gain = lambda f, c, rows=rows: worth(rows & (x[:, f] <= c)) + worth(rows & (x[:, f] > c)) - worth(rows)
+            for f in range(3):
+                for c in cuts[f]:
+                    if min(hess[rows & (x[:, f] <= c)].sum(), hess[rows & (x[:, f] > c)].sum()) >= qm.LEAST:
+                        best = max(best, gain(f, c))
+            f, c = trees.feature[t, node], trees.threshold[t, node]
+            if np.isfinite(c):
+                assert gain(f, c) == np.float64(best) or abs(gain(f, c) - best) < 1e-9
+            else:
+                assert best <= 1e-6
+            held[2 * node + 1], held[2 * node + 2] = rows & (x[:, f] <= c), rows & (x[:, f] > c)
+        for leaf in range(2**qm.DEPTH):
+            rows = held[leaf + 2**qm.DEPTH - 1]
+            want = -qm.RATE * grad[rows].sum() / (hess[rows].sum() + qm.RIDGE)
+            assert abs(trees.value[t, leaf] - want) < 1e-9
+            margin = np.where(rows, margin + want, margin)
+    assert np.allclose(trees.score(x), 1 / (1 + np.exp(-margin)))
