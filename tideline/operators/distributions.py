@@ -8,6 +8,7 @@ of a group, in one task or, for groups that are counted as large, in many.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +65,14 @@ def _stays(sign: Column, most: int) -> Column:
     return (sign != 0) & (rank - has_zero <= most)
 
 
+def _met(left: DataFrame, right: DataFrame, how: str, *more: str) -> DataFrame:
+    """A join by group, the series without a name being one of its own."""
+    by = [*GROUP, *more]
+    other = right.select(*(F.col(c).alias(f"_{c}") for c in by), *(c for c in right.columns if c not in by))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    return left.join(other, same, how).drop(*(f"_{c}" for c in by))
+
+
 def crowded(ops: DataFrame, span: int, most: int, start: int | None = None, end: int | None = None) -> DataFrame:
     """The groups (series, t) with more than ``most`` operations, counted before the shuffle and from two columns only."""
     counted = between(ops, start, end).groupBy("series", bucket_start(F.col("t"), span).alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -79,12 +88,12 @@ def quantiles(ops: DataFrame, span: int, wanted: dict[str, float], buckets: Data
     """
     large = written(crowded(ops, span, most, start, end))
     n_large = large.count()
-    large = None if not n_large else F.broadcast(large) if n_large <= BROADCAST else large
+    large = None if not n_large else large.hint("broadcast") if n_large <= BROADCAST else large
     observed = _observed(ops, span, start, end)
     if buckets is None:
         return _exact(observed, wanted, large)
     old = of_buckets(between(buckets, start, end)).select("series", bucket_start(F.col("t"), span).alias("t"), "sketch")
-    flagged = observed.join(old.select(*GROUP).distinct().withColumn("mixed", F.lit(True)), [*GROUP], "left")
+    flagged = _met(observed, old.select(*GROUP).distinct().withColumn("mixed", F.lit(True)), "left")
     own = flagged.where("mixed").select(*GROUP, "value")
     asked = combined(old, [*GROUP], values=own).select(*GROUP, *(sketches.quantile(F.col("sketch"), q).alias(c) for c, q in wanted.items()))
     return asked.unionByName(_exact(flagged.where("mixed is null"), wanted, large))
@@ -94,7 +103,7 @@ def _exact(observed: DataFrame, wanted: dict[str, float], large: DataFrame | Non
     counted = observed.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("n"))
     if large is None:
         return _picked(counted, wanted)
-    return _picked(counted.join(large, [*GROUP], "left_anti"), wanted).unionByName(_picked_by_ranges(counted.join(large, [*GROUP], "left_semi"), wanted))
+    return _picked(_met(counted, large, "left_anti"), wanted).unionByName(_picked_by_ranges(_met(counted, large, "left_semi"), wanted))
 
 
 def _rank(q: float, total: Column) -> Column:
@@ -124,7 +133,7 @@ def _picked_by_ranges(rows: DataFrame, wanted: dict[str, float]) -> DataFrame:
     holds = lambda rank: (F.col("cum") >= rank) & (F.col("cum") - F.col("n") < rank)
     targets = parts.select("*", F.explode(ranks).alias("r")).where(holds(F.col("r.rank")))
     targets = targets.select(*GROUP, "range", F.col("r.q").alias("q"), (F.col("r.rank") - F.col("cum") + F.col("n")).alias("rest"))
-    within = ranged.join(targets, [*GROUP, "range"]).withColumn("cum", F.sum("n").over(Window.partitionBy(*GROUP, "range", "q").orderBy("value")))
+    within = _met(ranged, targets, "inner", "range").withColumn("cum", F.sum("n").over(Window.partitionBy(*GROUP, "range", "q").orderBy("value")))
     found = within.where(holds(F.col("rest"))).select(*GROUP, "q", "value")
     at = lambda c, q: F.max(F.when(F.col("q") == c, F.col("value"))) if _known(q) else F.lit(float("nan"))
     return found.groupBy(*GROUP).agg(*(at(c, q).alias(c) for c, q in wanted.items()))
