@@ -37,14 +37,19 @@ def collapsed(held: Column, most: int = bins.MAX_BINS) -> Column:
     zero = F.aggregate(F.concat(go, F.filter(held, lambda b: b["sign"] == 0)), F.lit(0).cast("bigint"), lambda a, b: a + b["n"])
     nothing = F.array().cast(f"array<{BIN}>")
     joined = F.concat(stay, F.when(zero > 0, F.array(_bin(F.lit(0), F.lit(0), zero))).otherwise(nothing))
-    return F.when(F.size(ranked) > most, in_order(joined)).otherwise(in_order(held))
+    return F.when(F.size(held) > most, in_order(joined)).otherwise(in_order(held))
 
 
-def of_bucket() -> Column:
-    """A stored bucket's columns (count, sum, min, max, zero, neg, pos) as a sketch."""
+def bucket_bins() -> Column:
+    """The bins of a stored bucket's columns (zero, neg, pos), in no order."""
     side = lambda c, s: F.transform(F.map_entries(F.coalesce(c, F.create_map().cast("map<int,bigint>"))), lambda e: _bin(F.lit(s), e["key"], e["value"]))
     zero = F.when(F.col("zero") > 0, F.array(_bin(F.lit(0), F.lit(0), F.col("zero")))).otherwise(F.array().cast(f"array<{BIN}>"))
-    return F.struct("count", "sum", "min", "max", in_order(F.concat(side(F.col("neg"), -1), zero, side(F.col("pos"), 1))).alias("bins"))
+    return F.concat(side(F.col("neg"), -1), zero, side(F.col("pos"), 1))
+
+
+def of_bucket() -> Column:
+    """A stored bucket's columns (count, sum, min, max, zero, neg, pos) as a sketch."""
+    return F.struct("count", "sum", "min", "max", in_order(bucket_bins()).alias("bins"))
 
 
 def as_bucket(sketch: Column) -> list[Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions import sketches
 from tideline.functions.series import bucket_start
 from tideline.operators import resolve
-from tideline.operators.sketches import GROUP, combined, of_buckets, sketched
+from tideline.operators.sketches import GROUP, combined_buckets, sketched
 
 
 def compact_samples(ops: DataFrame, buckets: DataFrame | None, cutoff: int, span: int, merged: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -38,7 +38,7 @@ def compact_sketches(ops: DataFrame, buckets: DataFrame | None, cutoff: int, spa
         return ops, buckets
     resolved = ops if merged else resolve.sketches(ops)
     old = resolved.where(F.col("t") < int(cutoff)).select("series", bucket_start(F.col("t"), span).alias("t"), "value")
-    made = sketched(old, GROUP) if buckets is None else combined(of_buckets(buckets), GROUP, values=old)
+    made = sketched(old, GROUP) if buckets is None else combined_buckets(buckets, values=old)
     return resolved.where(F.col("t") >= int(cutoff)), _as_buckets(made)
 
 
@@ -48,7 +48,7 @@ def _as_buckets(held: DataFrame) -> DataFrame:
 
 def sketch_buckets(older: DataFrame, newer: DataFrame) -> DataFrame:
     """Additive merge of buckets: counts, sums and bins add up, and at most MAX_BINS bins stay."""
-    return _as_buckets(combined(of_buckets(older.unionByName(newer)), GROUP))
+    return _as_buckets(combined_buckets(older.unionByName(newer)))
 
 
 State = dict[str, tuple[DataFrame, DataFrame]]

@@ -17,7 +17,7 @@ from tideline.functions import bins, sketches
 from tideline.functions.series import bucket_start
 from tideline.operators import resolve
 from tideline.operators.read import between
-from tideline.operators.sketches import GROUP, checked, combined, of_buckets
+from tideline.operators.sketches import GROUP, checked, combined_buckets
 from tideline.sources.scratch import written
 
 #: Operations of a group that one task ranks, and groups beyond that whose names are broadcast.
@@ -92,10 +92,11 @@ def quantiles(ops: DataFrame, span: int, wanted: dict[str, float], buckets: Data
     observed = _observed(ops, span, start, end)
     if buckets is None:
         return _exact(observed, wanted, large)
-    old = of_buckets(between(buckets, start, end)).select("series", bucket_start(F.col("t"), span).alias("t"), "sketch")
-    flagged = _met(observed, old.select(*GROUP).distinct().withColumn("mixed", F.lit(True)), "left")
+    old = between(buckets, start, end)
+    groups = old.select("series", bucket_start(F.col("t"), span).alias("t")).distinct()
+    flagged = _met(observed, groups.withColumn("mixed", F.lit(True)), "left")
     own = flagged.where("mixed").select(*GROUP, "value")
-    asked = combined(old, [*GROUP], values=own).select(*GROUP, *(sketches.quantile(F.col("sketch"), q).alias(c) for c, q in wanted.items()))
+    asked = combined_buckets(old, span, own).select(*GROUP, *(sketches.quantile(F.col("sketch"), q).alias(c) for c, q in wanted.items()))
     return asked.unionByName(_exact(flagged.where("mixed is null"), wanted, large))
 
 

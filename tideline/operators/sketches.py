@@ -6,7 +6,7 @@ has bins, whatever its size, and these are gathered to one struct. ``tideline.fu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import bins, sketches
@@ -31,9 +31,9 @@ def _of_values(values: DataFrame, by: list[str], value: str) -> DataFrame:
     return values.where(v.isNotNull()).select(*by, bins.sign(v).alias("sign"), bins.key(v).alias("key"), F.lit(1).cast("bigint").alias("n"), v.alias("s"), v.alias("mn"), v.alias("mx"))
 
 
-def _of_sketches(held: DataFrame, by: list[str], sketch: str) -> DataFrame:
-    """A row for each bin, and one for the totals."""
-    c, none = F.col(sketch), lambda kind: F.lit(None).cast(kind)
+def _of_sketches(held: DataFrame, by: list[str], c: Column) -> DataFrame:
+    """A row for each bin, in any order, and one for the totals."""
+    none = lambda kind: F.lit(None).cast(kind)
     row = lambda *of: F.struct(*(x.alias(a) for a, x in zip(_ROW, of, strict=True)))
     each = F.transform(c["bins"], lambda b: row(b["sign"], b["key"], b["n"], none("double"), none("double"), none("double")))
     totals = F.array(row(none("int"), none("int"), none("bigint"), c["sum"], c["min"], c["max"]))
@@ -47,7 +47,7 @@ def sketched(values: DataFrame, by: list[str], value: str = "value", name: str =
 
 def combined(held: DataFrame, by: list[str], sketch: str = "sketch", values: DataFrame | None = None) -> DataFrame:
     """(by..., sketch): the sketches of each group as one, with the observations (by..., value) if there are any."""
-    rows = _of_sketches(held, by, sketch)
+    rows = _of_sketches(held, by, F.col(sketch))
     return _gathered(rows if values is None else rows.unionByName(_of_values(values, by, "value")), by, sketch)
 
 
@@ -61,6 +61,13 @@ def checked(buckets: DataFrame, most: int = bins.MAX_BINS) -> DataFrame:
     return buckets.where(F.assert_true(F.coalesce(sound, F.lit(False)), wrong).isNull())
 
 
+def combined_buckets(buckets: DataFrame, span: int = 0, values: DataFrame | None = None) -> DataFrame:
+    """(series, t, sketch): stored buckets, which are checked, by spans, with the observations (series, t, value) if there are
+    any."""
+    placed = checked(buckets).select("series", bucket_start(F.col("t"), span).alias("t"), F.struct("count", "sum", "min", "max", sketches.bucket_bins().alias("bins")).alias("sketch"))
+    return combined(placed, GROUP, values=values)
+
+
 def of_buckets(buckets: DataFrame) -> DataFrame:
     """(series, t, sketch) of stored buckets, which are checked."""
     return checked(buckets).select(*GROUP, sketches.of_bucket().alias("sketch"))
@@ -72,4 +79,4 @@ def sketch_range(ops: DataFrame, span: int, buckets: DataFrame | None = None, st
     observed = resolve.sketches(between(ops, start, end)).select("series", t, "value")
     if buckets is None:
         return sketched(observed, GROUP)
-    return combined(of_buckets(between(buckets, start, end)).select("series", t, "sketch"), GROUP, values=observed)
+    return combined_buckets(between(buckets, start, end), span, observed)
