@@ -70,6 +70,22 @@ def test_sql_with_conditions_pushed_down(spark, store):
     assert named("t < 4 AND NOT series = 'a'") == [1]
 
 
+def test_parts_of_the_snapshot_are_read_once_and_pruned(spark, store):
+    names = [*(f"s{k}" for k in range(12)), None]
+    store.append("samples", _ops(spark, 0, 300, names))
+    store.replace("samples", lambda ops, buckets: compact.compact_samples(ops, buckets, 100, 50))
+    store.append("samples", _ops(spark, 300, 400, names))
+    store.replace("samples", lambda ops, buckets: compact.compact_samples(ops, buckets, 200, 50), only=["s3"])
+    store.delete("samples", None)
+    for part in ("ops", "buckets"):
+        assert _rows(_load(spark, store, kind="samples", part=part)) == _rows(getattr(store, part)("samples"))
+    reader = source._Reader({"path": store.root, "kind": "samples", "part": "buckets"}, store.buckets("samples").schema)
+    every = len(reader.partitions())
+    assert not list(reader.pushFilters([source.EqualTo(("series",), "s3")])) and 0 < len(reader.partitions()) < every
+    one = _load(spark, store, kind="samples").where("series = 's3'")
+    assert _rows(one) == _rows(store.ops("samples").where("series = 's3'")) and one.count() > 0
+
+
 def test_streams_give_each_append_once(spark, store, tmp_path):
     for k in range(2):
         store.append("samples", _ops(spark, 10 * k, 10 * k + 10))

@@ -319,6 +319,90 @@ def test_eight_writers_at_once_lose_nothing(spark, tmp_path, uri):
         assert sorted((r["series"], r["t"]) for r in engine.store.ops("counters").collect()) == sorted((f"w{k}", b) for k in range(8) for b in range(2))
 
 
+def _in_parts(spark, tmp_path, parts=8):
+    """A store of 40 series and one without a name, compacted as a whole, with one more batch."""
+    store = stores.ParquetStore(spark, str(tmp_path / "db"), parts=parts)
+    rows = lambda t: spark.createDataFrame([(name, t, float(k), 1, Decimal(0)) for k, name in enumerate([*(f"s{k}" for k in range(40)), None])], SAMPLE_OPS)
+    store.append("samples", rows(10))
+    store.replace("samples", lambda ops, buckets: compact.compact_samples(ops, buckets, 60, 60, merged=True), resolve.samples)
+    store.append("samples", rows(20))
+    store.append("samples", rows(90))
+    return store
+
+
+def _files(tmp_path, name):
+    return {p for p in (tmp_path / "db/samples" / name).rglob("*.parquet")}
+
+
+def test_hashes_of_driver_and_tasks_agree(spark):
+    names = [None, "", "a", "größe", "名前", "x" * 1000, *(f"s{k}" for k in range(100))]
+    df = spark.createDataFrame([(n,) for n in names], "series string")
+    for parts in (1, 7, 4096):
+        assert {r[0]: r[1] for r in df.select("series", stores.part(F.col("series"), parts)).collect()} == {n: stores.part_of(n, parts) for n in names}
+
+
+def test_compaction_of_one_series_rewrites_its_part_alone(spark, tmp_path):
+    store, name = _in_parts(spark, tmp_path), "s7"
+    own = f"part={stores.part_of(name, 8)}"
+    assert {p.parent.name for p in _files(tmp_path, "buckets")} == {f"part={stores.part_of(f's{k}', 8)}" for k in range(40)} | {f"part={stores.part_of(None, 8)}"}
+    before, values = {k: _files(tmp_path, k) for k in ("ops", "buckets", "log")}, lambda e: {(r["series"], r["t"]): r["value"] for r in e.samples().values().collect()}
+    with Engine(spark, store) as engine:
+        want = values(engine)
+        engine.compact("samples", cutoff=60, span=60, series=name)
+        new = {k: _files(tmp_path, k) - before[k] for k in before}
+        assert {p.parent.name for k in ("ops", "buckets") for p in new[k]} == {own} and not new["log"]
+        assert all(not before[k] - _files(tmp_path, k) for k in before)
+        got_now = values(engine)
+        assert got_now == {k: v for k, v in want.items() if k != (name, 20)}
+        assert got(engine.samples(name).values()) == {0: 7.0, 90: 7.0}
+        # A read of one series opens its part's files and the log.
+        paths = [p.split("/samples/")[1] for df in store.state("samples", only=[name])[1:] for p in df.inputFiles()]
+        assert paths and {p.split("/")[2] for p in paths if not p.startswith("log")} == {own}
+        # The rest follows part by part, until nothing is left in the log.
+        engine.compact("samples", cutoff=60, span=60, series=[f"s{k}" for k in range(40)])
+        assert not store.manifest("samples")["log"] or stores.part_of(None, 8) not in {stores.part_of(f"s{k}", 8) for k in range(40)}
+        store.delete("samples", None)
+        assert not store.manifest("samples")["log"]
+        assert values(engine) == {(f"s{k}", t): float(k) for k in range(40) for t in (0, 90)}
+
+
+def test_vacuum_takes_replaced_parts(spark, tmp_path):
+    store = _in_parts(spark, tmp_path)
+    store.delete("samples", "s7")
+    store.delete("samples", "s8")
+    rows = store.ops("samples").count(), store.buckets("samples").count()
+    parts = {stores.part_of(n, 8) for n in ("s7", "s8")}
+    store.vacuum("samples", keep=1, grace=-60)
+    for name in ("ops", "buckets"):
+        left = [p.parent.name for p in _files(tmp_path, name)]
+        assert len(left) == len(set(left)) and {f"part={p}" for p in parts} <= set(left)
+    assert (store.ops("samples").count(), store.buckets("samples").count()) == rows == (78, 39)
+
+
+def test_compaction_commits_on_top_of_appends(spark, tmp_path):
+    """What is appended while a compaction runs stays in the log; of two compactions the second one fails."""
+    store = _in_parts(spark, tmp_path)
+    late = spark.createDataFrame([("s7", 30, 5.0, 9, Decimal(0))], SAMPLE_OPS)
+
+    def update(ops, buckets, between=lambda: store.append("samples", late)):
+        between()
+        return compact.compact_samples(ops, buckets, 60, 60)
+
+    store.replace("samples", update, only=["s7"], rebase=True)
+    with Engine(spark, store) as engine:
+        assert got(engine.samples("s7").values()) == {0: 7.0, 30: 5.0, 90: 7.0}
+        with pytest.raises(stores.ConflictError):
+            store.replace("samples", lambda ops, buckets: update(ops, buckets, lambda: engine.compact("samples", cutoff=60, span=60, series="s8")), rebase=True)
+        with pytest.raises(stores.ConflictError):
+            store.replace("samples", update)
+        assert got(engine.samples("s7").values()) == {0: 7.0, 30: 5.0, 90: 7.0}
+        engine.compact("samples", cutoff=60, span=60)
+        assert got(engine.samples("s7").values()) == {0: pytest.approx(19 / 3), 90: 7.0}
+        other = next(f"s{k}" for k in range(40) if stores.part_of(f"s{k}", 8) != stores.part_of("s7", 8))
+        with pytest.raises(ValueError, match="others"):
+            store.replace("samples", lambda ops, buckets: (ops.withColumn("series", F.lit(other)), buckets), only=["s7"])
+
+
 @pytest.mark.parametrize("uri", ["parquet://{}/db", "sql://?at=jdbc:derby:memory:nulls%3Bcreate=true"])
 def test_the_series_without_a_name_stays(spark, tmp_path, uri):
     with Engine.open(spark, uri.format(tmp_path)) as engine:

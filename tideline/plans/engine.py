@@ -89,10 +89,12 @@ class Engine:
             rows = [(*r[:at], Decimal(r[at]), *r[at + 1 :]) for r in self._buffer[kind][:first]]
         return self.spark.createDataFrame(rows, KINDS[kind][0])
 
-    def state(self, kind: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """Operations and buckets of one committed state, and the operations of the buffer; without it of an older version."""
+    def state(self, kind: str, version: int | None = None, series: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Operations and buckets of one committed state, and the operations of the buffer; without it of an older version.
+        With a series, at least those of it."""
+        asked = {k: v for k, v in (("version", version), ("only", None if series is None else [series])) if v is not None}
         with self._lock:
-            _, ops, buckets = self.store.state(kind, version) if version is not None else self.store.state(kind)
+            _, ops, buckets = self.store.state(kind, **asked)
             return (ops.unionByName(self.pending(kind)) if self._buffer[kind] and version is None else ops), buckets
 
     def ops(self, kind: str) -> DataFrame:
@@ -120,13 +122,13 @@ class Engine:
         if self.compact_after <= 0 or span < 1:
             return True
         self.flush()
-        free = True
+        free, names = True, [series] if isinstance(series, str) else None if series is None else list(series)
         for k in [kind] if kind else KINDS:
 
             def update(ops: DataFrame, buckets: DataFrame, k: str = k) -> tuple[DataFrame, DataFrame]:
-                if series is None:
+                if names is None:
                     return _COMPACT[k](ops, buckets, cutoff, span, merged=True)
-                mine = F.coalesce(F.col("series").isin([series] if isinstance(series, str) else list(series)), F.lit(False))
+                mine = F.coalesce(F.col("series").isin(*names), F.lit(False))
                 other = ~mine
                 left, made = _COMPACT[k](ops.where(mine), buckets.where(mine), cutoff, span, merged=True)
                 return left.unionByName(ops.where(other)), made.unionByName(buckets.where(other))
@@ -135,7 +137,7 @@ class Engine:
             with self.store.lease(k) if hasattr(self.store, "lease") else nullcontext(True) as got:
                 free &= got
                 if got:
-                    self.store.replace(k, update, resolve.MERGES[k])
+                    self.store.replace(k, update, resolve.MERGES[k], only=names, rebase=True)
         return free
 
     def _compact_seen(self) -> None:
@@ -183,7 +185,7 @@ class _Handle:
         return df if self.series is None else df.where(F.col("series") == self.series)
 
     def _state(self) -> tuple[DataFrame, DataFrame]:
-        ops, buckets = self.engine.state(self.kind, self.version)
+        ops, buckets = self.engine.state(self.kind, self.version, self.series)
         return self._mine(ops), self._mine(buckets)
 
     def _write(self, at: float, value: float | int) -> None:

@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager, nullcontext
 from urllib.parse import parse_qs
 
@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.schema import KINDS
-from tideline.sources.store import LEASE, ConflictError, State, named, of_schema, register, renewed
+from tideline.sources.store import LEASE, PARTS, ConflictError, State, named, of_schema, part_of, register, renewed
+from tideline.sources.store import part as hashed
 
 _MAPS = ("neg", "pos")
-#: Parts by a hash of the series, and rows of a part from which on it is read by several tasks.
-PARTS, TASK_ROWS = 16, 1_000_000
+#: Rows of a part from which on it is read by several tasks.
+TASK_ROWS = 1_000_000
 #: The part of the series without a name.
 NAMELESS = -1
 #: Seconds after which a table of an append that never came to its transaction may be dropped.
@@ -76,7 +77,7 @@ class DatabaseStore:
     def _put(self, df: DataFrame, schema: str, table: str) -> None:
         columns = [c.split()[0] for c in schema.split(", ")]
         none = F.col("series").isNull()
-        part = F.when(none, NAMELESS).otherwise(F.pmod(F.xxhash64("series"), F.lit(PARTS))).cast("int").alias("part")
+        part = F.when(none, NAMELESS).otherwise(hashed(F.col("series"), PARTS)).alias("part")
         # Spark takes strings for CLOBs and cannot send a null one to a VARCHAR.
         value = lambda c: F.to_json(c) if c in _MAPS else F.when(none, "").otherwise(F.col(c)) if c == "series" else F.col(c)
         flat = df.select(*(value(c).alias(c) for c in columns), part)
@@ -85,9 +86,10 @@ class DatabaseStore:
         with self._connected() as c:
             self._run(c, f'UPDATE {table} SET "series" = NULL WHERE "part" = {NAMELESS}')
 
-    def _predicates(self, c: object, table: str) -> list[str]:
-        """Disjoint conditions that cover the table: its parts, those of many rows by ranges of time."""
-        found, out = c.createStatement().executeQuery(f'SELECT "part", COUNT(*), MIN("t"), MAX("t") FROM {table} GROUP BY "part"'), []
+    def _predicates(self, c: object, table: str, parts: set[int] | None) -> list[str]:
+        """Disjoint conditions that cover the table, or some parts of it: its parts, those of many rows by ranges of time."""
+        wanted = "" if parts is None else f'WHERE "part" IN ({", ".join(map(str, sorted(parts)))})'
+        found, out = c.createStatement().executeQuery(f'SELECT "part", COUNT(*), MIN("t"), MAX("t") FROM {table} {wanted} GROUP BY "part"'), []
         while found.next():
             part, n, low, high = (found.getLong(k) for k in range(1, 5))
             pieces = min(-(-n // TASK_ROWS), high - low + 1)
@@ -97,17 +99,19 @@ class DatabaseStore:
                 out.append(" AND ".join([f'"part" = {part}', *bounds]))
         return out or ["1 = 0"]
 
-    def _read(self, c: object, kind: str, part: str, pair: str) -> DataFrame:
+    def _read(self, c: object, kind: str, part: str, pair: str, parts: set[int] | None) -> DataFrame:
         table = f"{kind}_{part}_{pair}"
-        df = self.spark.read.jdbc(self.url, table, predicates=self._predicates(c, table), properties=dict(self.properties))
+        df = self.spark.read.jdbc(self.url, table, predicates=self._predicates(c, table, parts), properties=dict(self.properties))
         kinds = dict(c.split(" ", 1) for c in KINDS[kind][part == "buckets"].split(", "))
         return df.select(*(F.transform_keys(F.from_json(c, "map<string,bigint>"), lambda k, _: k.cast("int")).alias(c) if c in _MAPS else F.col(c).cast(kinds[c]).alias(c) for c in kinds))
 
-    def state(self, kind: str) -> State:
-        """Operations and buckets of the pair that is current now; it stays as it is but for appends until vacuum() drops it."""
+    def state(self, kind: str, only: Iterable[str | None] | None = None) -> State:
+        """Operations and buckets of the pair that is current now; it stays as it is but for appends until vacuum() drops it.
+        With ``only``, nothing but the parts that these series are in is read."""
         version, pair = self._state(kind)
+        parts = None if only is None else {NAMELESS if s is None else part_of(s, PARTS) for s in only}
         with self._connected() as c:
-            return State(version, self._read(c, kind, "ops", pair), self._read(c, kind, "buckets", pair))
+            return State(version, self._read(c, kind, "ops", pair, parts), self._read(c, kind, "buckets", pair, parts))
 
     @contextmanager
     def _transaction(self) -> Iterator[object]:
@@ -177,7 +181,9 @@ class DatabaseStore:
             if got:
                 held("HOLDER = NULL", f"HOLDER = '{token}'")
 
-    def replace(self, kind: str, update: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], merge: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    def replace(self, kind: str, update: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], merge: Callable[[DataFrame], DataFrame] | None = None, only: Iterable[str | None] | None = None, rebase: bool = False) -> None:
+        """A new pair of tables from (operations, buckets). It is written whole, also for some series only, and any commit
+        that comes first is a conflict."""
         before, ops, buckets = self.state(kind)
         pair = f"{before + 1}_{uuid.uuid4().hex[:8]}"
         self._write(kind, pair, *update(merge(ops) if merge else ops, buckets))

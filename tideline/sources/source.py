@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from tideline.schema import KINDS
+from tideline.sources.store import folders, part_of
 
 _COLUMNS = ("series", "t")
 
@@ -56,7 +57,7 @@ def _state(root: str, kind: str, version: int | None) -> dict:
     for v in sorted((v for v in known if version is None or v <= version), reverse=True):
         if (found := _manifest(root, kind, v)) is not None:
             return found
-    return {"log": [], "ops": None, "buckets": None}
+    return {"log": [], "ops": [], "buckets": [], "parts": 1}
 
 
 @dataclass
@@ -74,7 +75,7 @@ def _expression(wanted: Iterable[tuple[str, str, object]]) -> object:
     out = None
     for column, way, value in wanted:
         c = pc.field(column)
-        one = {"=": lambda: c == value, "<": lambda: c < value, "<=": lambda: c <= value, ">": lambda: c > value, ">=": lambda: c >= value, "in": lambda: c.isin(list(value)), "null": lambda: c.is_null() if value else c.is_valid()}[way]()
+        one = {"=": lambda: c == value, "<": lambda: c < value, "<=": lambda: c <= value, ">": lambda: c > value, ">=": lambda: c >= value, "in": lambda: c.isin(list(value)), "not in": lambda: ~c.isin(list(value)), "null": lambda: c.is_null() if value else c.is_valid()}[way]()
         out = one if out is None else out & one
     return out
 
@@ -129,8 +130,18 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Piece]:
         state = _state(self.root, self.kind, None if self.version is None else int(self.version))
-        folders = [b["path"] for b in state["log"]] if self.part == "ops" else []
-        return _pieces([*([state[self.part]] if state[self.part] else []), *folders], self.wanted) or [Piece("", ())]
+        out = _pieces([path for path, _ in folders(state[self.part], self._parts(state["parts"]))], self.wanted)
+        for b in state["log"] if self.part == "ops" else ():
+            # Parts of a batch that are in the snapshot by now are left to it.
+            out += _pieces([b["path"]], (*self.wanted, ("part", "not in", tuple(b["gone"]))) if b["gone"] else self.wanted)
+        return out or [Piece("", ())]
+
+    def _parts(self, count: int) -> set[int] | None:
+        """The parts of the snapshot that the wanted series are in."""
+        for column, way, value in self.wanted:
+            if column == "series" and (way in ("=", "in") or way == "null" and value):
+                return {part_of(s, count) for s in ([None] if way == "null" else [value] if way == "=" else value)}
+        return None
 
     def read(self, partition: Piece) -> Iterator[object]:
         if partition.path:

@@ -4,8 +4,12 @@ A manifest names the log batches and the snapshot that make up one state of a ki
 buckets of one manifest, so a reader never sees half of what another has committed; older states can be read until
 vacuum() takes them. Committing creates the next manifest, which must not exist yet: file systems that create a file
 exclusively, such as HDFS or object stores with conditional writes, let one of two writers succeed. An append commutes
-with whatever came first and commits on top of it; a snapshot does not and raises ConflictError. A batch that is sent
-again is applied once. A lease keeps two compactions from doing the same work.
+with whatever came first and commits on top of it; a snapshot does not and raises ConflictError, but for compactions, which
+commit on top of appends. A batch that is sent again is applied once. A lease keeps two compactions from doing the same
+work.
+
+Series are dealt to parts by a hash, and a snapshot has a folder for each. Compacting or deleting some series reads and
+writes their parts only, and the manifest tells of each batch of the log which parts of it are in a snapshot by now.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ import random
 import threading
 import time
 import uuid
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager, nullcontext
 from functools import reduce
 from typing import NamedTuple
@@ -35,6 +40,8 @@ LEASE, RENEWED = 30, 0.5
 TORN = (10, 0.1)
 #: Commits that an append tries on top of others', and the longest wait between two, in seconds.
 ATTEMPTS, PAUSE = 100, 0.2
+#: Parts that series are dealt to by default. A store keeps the number that it began with.
+PARTS = 16
 
 
 def of_schema(df: DataFrame, schema: str) -> DataFrame:
@@ -51,6 +58,22 @@ def named(series: str | None) -> Column:
     return F.col("series").eqNullSafe(F.lit(series))
 
 
+def part_of(series: str | None, parts: int) -> int:
+    """The part that a series is in; the one without a name is in that of an empty name."""
+    return zlib.crc32((series or "").encode()) % parts
+
+
+def part(series: Column, parts: int) -> Column:
+    """The same of a column."""
+    return F.pmod(F.crc32(F.coalesce(series, F.lit("")).cast("binary")), F.lit(parts)).cast("int")
+
+
+def folders(entries: list[dict], parts: set[int] | None = None) -> Iterator[tuple[str, int]]:
+    """Folders of a snapshot's parts, and when they were written."""
+    for e in entries:
+        yield from ((f"{e['path']}/part={p}", e["at"]) for p in e["parts"] if parts is None or p in parts)
+
+
 @contextmanager
 def renewed(ttl: float, renew: Callable[[], bool]) -> Iterator[None]:
     """Calls renew well within every ttl seconds while the block runs, until it says that there is nothing to renew."""
@@ -84,8 +107,10 @@ class State(NamedTuple):
 class ParquetStore:
     """With ttl, a series is forgotten so many seconds after it was last written to."""
 
-    def __init__(self, spark: SparkSession, root: str, ttl: int | None = None) -> None:
-        self.spark, self.root, self.ttl = spark, root.rstrip("/"), ttl
+    def __init__(self, spark: SparkSession, root: str, ttl: int | None = None, parts: int = PARTS) -> None:
+        if parts < 1:
+            raise ValueError("a store has at least one part")
+        self.spark, self.root, self.ttl, self.parts = spark, root.rstrip("/"), ttl, parts
 
     # Files -----------------------------------------------------------------
 
@@ -127,7 +152,7 @@ class ParquetStore:
         version = newest if version is None else version
         if not 0 <= version <= newest:
             raise ValueError(f"{kind} has no version {version}")
-        state = {"log": [], "ops": None, "buckets": None, "at": 0, "applied": {}}
+        state = {"log": [], "ops": [], "buckets": [], "parts": self.parts, "applied": {}}
         for back in range(version, 0, -1):
             found = self._written(kind, back)
             for _ in range(TORN[0]):
@@ -211,7 +236,8 @@ class ParquetStore:
         states = [s for v in range(version, max(version - keep, 0), -1) if (s := self._written(kind, v))]
         if not states:
             return 0
-        used = {path for s in states for path in (*(b["path"] for b in s["log"]), s["ops"], s["buckets"]) if path}
+        used = {e["path"] for s in states for name in ("log", "ops", "buckets") for e in s[name]}
+        parts = {path for s in states for name in ("ops", "buckets") for path, _ in folders(s[name])}
         for part in ("log", "ops", "buckets", "merged", "manifest"):
             fs, folder = self._fs(f"{self.root}/{kind}/{part}")
             for status in fs.listStatus(folder) if fs.exists(folder) else ():
@@ -219,6 +245,13 @@ class ParquetStore:
                 stays = int(name) > version - keep if name.isdigit() else f"{self.root}/{kind}/{part}/{name}" in used
                 if not stays and status.getModificationTime() < old:
                     gone += fs.delete(status.getPath(), True)
+        # Of snapshots in use, the parts that later ones have replaced.
+        for path in {path.rpartition("/")[0] for path in parts}:
+            fs, folder = self._fs(path)
+            for status in fs.listStatus(folder):
+                stays = not status.isDirectory() or f"{path}/{status.getPath().getName()}" in parts
+                if not stays and status.getModificationTime() < old:
+                    gone += fs.delete(status.getPath(), True)
         return gone
 
     # State -----------------------------------------------------------------
@@ -233,10 +266,10 @@ class ParquetStore:
         if seen(state):
             return
         path, ops = f"{self.root}/{kind}/log/{uuid.uuid4().hex}", of_schema(ops, KINDS[kind][0])
-        ops.sortWithinPartitions("series", "t").write.parquet(path)
+        ops.withColumn("part", part(F.col("series"), state["parts"])).sortWithinPartitions("series", "t").write.parquet(path)
         for _ in range(ATTEMPTS):
             applied = state["applied"] | ({writer: batch} if batch is not None else {})
-            entry = {"path": path, "at": int(time.time())}
+            entry = {"path": path, "at": int(time.time()), "gone": []}
             try:
                 return self._commit(kind, state | {"version": state["version"] + 1, "log": [*state["log"], entry], "applied": applied})
             except ConflictError:
@@ -249,23 +282,45 @@ class ParquetStore:
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _of(self, kind: str, state: dict) -> State:
-        snapshot = [state["ops"]] if state["ops"] else []
-        buckets = self._read([state["buckets"]] if state["buckets"] else [], KINDS[kind][1])
+    def _logged(self, kind: str, state: dict, parts: set[int] | None) -> Iterator[tuple[DataFrame, int]]:
+        """Operations of the log that are in no snapshot, as few tables, and when they were written if that counts."""
+        alike: dict[tuple, list[str]] = {}
+        for b in state["log"]:
+            alike.setdefault((tuple(b["gone"]), b["at"] if self.ttl else 0), []).append(b["path"])
+        for (gone, at), paths in alike.items():
+            if parts is None and not gone:
+                yield self._read(paths, KINDS[kind][0]), at
+            elif parts is None or parts - set(gone):
+                left = ~F.col("part").isin(*gone) if parts is None else F.col("part").isin(*sorted(parts - set(gone)))
+                yield self._read(paths, f"{KINDS[kind][0]}, part int").where(left).drop("part"), at
+
+    def _of(self, kind: str, state: dict, parts: set[int] | None = None) -> State:
+        """A manifest's rows, or those of some parts."""
+        batches = list(self._logged(kind, state, parts))
         if not self.ttl:
-            return State(state["version"], self._read([*snapshot, *(b["path"] for b in state["log"])], KINDS[kind][0]), buckets)
-        # Each batch with the time it was written; a series lives as long as its last batch.
-        batches = [(self._read([b["path"]], KINDS[kind][0]), b["at"]) for b in state["log"]]
-        ops = self._read(snapshot, KINDS[kind][0])
-        written = [(ops, state["at"]), (buckets, state["at"]), *batches]
-        times = reduce(DataFrame.unionByName, (df.select("series", F.lit(at).alias("at")) for df, at in written))
+            kept = {name: [p for p, _ in folders(state[name], parts)] for name in ("ops", "buckets")}
+            tables = [df for df, _ in batches]
+            if kept["ops"] or not tables:
+                tables.insert(0, self._read(kept["ops"], KINDS[kind][0]))
+            return State(state["version"], reduce(DataFrame.unionByName, tables), self._read(kept["buckets"], KINDS[kind][1]))
+        # Each batch and each part with the time it was written; a series lives as long as its last batch.
+        timed: dict[str, list[tuple[DataFrame, int]]] = {}
+        for name, schema in zip(("ops", "buckets"), KINDS[kind], strict=True):
+            alike: dict[int, list[str]] = {}
+            for path, at in folders(state[name], parts):
+                alike.setdefault(at, []).append(path)
+            timed[name] = [(self._read([], schema), 0), *((self._read(paths, schema), at) for at, paths in alike.items())]
+        timed["ops"] += batches
+        times = reduce(DataFrame.unionByName, (df.select("series", F.lit(at).alias("at")) for df, at in timed["ops"] + timed["buckets"]))
         alive = times.groupBy("series").agg(F.max("at").alias("at")).where(F.col("at") > F.unix_timestamp() - self.ttl).select(F.col("series").alias("name"))
-        living = lambda df: df.join(alive, F.col("series").eqNullSafe(F.col("name")), "left_semi")
-        return State(state["version"], living(reduce(DataFrame.unionByName, (df for df, _ in batches), ops)), living(buckets))
+        living = lambda dfs: reduce(DataFrame.unionByName, (df for df, _ in dfs)).join(alive, F.col("series").eqNullSafe(F.col("name")), "left_semi")
+        return State(state["version"], living(timed["ops"]), living(timed["buckets"]))
 
-    def state(self, kind: str, version: int | None = None) -> State:
-        """Operations and buckets of one manifest: the newest, or that of a version."""
-        return self._of(kind, self.manifest(kind, version))
+    def state(self, kind: str, version: int | None = None, only: Iterable[str | None] | None = None) -> State:
+        """Operations and buckets of one manifest: the newest, or that of a version. With ``only``, nothing but the parts that
+        these series are in is read."""
+        state = self.manifest(kind, version)
+        return self._of(kind, state, None if only is None else {part_of(s, state["parts"]) for s in only})
 
     def ops(self, kind: str) -> DataFrame:
         return self.state(kind).ops
@@ -273,32 +328,56 @@ class ParquetStore:
     def buckets(self, kind: str) -> DataFrame:
         return self.state(kind).buckets
 
-    def replace(self, kind: str, update: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], merge: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    def replace(self, kind: str, update: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], merge: Callable[[DataFrame], DataFrame] | None = None, only: Iterable[str | None] | None = None, rebase: bool = False) -> None:
         """A new snapshot from (operations, buckets), written in order of series and time, committed exactly once.
 
-        With ``merge`` the operations are merged and written once, and update works on them.
+        With ``merge`` the operations are merged and written once, and update works on them. With ``only``, update gets the
+        parts that these series are in, whole, and nothing else is read or written. With ``rebase`` it is committed on top of
+        what others have appended meanwhile, which stays in the log.
         """
         state = self.manifest(kind)
-        _, ops, buckets = self._of(kind, state)
+        count = state["parts"]
+        parts = set(range(count)) if only is None else {part_of(s, count) for s in only}
+        _, ops, buckets = self._of(kind, state, None if only is None else parts)
         scratch = f"{self.root}/{kind}/merged/{uuid.uuid4().hex}"
         if merge:
             merged = merge(ops)
             merged.write.parquet(scratch)
             ops = self.spark.read.schema(merged.schema).parquet(scratch)
-        ops, buckets = update(ops, buckets)
-        paths = []
-        for part, df, schema in (("ops", ops, KINDS[kind][0]), ("buckets", buckets, KINDS[kind][1])):
-            columns = [c.split()[0] for c in schema.split(", ")]
-            paths.append(f"{self.root}/{kind}/{part}/{uuid.uuid4().hex}")
-            df.select(columns).repartitionByRange("series", "t").sortWithinPartitions("series", "t").write.parquet(paths[-1])
-        self._commit(kind, state | {"version": state["version"] + 1, "log": [], "ops": paths[0], "buckets": paths[1], "at": int(time.time())})
+        made, at = {}, int(time.time())
+        for name, df, schema in zip(("ops", "buckets"), update(ops, buckets), KINDS[kind], strict=True):
+            columns, path = [c.split()[0] for c in schema.split(", ")], f"{self.root}/{kind}/{name}/{uuid.uuid4().hex}"
+            dealt = df.select(*columns, part(F.col("series"), count).alias("part"))
+            dealt.repartitionByRange("part", "series", "t").sortWithinPartitions("part", "series", "t").write.partitionBy("part").parquet(path)
+            fs, folder = self._fs(path)
+            found = sorted(int(n[5:]) for s in fs.listStatus(folder) if (n := s.getPath().getName()).startswith("part="))
+            if not parts.issuperset(found):
+                raise ValueError(f"the update of some series of {kind} made rows of others")
+            made[name] = {"path": path, "at": at, "parts": found}
+        self._snapshot(kind, state, parts, made, rebase)
         if merge:
             fs, p = self._fs(scratch)
             fs.delete(p, True)
 
+    def _snapshot(self, kind: str, state: dict, parts: set[int], made: dict[str, dict], rebase: bool) -> None:
+        """Commits what was made of some parts of a state, in place of them."""
+        known, now = {b["path"]: b for b in state["log"]}, state
+        for _ in range(ATTEMPTS):
+            if now is not state:
+                same = all(now[name] == state[name] for name in made) and [b for b in now["log"] if b["path"] in known] == state["log"]
+                if not rebase or not same:
+                    break
+            log = [b | {"gone": sorted({*b["gone"], *parts})} if b["path"] in known else b for b in now["log"]]
+            tables = {name: [*(e | {"parts": left} for e in now[name] if (left := [p for p in e["parts"] if p not in parts])), new] for name, new in made.items()}
+            try:
+                return self._commit(kind, now | {"version": now["version"] + 1, "log": [b for b in log if len(b["gone"]) < now["parts"]], **tables})
+            except ConflictError:
+                now = self.manifest(kind)
+        raise ConflictError(f"another has replaced or added to what version {state['version']} of {kind} had")
+
     def delete(self, kind: str, series: str | None) -> None:
-        """Forgets a series at the next snapshot, which is written at once."""
-        self.replace(kind, lambda ops, buckets: (ops.where(~named(series)), buckets.where(~named(series))))
+        """Forgets a series at the next snapshot of its part, which is written at once."""
+        self.replace(kind, lambda ops, buckets: (ops.where(~named(series)), buckets.where(~named(series))), only=[series])
 
     def close(self) -> None:
         pass
@@ -310,9 +389,10 @@ class CachedStore:
     def __init__(self, inner: ParquetStore) -> None:
         self.inner, self._kept = inner, {}
 
-    def state(self, kind: str, version: int | None = None) -> State:
+    def state(self, kind: str, version: int | None = None, only: Iterable[str | None] | None = None) -> State:
+        """The whole of the newest state is kept, whatever is asked for."""
         if version is not None:
-            return self.inner.state(kind, version)
+            return self.inner.state(kind, version, only)
         if kind not in self._kept or self._kept[kind].version != self.inner.version(kind):
             self._drop(kind)
             found = self.inner.state(kind)
@@ -358,7 +438,7 @@ def open_store(spark: SparkSession, uri: str):
 def _parquet(spark: SparkSession, url) -> ParquetStore:
     query = parse_qs(url.query)
     root = query["at"][0] if "at" in query else f"{url.netloc}{url.path}"
-    store = ParquetStore(spark, root, int(query["ttl"][0]) if "ttl" in query else None)
+    store = ParquetStore(spark, root, int(query["ttl"][0]) if "ttl" in query else None, int(query.get("parts", [PARTS])[0]))
     return CachedStore(store) if query.get("cache") == ["1"] else store
 
 
