@@ -42,6 +42,17 @@ def test_planted_passages_are_found_and_clean_documents_are_not(spark):
     assert dc.contaminated(table, bench.where("false")).count() == 0
 
 
+def test_columns_whose_names_clash_and_empty_tables(spark):
+    passage = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"a b {passage} c", 9, 9, 9, "x"), (2, "else", 9, 9, 9, "x"), (1, passage, 9, 9, 9, "x")], "doc_id long, text string, item_id long, item long, seed long, words string")
+    items = spark.createDataFrame([(7, passage, 2, 2, "y", 3), (8, None, 1, 1, "y", 3)], "item_id long, text string, doc_id long, doc long, seeds string, shifts long")
+    rows = dc.contaminated(docs, items)
+    assert sorted((r["doc_id"], r["item_id"], r["doc_word"], r["n_matched"]) for r in rows.collect()) == [(1, 7, 0, 20), (1, 7, 2, 20)]
+    for d, i in ((docs.where("false"), items), (docs, items.where("false")), (docs.where("false"), items.where("false"))):
+        none = dc.contaminated(d, i)
+        assert none.columns == rows.columns and none.count() == 0
+
+
 def fullest_avoiding(masks, longest):
     """For each length, the most equal words of a run that none of the masks hits."""
     reach, best, out = max(map(len, masks)) - 1, {"": 0}, []
