@@ -11,7 +11,8 @@ from tideline.functions import sketches
 from tideline.functions.series import Agg
 from tideline.operators import read
 from tideline.operators.sketches import sketch_range
-from tideline.streaming.ingest import rolled, rollup
+from tideline.plans import queries
+from tideline.streaming.ingest import keep_latest, rolled, rollup
 from tideline.streaming.live import keep_range, newest
 
 SPAN = 60
@@ -113,3 +114,38 @@ def test_sketches_of_a_stream_can_be_asked(spark, tmp_path):
     keep_range(stream, "sketches", SPAN, f"{tmp_path}/live", f"{tmp_path}/checkpoint").awaitTermination()
     r = newest(spark.read.parquet(f"{tmp_path}/live")).select(sketches.quantile(F.col("sketch"), 0.5).alias("p50"), sketches.count(F.col("sketch")).alias("n")).first()
     assert r["n"] == 200 and r["p50"] == pytest.approx(99, rel=0.01)
+
+
+def _many(kind, batches=(700, 700, 3000), seed=7):
+    """Operations of which many have the identity of another, spread over seconds (samples) or most in one (sketches)."""
+    rng = random.Random(seed)
+    at = lambda: rng.randint(-4000, 4000) if kind == "samples" or rng.random() < 0.3 else 5
+    op = lambda: ("a", at(), rng.choice((0.0, round(rng.gauss(0, 30), 2))), rng.randint(0, 900), rng.choice((None, Decimal(0), Decimal(2**32), Decimal(2**64 - 1))))
+    return [[op() for _ in range(n)] for n in batches]
+
+
+@pytest.mark.parametrize("kind", ["samples"])
+def test_state_has_few_rows_for_many_operations(spark, tmp_path, kind):
+    # Each row of the state is a call for each batch that needs it.
+    rows = [("a", k if kind == "samples" else 5, float(k % 97), k, Decimal(1)) for k in range(3000)]
+    stream, _ = _stream(spark, kind, [rows[:1500], rows[1500:]], str(tmp_path))
+    query = keep_range(stream, kind, 86_400, f"{tmp_path}/live", f"{tmp_path}/checkpoint")
+    query.awaitTermination()
+    assert 0 < query.lastProgress.stateOperators[0].numRowsTotal < 30
+
+
+def test_samples_of_several_slices_equal_batch_reads(spark, tmp_path):
+    stream, ops = _stream(spark, "samples", _many("samples"), str(tmp_path))
+    keep_range(stream, "samples", 7200, f"{tmp_path}/live", f"{tmp_path}/checkpoint").awaitTermination()
+    live = newest(spark.read.parquet(f"{tmp_path}/live"))
+    for agg in (Agg.COUNT, Agg.SUM, Agg.MIN, Agg.MAX, Agg.FIRST, Agg.LAST):
+        assert _rows(live.select("series", "t", F.col(agg.value).cast("double"))) == _rows(read.sample_range(ops, 7200, agg))
+
+
+def test_events_arrive_in_files_of_several_tasks(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = []
+    queries._arriving(spark, str(tmp_path), "samples", f"{tmp_path}/at", lambda ops: got.append(keep_latest(ops, f"{tmp_path}/latest", f"{tmp_path}/checkpoint")) or got[-1])
+    assert len(list(tmp_path.glob("at/in/0/*.parquet"))) == 3
+    assert sorted(int(p.name.split("=")[1]) for p in tmp_path.glob("latest/batch=*")) == [0, 1, 2]
+    assert [sum(p.numInputRows for p in q.recentProgress) > 0 for q in got] == [True] * 3

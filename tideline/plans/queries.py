@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tideline.functions import bins, sketches
 from tideline.functions.series import Agg, bucket_start, rendered
@@ -405,13 +406,14 @@ def stream_log_range(spark: SparkSession, sf: str) -> DataFrame:
     return read.counter_range(store.ops("counters"), HOUR, Agg.SUM, store.buckets("counters"))
 
 
-def _halves(spark: SparkSession, sf: str, kind: str, at: str) -> DataFrame:
-    """A stream of three micro-batches: the later two thirds of the events, then the earlier third, late, and then some of
-    all again."""
+def _arriving(spark: SparkSession, sf: str, kind: str, at: str, follow: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Three micro-batches: the later two thirds of the events, then the earlier third, late, and then some of all again.
+    Each is written by as many tasks as read the events; the stream that follows them starts again where it ended."""
     ops = {"samples": _samples, "counters": _counters, "sketches": _sketches}[kind](spark, sf)
+    stream = spark.readStream.schema(ops.schema).parquet(f"{at}/in/*")
     for k, part in enumerate((F.col("t") >= CUTOFF, F.col("t") < CUTOFF, F.col("clock") % 5 == 0)):
-        ops.where(part).coalesce(1).write.mode("append").parquet(f"{at}/in/{k}")
-    return spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
+        ops.where(part).write.parquet(f"{at}/in/{k}")
+        follow(stream).awaitTermination()
 
 
 _CALL = ", ".join(f"{_CFOLD[k]} AS {n}" for k, n in (("sum", "sum"), ("min", "min"), ("max", "max"), ("first", '"first"'), ("last", '"last"')))
@@ -420,7 +422,7 @@ _CALL = ", ".join(f"{_CFOLD[k]} AS {n}" for k, n in (("sum", "sum"), ("min", "mi
 @_query("stream_counters_live", f"WITH {_COPS}, p AS (SELECT {_OP} FROM cops) SELECT series, t - t % {DAY} AS t, CAST(sum(n) AS BIGINT) AS count, {_CALL} FROM p GROUP BY 1, 2")
 def stream_counters_live(spark: SparkSession, sf: str) -> DataFrame:
     at = scratch(spark)
-    keep_range(_halves(spark, sf, "counters", at), "counters", DAY, f"{at}/live", f"{at}/checkpoint").awaitTermination()
+    _arriving(spark, sf, "counters", at, lambda ops: keep_range(ops, "counters", DAY, f"{at}/live", f"{at}/checkpoint"))
     return newest(spark.read.parquet(f"{at}/live"))
 
 
@@ -430,28 +432,28 @@ _SALL = ", ".join(f"{_FOLD[k]} AS {n}" for k, n in (("sum", "sum"), ("min", "min
 @_query("stream_samples_live", f"WITH {_RS}, p AS (SELECT {_POINT} FROM rs) SELECT series, t - t % {DAY} AS t, CAST(sum(n) AS BIGINT) AS count, {_SALL} FROM p GROUP BY 1, 2")
 def stream_samples_live(spark: SparkSession, sf: str) -> DataFrame:
     at = scratch(spark)
-    keep_range(_halves(spark, sf, "samples", at), "samples", DAY, f"{at}/live", f"{at}/checkpoint").awaitTermination()
+    _arriving(spark, sf, "samples", at, lambda ops: keep_range(ops, "samples", DAY, f"{at}/live", f"{at}/checkpoint"))
     return _rounded(newest(spark.read.parquet(f"{at}/live")))
 
 
 @_query("stream_sketch_live", f"WITH {_KOPS}, {_asked_sql('kops', DAY)}")
 def stream_sketch_live(spark: SparkSession, sf: str) -> DataFrame:
     at = scratch(spark)
-    keep_range(_halves(spark, sf, "sketches", at), "sketches", DAY, f"{at}/live", f"{at}/checkpoint").awaitTermination()
+    _arriving(spark, sf, "sketches", at, lambda ops: keep_range(ops, "sketches", DAY, f"{at}/live", f"{at}/checkpoint"))
     return _asked(newest(spark.read.parquet(f"{at}/live")))
 
 
 @_query("stream_counters_rollup", f"WITH {_COPS}, p AS (SELECT {_OP} FROM cops) SELECT series, t - t % {HOUR} AS t, CAST(sum(n) AS BIGINT) AS count, CAST(sum(s) AS BIGINT) AS sum, CAST(min(mn) AS BIGINT) AS min, CAST(max(mx) AS BIGINT) AS max FROM p GROUP BY 1, 2")
 def stream_counters_rollup(spark: SparkSession, sf: str) -> DataFrame:
     at = scratch(spark)
-    rollup(_halves(spark, sf, "counters", at), "counters", HOUR, f"{at}/rolled", f"{at}/checkpoint").awaitTermination()
+    _arriving(spark, sf, "counters", at, lambda ops: rollup(ops, "counters", HOUR, f"{at}/rolled", f"{at}/checkpoint"))
     return rolled(spark.read.parquet(f"{at}/rolled"), "counters")
 
 
 @_query("stream_sketch_rollup", f"WITH {_KOPS}, {_asked_sql('kops', _WEEK)}")
 def stream_sketch_rollup(spark: SparkSession, sf: str) -> DataFrame:
     at = scratch(spark)
-    rollup(_halves(spark, sf, "sketches", at), "sketches", _WEEK, f"{at}/rolled", f"{at}/checkpoint").awaitTermination()
+    _arriving(spark, sf, "sketches", at, lambda ops: rollup(ops, "sketches", _WEEK, f"{at}/rolled", f"{at}/checkpoint"))
     return _asked(rolled(spark.read.parquet(f"{at}/rolled"), "sketches"))
 
 

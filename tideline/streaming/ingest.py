@@ -43,7 +43,7 @@ def put_latest(changed: DataFrame, path: str, checkpoint: str, every: str | None
 
 
 #: What tells operations apart, by kind; samples are not additive.
-_IDENTITY = {"counters": ["series", "t", "replica", "clock", "value"], "sketches": ["series", "t", "replica", "clock"]}
+IDENTITY = {"counters": ["series", "t", "replica", "clock", "value"], "sketches": ["series", "t", "replica", "clock"]}
 
 
 def rollup(ops: DataFrame, kind: str, span: int, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -53,7 +53,7 @@ def rollup(ops: DataFrame, kind: str, span: int, path: str, checkpoint: str, eve
     what earlier ones have written, and a late operation adds a row to its bucket. Of sketch operations of one identity
     and different values the first counts; live_range() has the greatest.
     """
-    fresh = ops.dropDuplicates(_IDENTITY[kind])
+    fresh = ops.dropDuplicates(IDENTITY[kind])
     by = ["series", "t"]
 
     def add(batch: DataFrame, number: int) -> None:
